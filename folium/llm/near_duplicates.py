@@ -159,7 +159,8 @@ def groups(df: DataFrame, *, rounds: int = 20, **options) -> DataFrame:
     """
     members, pairs = class_pairs(df, **options)
     pairs = cut_lineage(pairs.select("src", "a", "b"))
-    edges = pairs.unionByName(pairs.select("src", F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = pairs.select("src", ways.alias("e")).select("src", "e.a", "e.b")
     degree = edges.groupBy("src", "a").agg(F.count("*").alias("links"))
     label = cut_lineage(degree.select("src", "a", F.col("a").alias("g"), "links"))
     for _ in range(rounds * 5):
