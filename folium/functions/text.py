@@ -19,7 +19,7 @@ def strip(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """Lines at every Unicode line boundary, without an empty one after a final break."""
-    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
+    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
@@ -214,7 +214,8 @@ def label_value(c: Column, labels: list[str]) -> Column:
     """Value after the first label, in order of labels, that has an acceptable one."""
 
     def one(label: str) -> Column:
-        windows = F.slice(F.split(c, unicode_ci(rf"\b{label}\s*[:—-]\s*"), -1), F.lit(2), F.lit(2147483647))
+        parts = F.split(c, unicode_ci(rf"\b{label}\s*[:—-]\s*"), -1)
+        windows = F.slice(parts, F.lit(2), F.size(parts))
         values = F.transform(windows, lambda w: squeeze(strip_markers(F.element_at(F.split(F.left(w, F.lit(400)), STOP, 2), 1))))
         return F.get(F.filter(values, lambda v: (F.length(v) >= 5) & ~party_role(v)), F.lit(0))
 

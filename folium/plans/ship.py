@@ -1,4 +1,4 @@
-"""Makes the package importable in the Python workers of any cluster."""
+"""Makes the package importable in the Python workers of any cluster; cuts lineage in the folder they share."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
 
@@ -26,3 +26,21 @@ def ensure_shipped(spark: SparkSession) -> None:
                 z.write(p, str(p.relative_to(root.parent)))
         sc.addPyFile(path)
     _shipped[sc.applicationId] = True
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a folder of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="folium-checkpoint-") if sc.master.startswith("local[") or sc.master == "local" else ""
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

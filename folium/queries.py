@@ -1,13 +1,28 @@
-"""Registered queries of the core."""
+"""Registered queries of the core, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folium.operators import units
+from folium.functions import text as T
+from folium.operators import chunks, facts, jsonrepair, merging, pages, provider, reconcile, tokens, units
+from folium.plans import summarize
 from folium.plans.ship import ensure_shipped
+from folium.rules import procurement_ru as R
+from folium.sources import ingest, report
+from folium.streaming import progress
+
+Query = Callable[[SparkSession, str], DataFrame]
+_registered: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(f: Query) -> Query:
+    _registered[f.__name__] = f
+    return f
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,18 +30,689 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, each once however often it was delivered."""
+    return read(spark, sf_dir, "pages").select("page_id", "doc_id", "page_no", "text").distinct()
+
+
+def _requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "requirements").select("req_id", "doc_id", "category", "text", "mandatory", "source_pages").distinct()
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+#: SQL of the same: a page once; white space as Unicode has it; a strip.
+S = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{0b}]"
+PAGES = "SELECT DISTINCT page_id, doc_id, page_no, text FROM pages"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
+
+
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{S}+', ' ', 'g'), ' \t\n\r-—:;')".replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '")
+
+
+def _base(x: str) -> str:
+    return _strip(f"regexp_replace(translate({x}, chr(160) || chr(8209), ' -'), '[ \\t]+', ' ', 'g')")
+
+
+# problem 3
+
+
+@query
+def p3_found(spark, sf_dir):
+    return units.wrong_amounts(units.convert(read(spark, sf_dir, "money_facts"), read(spark, sf_dir, "fx_rates")))
+
+
+@query
+def p3_values(spark, sf_dir):
     done = units.convert(read(spark, sf_dir, "money_facts"), read(spark, sf_dir, "fx_rates"))
     return done.selectExpr("cast(money_id as bigint) as money_id", "field", "cast(rub as decimal(28,2)) as rub", "unit_from", "unit", "posterior", "uncertain")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.wrong_amounts(units.convert(read(spark, sf_dir, "money_facts"), read(spark, sf_dir, "fx_rates")))
+# sources and admission
+
+
+@query
+def scan_page_stats(spark, sf_dir):
+    return pages.page_stats(_pages(spark, sf_dir))
+
+
+_sql["scan_page_stats"] = f"""
+SELECT doc_id, count(*) AS pages, sum(length(coalesce(text, ''))) AS chars, count(*) FILTER (length(coalesce(text, '')) >= 80) AS pages_with_text,
+       count(*) FILTER (length(coalesce(text, '')) >= 80) = 0 AS likely_scanned FROM ({PAGES}) GROUP BY doc_id"""
+
+
+@query
+def admission_rejects(spark, sf_dir):
+    return ingest.rejects(read(spark, sf_dir, "doc_bytes")).select("doc_id", "code", "status")
+
+
+_sql["admission_rejects"] = r"""
+WITH v AS (SELECT doc_id, CASE
+    WHEN (coalesce(content_type, '') NOT IN ('application/pdf', 'application/x-pdf', 'application/octet-stream', '') AND NOT lower(coalesce(filename, '')) LIKE '%.pdf')
+      OR (coalesce(filename, '') <> '' AND NOT lower(coalesce(filename, '')) LIKE '%.pdf' AND coalesce(content_type, '') = '') THEN 'unsupported_file'
+    WHEN coalesce(size_bytes, octet_length(content), 0) > 25 * 1024 * 1024 THEN 'file_too_large'
+    WHEN coalesce(size_bytes, octet_length(content), 0) = 0 OR content IS NULL THEN 'unsupported_file'
+    WHEN NOT regexp_matches(hex(content), '^(09|0A|0B|0C|0D|20)*255044462D') THEN 'unreadable_pdf' END AS code FROM doc_bytes),
+w AS (SELECT doc_id, CASE WHEN count(*) FILTER (code IS NULL) > 0 THEN NULL ELSE min(code) END AS code FROM v GROUP BY doc_id)
+SELECT doc_id, code, CASE WHEN code = 'unsupported_file' THEN 415 WHEN code = 'file_too_large' THEN 413 ELSE 422 END AS status FROM w WHERE code IS NOT NULL"""
+
+
+@query
+def money_report(spark, sf_dir):
+    m = read(spark, sf_dir, "money_facts").select("money_id", "amount", "includes_vat").distinct()
+    return m.select("money_id", report.money_text(F.col("amount"), F.col("includes_vat")).alias("line"))
+
+
+_sql["money_report"] = """
+SELECT DISTINCT money_id, CASE WHEN amount IS NULL THEN '-' ELSE translate(format('{:,.2f}', amount), ',.', ' ,') || ' RUB' ||
+  CASE WHEN includes_vat THEN ', включая НДС' WHEN NOT includes_vat THEN ', без НДС' ELSE '' END END AS line FROM money_facts"""
+
+
+@query
+def json_rows(spark, sf_dir):
+    return report.as_json(read(spark, sf_dir, "settings").select("setting_id", "chunk_chars", "chunk_overlap_chars", "max_chunks", "provider"), "setting_id")
+
+
+_sql["json_rows"] = """SELECT setting_id, '{"setting_id":' || setting_id || ',"chunk_chars":' || chunk_chars || ',"chunk_overlap_chars":' || chunk_overlap_chars || ',"max_chunks":' || max_chunks || ',"provider":"' || provider || '"}' AS json FROM settings"""
+
+
+@query
+def pdf_text(spark, sf_dir):
+    """Texts of PDF uploads; no rows where no PDF library is installed."""
+    return ingest.pdf_pages(read(spark, sf_dir, "doc_bytes"))
+
+
+# pages and lines
+
+
+@query
+def line_mask_counts(spark, sf_dir):
+    lines = tokens.lines(_pages(spark, sf_dir), "page_id").where(F.col("text") != "")
+    return lines.groupBy(T.mask_numbers(F.col("text")).alias("mask")).agg(F.count("*").alias("hits")).where("hits > 1")
+
+
+_LINES = f"SELECT page_id, unnest(string_split(text, chr(10))) AS l FROM ({PAGES})"
+_sql["line_mask_counts"] = rf"""
+WITH l AS (SELECT {_strip('l')} AS l FROM ({_LINES}))
+SELECT regexp_replace(l, '\p{{Nd}}+', '#', 'g') AS mask, count(*) AS hits FROM l WHERE l <> '' GROUP BY 1 HAVING count(*) > 1"""
+
+
+@query
+def header_footer_lines(spark, sf_dir):
+    return pages.noise_masks(_pages(spark, sf_dir))
+
+
+_NOISE = rf"""
+p AS ({PAGES}),
+a AS (SELECT doc_id, page_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_base('x')}), lambda x: x <> '') AS ls FROM p),
+e AS (SELECT doc_id, page_id, list_distinct(list_concat(ls[1:2], ls[greatest(len(ls) - 1, 1):len(ls)])) AS w FROM a),
+m AS (SELECT doc_id, regexp_replace(l, '\p{{Nd}}+', '#', 'g') AS mask FROM (SELECT doc_id, unnest(w) AS l FROM e) WHERE length(l) <= 90),
+n AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1 HAVING count(*) >= 4),
+noise AS (SELECT doc_id, mask, count(*) AS hits FROM m JOIN n USING (doc_id) GROUP BY doc_id, mask, pages HAVING count(*) >= greatest(4, floor(pages * 0.6)))"""
+_sql["header_footer_lines"] = f"WITH {_NOISE} SELECT doc_id, mask, hits FROM noise"
+
+
+@query
+def normalize_pages(spark, sf_dir):
+    return pages.normalized(_pages(spark, sf_dir)).select("page_id", "text")
+
+
+_sql["normalize_pages"] = rf"""
+WITH {_NOISE},
+g AS (SELECT doc_id, page_id, regexp_replace(translate(coalesce(text, ''), chr(160) || chr(8209), ' -'), '([\pL\pN\pM_])-\n([\pL\pN\pM_])', '\1\2', 'g') AS t FROM p),
+l AS (SELECT doc_id, page_id, list_transform(string_split(t, chr(10)), lambda x: {_base('x')}) AS ls FROM g),
+u AS (SELECT doc_id, page_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, x = '' ORDER BY i) AS up, row_number() OVER (PARTITION BY page_id, x = '' ORDER BY i DESC) AS down FROM u),
+k AS (SELECT r.* FROM r LEFT JOIN noise o ON o.doc_id = r.doc_id AND o.mask = regexp_replace(x, '\p{{Nd}}+', '#', 'g')
+  WHERE x = '' OR (o.mask IS NULL AND NOT regexp_matches(x, '(?i)^(стр\.?|страница|page){S}*\p{{Nd}}+({S}*(из|/|of){S}*\p{{Nd}}+)?$')
+    AND NOT (regexp_matches(x, '^[-–—(\[]?{S}*\p{{Nd}}{{1,4}}{S}*[-–—)\]]?$') AND (up <= 2 OR down <= 2)))),
+j AS (SELECT page_id, string_agg(x, chr(10) ORDER BY i) AS t FROM k GROUP BY page_id)
+SELECT p.page_id, {_strip("regexp_replace(coalesce(t, ''), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM p LEFT JOIN j USING (page_id)"""
+
+
+@query
+def reflow_islands(spark, sf_dir):
+    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", pages.reflow(F.col("text")).alias("text"))
+
+
+_sql["reflow_islands"] = rf"""
+WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM ({PAGES}) WHERE text IS NOT NULL),
+s AS (SELECT page_id, i, {_strip('raw')} AS x FROM l WHERE NOT (i = n AND raw = '')),
+g AS (SELECT *, lag(x) OVER w AS p FROM s WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+b AS (SELECT *, CASE WHEN p IS NULL THEN '' WHEN p <> '' AND x <> '' AND NOT contains(p, '|') AND NOT contains(x, '|') AND NOT regexp_matches(p, '[.!?;:]$')
+  AND NOT regexp_matches(x, '(?i)^(\p{{Nd}}+(\.\p{{Nd}}+)+\.?{S}|\p{{Nd}}+[.)]{S}|[-•–—*]{S}|\[\[стр\.|\[ТАБЛИЦА\]|Этап{S}|Раздел{S}|Приложение{S})') THEN ' ' ELSE chr(10) END AS sep FROM g)
+SELECT p.page_id, coalesce(string_agg(sep || x, '' ORDER BY i), '') AS text FROM (SELECT DISTINCT page_id FROM pages WHERE text IS NOT NULL) p LEFT JOIN b USING (page_id) GROUP BY p.page_id"""
+
+
+@query
+def squeeze_text(spark, sf_dir):
+    return _requirements(spark, sf_dir).where("text IS NOT NULL").select("req_id", T.squeeze(T.strip_markers(F.col("text"))).alias("text"))
+
+
+_sql["squeeze_text"] = f"SELECT DISTINCT req_id, {_squeeze('text')} AS text FROM requirements WHERE text IS NOT NULL"
+
+
+@query
+def marked_text(spark, sf_dir):
+    return pages.marked_text(_pages(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("chars"))
+
+
+_sql["marked_text"] = f"""
+SELECT doc_id, md5(t) AS digest, length(t) AS chars FROM (SELECT doc_id, string_agg('[[стр. ' || page_no || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no, page_id) AS t
+  FROM ({PAGES}) WHERE {_strip("coalesce(text, '')")} <> '' GROUP BY doc_id)"""
+
+
+# tokens
+
+
+@query
+def sentence_split(spark, sf_dir):
+    return tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id").select("page_id", "sent_no", "text")
+
+
+_SENTENCES = rf"""string_split(regexp_replace(regexp_replace(text, '([.;!?]){S}+([А-ЯA-Z0-9«(])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1))"""
+_sql["sentence_split"] = f"""
+SELECT page_id, unnest({_SENTENCES}) AS text, generate_subscripts({_SENTENCES}, 1) - 1 AS sent_no FROM ({PAGES}) WHERE text IS NOT NULL"""
+
+
+@query
+def line_offsets(spark, sf_dir):
+    return tokens.lines(_pages(spark, sf_dir), "page_id")
+
+
+_sql["line_offsets"] = f"""
+WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM ({PAGES}) WHERE text IS NOT NULL)
+SELECT page_id, i - 1 AS line_no, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos, {_strip('raw')} AS text
+FROM l QUALIFY NOT (i = n AND raw = '')"""
+
+
+@query
+def table_rows(spark, sf_dir):
+    return tokens.table_rows(_pages(spark, sf_dir), "page_id").select("page_id", "line_no", F.size("cells").alias("n_cells"), F.array_join("cells", "¦").alias("cells"))
+
+
+_sql["table_rows"] = f"""
+WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM ({PAGES}) WHERE text IS NOT NULL)
+SELECT page_id, line_no, len(string_split(raw, '|')) AS n_cells, array_to_string(list_transform(string_split({_strip('raw')}, '|'), lambda x: {_strip('x')}), '¦') AS cells FROM l WHERE contains(raw, '|')"""
+
+
+@query
+def first_keyword_sentence(spark, sf_dir):
+    return tokens.first_sentence_with(_pages(spark, sf_dir), "page_id", ["срок"])
+
+
+_sql["first_keyword_sentence"] = f"""
+SELECT page_id, list_filter({_SENTENCES}, lambda s: contains(lower(s), 'срок'))[1] AS text FROM ({PAGES})
+WHERE text IS NOT NULL AND len(list_filter({_SENTENCES}, lambda s: contains(lower(s), 'срок'))) > 0"""
+
+
+@query
+def page_asof_lookup(spark, sf_dir):
+    """Page of each table of a chunk, by the markers before it."""
+    c = read(spark, sf_dir, "chunks").select("chunk_id", "text").distinct()
+    lines = tokens.lines(c, "chunk_id")
+    marks = lines.where(F.col("text").rlike(r"^\[\[стр\. \d+\]\]")).select("chunk_id", "pos", F.regexp_extract("text", R.MARKER, 1).cast("int").alias("page_no"))
+    return tokens.page_of(lines.where(~F.col("text").startswith("[[стр.")).select("chunk_id", "pos"), marks, doc="chunk_id").groupBy("chunk_id", "page_no").agg(F.count("*").alias("lines"))
+
+
+_sql["page_asof_lookup"] = r"""
+WITH l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
+o AS (SELECT chunk_id, raw, i, n, coalesce(sum(length(raw) + 1) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l QUALIFY NOT (i = n AND raw = '')),
+k AS (SELECT chunk_id, pos, CAST(regexp_extract(raw, '\[\[стр\. (\d+)\]\]', 1) AS INT) AS page_no FROM o WHERE regexp_matches(trim(raw), '^\[\[стр\. \d+\]\]'))
+SELECT x.chunk_id, k.page_no, count(*) AS lines FROM (SELECT * FROM o WHERE NOT starts_with(trim(raw), '[[стр.')) x ASOF LEFT JOIN k ON x.chunk_id = k.chunk_id AND x.pos >= k.pos GROUP BY 1, 2"""
+
+
+# chunks
+
+
+@query
+def hard_cut_blocks(spark, sf_dir):
+    """Texts without paragraphs cut every 1,000 characters."""
+    d = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
+    n = F.ceil(F.length("t") / 1000).cast("int")
+    return d.where(F.length("t") > 1000).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("t", k * 1000 + 1, F.lit(1000)))).alias("block_no", "b")).select("doc_id", "block_no", F.length("b").alias("chars"), F.md5(F.col("b").cast("binary")).alias("digest"))
+
+
+_sql["hard_cut_blocks"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '[\s\x{0b}]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(k AS INT) AS block_no, length(substring(t, k * 1000 + 1, 1000)) AS chars, md5(substring(t, k * 1000 + 1, 1000)) AS digest
+FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 1000.0) AS BIGINT))) AS k FROM d WHERE length(t) > 1000)"""
+
+
+@query
+def chunk_pack(spark, sf_dir):
+    return chunks.packed(_pages(spark, sf_dir)).select("doc_id", "chunk_idx", "first_page", "last_page", F.length("text").alias("chars"))
+
+
+@query
+def overlap_tail(spark, sf_dir):
+    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", T.overlap_tail(F.col("text"), F.lit(200)).alias("tail"))
+
+
+_sql["overlap_tail"] = f"""
+WITH t AS (SELECT page_id, text, right(text, 200) AS r FROM ({PAGES}) WHERE text IS NOT NULL)
+SELECT page_id, CASE WHEN length(text) <= 200 THEN '' ELSE {_strip('''CASE WHEN instr(r, chr(10) || chr(10)) > 0 THEN substring(r, instr(r, chr(10) || chr(10)) + 2)
+  WHEN instr(r, chr(10)) > 0 THEN substring(r, instr(r, chr(10)) + 1) WHEN instr(r, '. ') > 0 THEN substring(r, instr(r, '. ') + 2) ELSE r END''')} END AS tail FROM t"""
+
+
+@query
+def relevance_score(spark, sf_dir):
+    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", F.round(T.relevance(F.col("text")), 2).alias("score"))
+
+
+_RUB = r"(\p{Nd}{1,3}([ \x{a0}]\p{Nd}{3})+([.,]\p{Nd}{1,2})?|\p{Nd}+([.,]\p{Nd}{1,2})?)" + S + r"*(\([^)]{0,300}\)" + S + r"*)?(тыс\.?|млн\.?|миллион[\pL\pN_]*|тысяч[\pL\pN_]*)?" + S + r"*(руб(\.|лей|ля|ль)?|₽|RUB)"
+_sql["relevance_score"] = (
+    "SELECT page_id, round("
+    + " + ".join(f"{v} * least((length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}.0, 3)" for w, v in R.RELEVANCE.items())
+    + rf" + CASE WHEN regexp_matches(text, '(?i){_RUB}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(^|[^\pL\pN\pM_])\p{{Nd}}{{2}}\.\p{{Nd}}{{2}}\.\p{{Nd}}{{4}}([^\pL\pN\pM_]|$)') THEN 1 ELSE 0 END, 2) AS score FROM ({PAGES}) WHERE text IS NOT NULL"
+)
+
+
+@query
+def chunk_topk(spark, sf_dir):
+    c = read(spark, sf_dir, "chunks").select("doc_id", "chunk_id", "chunk_idx", "score").distinct()
+    return chunks.selected(c, max_chunks=3).select("doc_id", "chunk_id")
+
+
+_sql["chunk_topk"] = """
+SELECT doc_id, chunk_id FROM (SELECT DISTINCT doc_id, chunk_id, chunk_idx, score FROM chunks)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (chunk_idx = 0) DESC, score DESC NULLS LAST, chunk_idx) <= 3"""
+
+
+@query
+def chunk_labels(spark, sf_dir):
+    c = read(spark, sf_dir, "chunks").select("chunk_id", "first_page", "last_page").distinct()
+    return c.select("chunk_id", T.chunk_label(F.col("first_page"), F.col("last_page")).alias("label"))
+
+
+_sql["chunk_labels"] = "SELECT DISTINCT chunk_id, 'стр. ' || first_page || CASE WHEN first_page = last_page THEN '' ELSE '–' || last_page END AS label FROM chunks"
+
+# scalars
+
+
+@query
+def money_roundtrip(spark, sf_dir):
+    """Order totals written as grouped Russian amounts with or without scale and tax, and read again."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    grouped = F.translate(F.format_number((F.col("cents") / 100).cast("decimal(18,2)"), 2), ",.", "\xa0,")
+    k = F.col("o_orderkey") % 4
+    text = F.concat(F.lit("Начальная цена контракта составляет "), F.when(k == 3, F.concat((F.col("cents") % 1000).cast("string"), F.lit(" тыс. руб."))).otherwise(F.concat(grouped, F.lit(" рублей"))), F.when(k == 0, ", включая НДС 20 %").when(k == 1, " без НДС").otherwise(""), F.lit(". Прочее."))
+    m = T.first_money(F.col("text"))
+    return o.withColumn("text", text).select("o_orderkey", F.round(m["amount"] * 100).cast("bigint").alias("cents"), m["includes_vat"].alias("vat"), F.size(T.money_list(F.col("text"))).alias("found"))
+
+
+_sql["money_roundtrip"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN (CAST(round(o_totalprice * 100) AS BIGINT) % 1000) * 100000 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents,
+  CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN false END AS vat, 1 AS found FROM orders"""
+
+
+@query
+def date_roundtrip(spark, sf_dir):
+    months = F.array(*[F.lit(x) for x in R.MONTHS])
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("в срок до "), F.date_format("d", "dd.MM.yyyy"), F.lit(" включительно"))).otherwise(F.concat(F.lit("до «"), F.dayofmonth("d"), F.lit("» "), F.element_at(months, F.month("d")), F.lit(" "), F.year("d"), F.lit(" года")))
+    found = T.any_date(F.col("t"))
+    back = F.coalesce(F.to_date(F.when(found.rlike(r"^\d\d\."), found), "dd.MM.yyyy"), F.make_date(F.regexp_extract(found, r" (\d{4})", 1).try_cast("int"), F.array_position(months, F.regexp_extract(found, r"» (\S+) ", 1)).cast("int"), F.regexp_extract(found, r"«(\d+)»", 1).try_cast("int")))
+    return o.withColumn("t", text).select("o_orderkey", F.date_format(back, "yyyy-MM-dd").alias("day"))
+
+
+_sql["date_roundtrip"] = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"
+
+
+@query
+def duration_roundtrip(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    text = F.concat(F.lit("Работы выполняются в течение "), F.col("q"), F.when(F.col("l_linenumber") % 2 == 0, " (прописью) календарных дней").otherwise(" месяцев"), F.lit(" с даты подписания."))
+    return li.select("l_orderkey", "l_linenumber", T.duration_phrase(text).alias("duration"))
+
+
+_sql["duration_roundtrip"] = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) || CASE WHEN l_linenumber % 2 = 0 THEN ' календарных дней' ELSE ' месяцев' END AS duration FROM lineitem"
+
+
+@query
+def formula_percent(spark, sf_dir):
+    return tokens.lines(_pages(spark, sf_dir), "page_id").select("page_id", "line_no", T.formula(F.col("text")).alias("formula")).where("formula IS NOT NULL")
+
+
+_sql["formula_percent"] = rf"""
+WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM ({PAGES}) WHERE text IS NOT NULL),
+f AS (SELECT page_id, line_no, regexp_extract({_strip('raw')}, '(\p{{Nd}}+{S}*/{S}*\p{{Nd}}+|\p{{Nd}}+([.,]\p{{Nd}}+)?{S}*%)[^.;\n]{{0,140}}') AS f FROM l)
+SELECT page_id, line_no, {_squeeze('f')} AS formula FROM f WHERE f <> ''"""
+
+
+@query
+def long_number_token(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    text = F.concat(F.lit("Закупка № "), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("АБ-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))).otherwise(F.lpad(F.col("o_orderkey").cast("string"), 19, "1")), F.lit(" от 2026 г."))
+    return o.select("o_orderkey", T.procurement_number(text).alias("number"))
+
+
+_sql["long_number_token"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'АБ-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') ELSE lpad(CAST(o_orderkey AS VARCHAR), 19, '1') END AS number FROM orders"
+
+
+@query
+def category_case(spark, sf_dir):
+    r = _requirements(spark, sf_dir).where("text IS NOT NULL")
+    return r.select("req_id", T.category(F.col("text")).alias("by_text"), T.known_category(F.col("category")).alias("stated"), T.mandatory(F.col("text")).alias("mandatory"))
+
+
+def _stem(words: list[str]) -> str:
+    return r"(?i)(^|[^\pL\pN\pM_])(" + "|".join(words) + ")"
+
+
+_sql["category_case"] = (
+    "SELECT DISTINCT req_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_stem(w)}') THEN '{c}'" for c, w in R.CATEGORY_RULES) + " ELSE 'other' END AS by_text, "
+    f"CASE WHEN lower(trim(category)) IN ({', '.join(repr(c) for c in R.CATEGORIES)}) THEN lower(trim(category)) ELSE 'other' END AS stated, NOT regexp_matches(text, '{_stem(R.OPTIONAL_MARKERS)}') AS mandatory FROM requirements WHERE text IS NOT NULL"
+)
+
+
+@query
+def sanction_case(spark, sf_dir):
+    s = tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id")
+    return s.select("page_id", "sent_no", T.sanction(F.col("text")).alias("sanction"), T.clause_start(F.col("text")).alias("clause")).where(F.col("sanction") != R.SANCTION_DEFAULT)
+
+
+_sql["sanction_case"] = (
+    f"WITH s AS (SELECT page_id, unnest({_SENTENCES}) AS text, generate_subscripts({_SENTENCES}, 1) - 1 AS sent_no FROM ({PAGES}) WHERE text IS NOT NULL), c AS (SELECT page_id, sent_no, CASE "
+    + " ".join(f"WHEN regexp_matches(text, '{_stem(w)}') THEN '{c}'" for c, w in R.SANCTION_RULES)
+    + r""" END AS sanction, regexp_matches(text, '^["''(]*[\p{Nd}\p{Lu}]') AS clause FROM s) SELECT * FROM c WHERE sanction IS NOT NULL"""
+)
+
+
+@query
+def dedupe_first_wins(spark, sf_dir):
+    r = _requirements(spark, sf_dir).where(F.length("text") > 0)
+    return merging.unique_texts(r.select("doc_id", "req_id", "text"), "doc_id", text="text", order=["req_id"]).select("doc_id", "req_id")
+
+
+_sql["dedupe_first_wins"] = f"""
+SELECT doc_id, req_id FROM (SELECT DISTINCT doc_id, req_id, regexp_replace(lower({_strip('text')}), '[^a-zа-яё0-9]+', '', 'g') AS k FROM requirements WHERE text IS NOT NULL) WHERE k <> ''
+QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY req_id) = 1"""
+
+
+@query
+def label_value(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    text = F.concat(F.lit("Раздел 1. ПРЕДМЕТ ЗАКУПКИ: поставка изделия "), F.col("p_name"), F.lit(" марки "), F.col("p_brand"), F.lit(". Срок поставки: до 01.02.2026."))
+    return p.select("p_partkey", facts.subject(text).alias("subject"))
+
+
+_sql["label_value"] = "SELECT p_partkey, 'поставка изделия ' || p_name || ' марки ' || p_brand AS subject FROM part"
+
+
+@query
+def party_name(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    text = F.concat(F.lit("Участник: любой. Заказчик: "), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("ГБУ «"), F.col("s_name"), F.lit("»"))).otherwise(F.concat(F.lit("учреждение "), F.col("s_name"), F.lit("."))), F.lit("\nАдрес: г. Москва"))
+    return s.select("s_suppkey", facts.customer(text).alias("customer"))
+
+
+_sql["party_name"] = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '«' || s_name || '»' ELSE 'учреждение ' || s_name END AS customer FROM supplier"
+
+# facts of documents
+
+
+@query
+def nearest_money_forward(spark, sf_dir):
+    return facts.nearest_money(_pages(spark, sf_dir), ["начальная цена", "штраф за"], key="page_id").select("page_id", F.round("amount", 2).alias("amount"), "distance")
+
+
+@query
+def phrase_near(spark, sf_dir):
+    return facts.phrase_near(_pages(spark, sf_dir), ["осуществляется до", "утверждена"], key="page_id")
+
+
+@query
+def best_duration(spark, sf_dir):
+    return facts.best_duration(tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id"), key="page_id").select("page_id", "duration")
+
+
+@query
+def stages(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    line = F.concat(F.lit("Этап "), F.col("l_linenumber"), F.lit(": работы до "), F.date_format("l_shipdate", "dd.MM.yyyy"), F.lit(";"))
+    docs = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return facts.stages(docs, key="l_orderkey").select("l_orderkey", "stage_no", "name", "deadline")
+
+
+_sql["stages"] = """
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS stage_no, 'Этап ' || l_linenumber AS name, min(strftime(l_shipdate, '%d.%m.%Y')) AS deadline
+FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+
+
+@query
+def requirements_extract(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    text = F.concat(F.lit("1. Общие положения.\nТребования к участникам закупки\nУчастник обязан иметь опыт поставки изделий "), F.col("p_brand"), F.lit(" не менее 3 лет.\nЖелательно наличие лицензии на изделия "), F.col("p_brand"), F.lit(".\nОтветственность сторон\nШтраф за просрочку должен быть уплачен немедленно и полностью."))
+    return facts.requirements(p.select("p_partkey", text.alias("text")), key="p_partkey").select("p_partkey", "req_no", "category", "mandatory")
+
+
+_sql["requirements_extract"] = "SELECT p_partkey, n AS req_no, CASE n WHEN 1 THEN 'experience' ELSE 'license' END AS category, n = 1 AS mandatory FROM part, (VALUES (1), (2)) v(n)"
+
+
+@query
+def penalties_extract(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    grouped = F.translate(F.format_number((F.col("cents") / 100).cast("decimal(18,2)"), 2), ",.", " ,")
+    text = F.concat(F.lit("Нарушение | Мера ответственности | Размер\nСрыв срока работ | Штраф | "), grouped, F.lit(" руб.\nЗа просрочку начисляется пеня 0,1 % за каждый день просрочки.\nСумма пени не может превышать цену контракта по заказу."))
+    return facts.penalties(o.select("o_orderkey", text.alias("text")), key="o_orderkey").select("o_orderkey", "pen_no", "sanction", F.round(F.col("amount") * 100).cast("bigint").alias("cents"), "formula")
+
+
+_sql["penalties_extract"] = """
+SELECT o_orderkey, 1 AS pen_no, 'Штраф' AS sanction, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, NULL AS formula FROM orders
+UNION ALL SELECT o_orderkey, 2, 'Пеня', NULL, '0,1 % за каждый день просрочки' FROM orders"""
+
+
+@query
+def page_penalties(spark, sf_dir):
+    return facts.penalties(_pages(spark, sf_dir), key="page_id").groupBy("sanction").agg(F.count("*").alias("n"), F.count("amount").alias("with_amount"))
+
+
+# provider, replies
+
+
+@query
+def token_usage(spark, sf_dir):
+    calls = read(spark, sf_dir, "llm_results").select("call_id", "source", "prompt_tokens", "completion_tokens").distinct()
+    return merging.token_usage(calls, "source")
+
+
+_sql["token_usage"] = """
+SELECT source, count(*) AS calls, sum(nullif(prompt_tokens, 0)) AS prompt_tokens, sum(nullif(completion_tokens, 0)) AS completion_tokens
+FROM (SELECT DISTINCT call_id, source, prompt_tokens, completion_tokens FROM llm_results) GROUP BY source"""
+
+
+def _answers(user: str, attempt: int) -> str:
+    if "%" in user and attempt == 1:
+        raise provider.ProviderError("status 503", True)
+    if "жалобу" in user:
+        raise provider.ProviderError("status 400", False)
+    return '{"warnings": []}'
+
+
+@query
+def provider_failures(spark, sf_dir):
+    c = read(spark, sf_dir, "chunks").select("doc_id", "chunk_id", "chunk_idx", "text", "first_page", "last_page").distinct()
+    done = provider.called(c, lambda: provider.Scripted(_answers), wait=lambda n: 0.0, concurrency=8)
+    return done.groupBy("failure", "attempts").agg(F.count("*").alias("calls"))
+
+
+_sql["provider_failures"] = """
+WITH c AS (SELECT DISTINCT doc_id, chunk_id, chunk_idx, text, first_page, last_page FROM chunks)
+SELECT CASE WHEN contains(text, 'жалобу') THEN 'status 400' END AS failure, CASE WHEN contains(text, '%') THEN 2 ELSE 1 END AS attempts, count(*) AS calls FROM c GROUP BY 1, 2"""
+
+
+@query
+def json_repair(spark, sf_dir):
+    calls = read(spark, sf_dir, "llm_results").select("call_id", "source", "text").distinct()
+    return jsonrepair.repair(calls, "call_id", "source").groupBy("source").agg(F.count("*").alias("replies"), F.count("json").alias("objects"))
+
+
+@query
+def json_repair_roundtrip(spark, sf_dir):
+    """Properties of events damaged in six ways and repaired."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    whole = F.concat(F.lit('{"kind": "'), F.col("event_type"), F.lit('", "value": '), F.col("v"), F.lit(', "ok": true}'))
+    k = F.col("event_id") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Ответ: "), whole, F.lit(" Готово.")))
+        .when(k == 2, F.replace(whole, F.lit("true}"), F.lit("true,}"))).when(k == 3, F.replace(whole, F.lit("true"), F.lit("True")))
+        .when(k == 4, F.concat(F.lit("[1, "), whole, F.lit("]"))).otherwise(F.replace(whole, F.lit("}"), F.lit(""))))
+    fixed = jsonrepair.repair(e.select("event_id", raw.alias("text")), "event_id")
+    return fixed.select("event_id", F.get_json_object("json", "$.kind").alias("kind"), F.get_json_object("json", "$.value").cast("bigint").alias("v"))
+
+
+_sql["json_repair_roundtrip"] = "SELECT event_id, event_type AS kind, CAST(round(value * 100) AS BIGINT) AS v FROM events"
+
+
+@query
+def json_validate(spark, sf_dir):
+    calls = read(spark, sf_dir, "llm_results").select("call_id", "source", "text").distinct()
+    return jsonrepair.validated(jsonrepair.repair(calls, "call_id", "source")).groupBy("source", F.coalesce("fault", F.lit("valid")).alias("fault")).agg(F.count("*").alias("replies"))
+
+
+@query
+def json_fields(spark, sf_dir):
+    calls = read(spark, sf_dir, "llm_results").select("call_id", "text").distinct()
+    return jsonrepair.fields(jsonrepair.repair(calls, "call_id")).drop("json")
+
+
+# merge
+
+
+@query
+def merge_first_text(spark, sf_dir):
+    r = _requirements(spark, sf_dir)
+    return r.groupBy("doc_id").agg(merging.first_text(F.col("text"), F.col("req_id")).alias("text"))
+
+
+_sql["merge_first_text"] = f"SELECT doc_id, arg_min({_strip('text')}, req_id) FILTER ({_strip('text')} <> '') AS text FROM requirements GROUP BY doc_id"
+
+
+@query
+def merge_best_money(spark, sf_dir):
+    m = read(spark, sf_dir, "money_facts").select("money_id", "doc_id", "field", "amount", "raw").distinct()
+    return m.groupBy("doc_id", "field").agg(merging.best_money(F.col("amount"), F.col("raw"), F.col("money_id"), F.struct("money_id", "amount")).alias("b")).select("doc_id", "field", "b.money_id", "b.amount")
+
+
+_sql["merge_best_money"] = """
+SELECT doc_id, field, coalesce(arg_min(money_id, money_id) FILTER (amount IS NOT NULL AND coalesce(raw, '') <> ''), arg_min(money_id, money_id) FILTER (amount IS NOT NULL)) AS money_id,
+  coalesce(arg_min(amount, money_id) FILTER (amount IS NOT NULL AND coalesce(raw, '') <> ''), arg_min(amount, money_id) FILTER (amount IS NOT NULL)) AS amount
+FROM (SELECT DISTINCT money_id, doc_id, field, amount, raw FROM money_facts) GROUP BY doc_id, field"""
+
+
+@query
+def merge_unique_texts(spark, sf_dir):
+    c = read(spark, sf_dir, "chunks").select("doc_id", "chunk_id", F.left("text", F.lit(40)).alias("text")).distinct()
+    return merging.unique_texts(c, "doc_id", text="text", order=["chunk_id"], limit=merging.MAX_MENTIONS).select("doc_id", "chunk_id")
+
+
+_sql["merge_unique_texts"] = f"""
+WITH k AS (SELECT DISTINCT doc_id, chunk_id, regexp_replace(lower({_strip('left(text, 40)')}), '[^a-zа-яё0-9]+', '', 'g') AS k FROM chunks),
+f AS (SELECT doc_id, k, min(chunk_id) AS chunk_id FROM k WHERE k <> '' GROUP BY 1, 2)
+SELECT doc_id, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) <= 15"""
+
+
+@query
+def fuzzy_dedupe(spark, sf_dir):
+    """Requirement lists merged per document and category: a list is a document's own, so its size is bounded by it."""
+    r = _requirements(spark, sf_dir).where(F.length("text") > 0)
+    lists = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("req_id", "text", "source_pages"))).alias("x"))
+    items = F.transform("x", lambda i: F.struct(i["text"].alias("text"), i["source_pages"].alias("pages")))
+    kept = merging.capped(merging.fuzzy_distinct(items), merging.MAX_REQUIREMENTS)
+    return lists.select("doc_id", F.size("x").alias("given"), F.size(kept).alias("kept"))
+
+
+# reconcile
+
+
+@query
+def amount_in_text(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    grouped = F.translate(F.format_number((F.col("cents") / 100).cast("decimal(18,2)"), 2), ",.", "\xa0,")
+    claimed = F.when(F.col("o_orderkey") % 3 == 0, F.col("cents") / 100 + 1e9).otherwise(F.col("cents") / 100)
+    return o.select("o_orderkey", T.amount_in_text(claimed, T.digits_joined(F.concat(F.lit("Цена "), grouped, F.lit(" руб.")))).alias("found"), T.same_amount(claimed, F.col("cents") / 100).alias("same"))
+
+
+_sql["amount_in_text"] = "SELECT o_orderkey, o_orderkey % 3 <> 0 AS found, o_orderkey % 3 <> 0 AS same FROM orders"
+
+
+@query
+def reconcile_totals(spark, sf_dir):
+    """Order totals as claimed against those the lines give: missing ones filled, wrong ones warned of."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("sum_cents"))
+    o = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    claimed = F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.round(F.col("o_totalprice") * 100) / 100)
+    fallback = (F.col("sum_cents") / 100).cast("double")
+    kept, warnings = reconcile.checked_amount(claimed, fallback, F.concat(F.lit("Цена "), F.format_string("%.2f", claimed)), "Сумма контракта", critical=True)
+    return o.select("o_orderkey", F.round(kept * 100).cast("bigint").alias("cents"), F.size(warnings).alias("n_warnings"))
+
+
+_sql["reconcile_totals"] = """
+WITH l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS s FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN s ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents,
+  CASE WHEN o_orderkey % 5 = 0 OR (s IS NOT NULL AND abs(s / 100.0 - round(o_totalprice * 100) / 100) > 1.0) THEN 1 ELSE 0 END AS n_warnings FROM orders LEFT JOIN l ON l_orderkey = o_orderkey"""
+
+
+@query
+def refine_requirements(spark, sf_dir):
+    r = _requirements(spark, sf_dir).where(F.length("text") > 0)
+    g = reconcile.requirement_group(T.known_category(F.col("category")), F.col("text"))
+    return r.select("req_id", g.alias("grp"))
+
+
+_sql["refine_requirements"] = (
+    "SELECT DISTINCT req_id, CASE WHEN c IN ('license', 'qualification', 'experience', 'financial', 'staff') THEN 0 WHEN c = 'documents' AND ("
+    + " OR ".join(f"contains(t, '{w}')" for w in reconcile.DOCUMENT_MARKERS) + ") THEN 1 WHEN " + " OR ".join(f"contains(t, '{w}')" for w in reconcile.OPERATIONAL)
+    + " THEN 3 ELSE 2 END AS grp FROM (SELECT req_id, lower(trim(category)) AS c, lower(text) AS t FROM requirements WHERE length(text) > 0)"
+)
+
+
+@query
+def refine_penalties(spark, sf_dir):
+    rows = tokens.table_rows(_pages(spark, sf_dir), "page_id").where((F.size("cells") >= 3) & ~T.table_header(F.col("cells")))
+    c = lambda i: F.get("cells", F.lit(i))
+    return rows.select("page_id", "line_no", reconcile.monetary(c(0), c(1), T.formula(c(2)), T.first_money(c(2))["amount"]).alias("monetary"))
+
+
+@query
+def confidence_score(spark, sf_dir):
+    d = pages.page_stats(_pages(spark, sf_dir))
+    sent = F.least(F.col("pages"), F.lit(20))
+    return d.select("doc_id", reconcile.confidence(F.col("chars") > 0, F.col("pages") % 2 == 0, F.col("pages_with_text") > 0, F.col("pages") % 3 == 0, F.array().cast("array<string>"), sent, F.col("pages")).alias("confidence"))
+
+
+_sql["confidence_score"] = f"""
+WITH s AS (SELECT doc_id, count(*) AS n, sum(length(coalesce(text, ''))) AS c, count(*) FILTER (length(coalesce(text, '')) >= 80) AS w FROM ({PAGES}) GROUP BY doc_id)
+SELECT doc_id, round_even(least(1.0, (CASE WHEN c > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN n % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN w > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0.2::DOUBLE ELSE 0 END)
+  * CASE WHEN n > 20 THEN 0.55::DOUBLE + 0.45::DOUBLE * 20 / n ELSE 1 END), 2) AS confidence FROM s"""
+
+
+@query
+def stream_progress(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    totals = read(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") * 2).alias("total"))
+    return progress.progress(e.select("user_id", "event_id"), totals, key="user_id").select("user_id", "done", "percent")
+
+
+_sql["stream_progress"] = "SELECT user_id, count(*) AS done, 20 + CAST(floor(65.0 * count(*) / (count(*) * 2)) AS INT) AS percent FROM events GROUP BY user_id"
+
+
+@query
+def summary_flat(spark, sf_dir):
+    """The whole pipeline without a model: pages to one record per document."""
+    return summarize.flat(summarize.summarize(_pages(spark, sf_dir)))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_values": p3_values}
+def queries() -> dict[str, Query]:
+    return dict(_registered)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
