@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.plans.ship import ensure_shipped
+from folium.plans.ship import cut_lineage, ensure_shipped  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,24 +27,6 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="folium-checkpoint-") if sc.master.startswith("local[") or sc.master == "local" else ""
-        if not named:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def tokenizer_dir(spark: SparkSession | None = None) -> str:
     """Folder of the public tokenizers: the setting folium.tokenizers, else FOLIUM_TOKENIZERS, else the usual place."""
     set_ = spark.conf.get("folium.tokenizers", None) if spark is not None else None
