@@ -77,7 +77,7 @@ def features(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class FTRL:
     """Follow the regularised leader, proximal, per coordinate; weights are made on demand from z and n."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5) -> None:
+    def __init__(self, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.2, l2: float = 0.1) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         self.bias_z = self.bias_n = 0.0
@@ -121,32 +121,43 @@ def passages(text: str, cache: Cache) -> list[np.ndarray]:
     return out
 
 
-def fit(rows: list[tuple[str, float, int]], *, rounds: int = 3, epochs: int = 1, seed: int = 7) -> tuple[np.ndarray, float]:
+def _first_choice(docs: list[tuple[list[np.ndarray], bool, float]]) -> dict[int, int]:
+    """The passage of each unsafe document whose features speak most for unsafe documents, by smoothed log odds of the
+    documents that hold a feature; features of a single unsafe document say nothing."""
+    held = [np.unique(np.concatenate(parts)) for parts, _, _ in docs]
+    count = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
+    total = [0, 0]
+    for features_, (_, unsafe, _) in zip(held, docs):
+        count[unsafe][features_] += 1
+        total[unsafe] += 1
+    odds = np.log((count[1] + 0.5) / (total[1] + 1)) - np.log((count[0] + 0.5) / (total[0] + 1))
+    odds[count[1] < 2] = 0
+    best = lambda x: np.sort(odds[x])[-12:].sum()
+    return {k: int(np.argmax([best(x) for x in parts])) for k, (parts, unsafe, _) in enumerate(docs) if unsafe}
+
+
+def fit(rows: list[tuple[str, float, int]], *, rounds: int = 2, epochs: int = 1, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias from (text, share of raters who said unsafe, raters)."""
     cache, rng = Cache(), np.random.default_rng(seed)
     docs = [(p, share > 0.5, abs(2 * share - 1) * min(1.0, 0.4 + 0.3 * raters)) for text, share, raters in rows if share != 0.5 and (p := passages(text, cache))]
     if not docs:
         return np.zeros(1 << BITS, np.float32), -30.0
-    worst: dict[int, int] = {}
+    worst = _first_choice(docs)
     for turn in range(rounds):
         model = FTRL()
         data = []
         for k, (parts, unsafe, weight) in enumerate(docs):
-            if not unsafe:
-                data += [(x, 0.0, weight) for x in parts]
-            elif turn:
-                data.append((parts[worst[k]], 1.0, weight))
-            else:
-                data += [(x, 1.0, weight * 2 / len(parts)) for x in parts]
+            data += [(parts[worst[k]], 1.0, weight)] if unsafe else [(x, 0.0, weight) for x in parts]
         for _ in range(epochs + (turn == rounds - 1)):
             for i in rng.permutation(len(data)):
                 model.learn(*data[i])
         w = model.weights()
-        worst = {k: int(np.argmax([w[x].sum() for x in parts])) for k, (parts, unsafe, _) in enumerate(docs) if unsafe}
+        if turn < rounds - 1:
+            worst = {k: int(np.argmax([w[x].sum() for x in parts])) for k, (parts, unsafe, _) in enumerate(docs) if unsafe}
     return w, model.bias
 
 
-def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 3000, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """Numbers and values of the non-zero weights, and the bias."""
     rated = labels.where(F.col("unsafe").isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_k"), "rater", "unsafe").distinct()
     rated = rated.groupBy("_k").agg(F.avg(F.col("unsafe").cast("double")).alias("_share"), F.count("*").alias("_raters"))
@@ -160,7 +171,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 3000, doc_
     return at.astype(np.int32), w[at], float(bias)
 
 
-def scores(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_docs: int = 3000, keep: tuple[str, ...] = ()) -> DataFrame:
+def scores(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_docs: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `keep` and score, one row per document."""
     ensure_shipped(documents.sparkSession)
     at, values, bias = train(documents, labels, max_docs=max_docs, doc_id=doc_id, text=text)
@@ -199,11 +210,11 @@ def scores(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     return found.withColumnRenamed("k0", doc_id)
 
 
-def flagged(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
+def flagged(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
     return scores(documents, labels, **options).where(F.col("score") >= threshold)
 
 
-def rates(scored: DataFrame, *, source: str = "source", threshold: float = 0.5) -> DataFrame:
+def rates(scored: DataFrame, *, source: str = "source", threshold: float = 0.3) -> DataFrame:
     """Documents, flagged documents and their share for each source; NULL is a source of its own."""
     flag = (F.col("score") >= threshold).cast("int")
     return scored.groupBy(source).agg(F.count("*").alias("docs"), F.sum(flag).alias("flagged"), F.round(F.avg(flag.cast("double")), 6).alias("rate"))
