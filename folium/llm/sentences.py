@@ -31,7 +31,7 @@ BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 _NOT_OPEN = r"a-zа-яёß-öø-ÿ,;:%—–)\]}»"
 END = re.compile(
     rf"((?<![\s.«„(][A-ZА-ЯЁ])[.!?…؟۔]+)([»“”’\"')\]」』]*)(?:(\s+)(?=[^\s{_NOT_OPEN}])|(?=[^\W\d_a-zа-яёß-öø-ÿ]|[«„“]))"
-    r"|([।॥。！？｡]+)([»“”’\"')\]」』）]*)(\s*)(?=[^\s，、；：,;:)）])"
+    r"|([।॥。！？｡]+)([»”’\"')\]」』）]*)(\s*)(?=[^\s，、；：,;:)）])"
 )
 THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n]+|(?<=[0-9])[^\S\n]+(?=[฀-๿])")
 THAI = re.compile("[฀-๿]")
@@ -47,6 +47,8 @@ BEFORE_NAME = set(
 )
 #: Short forms that may close a sentence; a capital after them decides for a cut.
 MAY_CLOSE = set("руб коп тыс млн млрд шт ед дн мес лет чел см мм км др т.д т.п т.д т.п пр г м кг ч мин сек л га co ltd inc corp usw etc kg".split())
+#: Names of months that follow an ordinal with a point.
+AFTER_ORDINAL = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 NUMBERING = re.compile(r"\s*(?:\d+(?:\.\d+)*|[IVXLC]+|[^\W\d_])[.)]$")
 
 
@@ -78,11 +80,13 @@ def _closing(text: str, start: int, dot: int, after: int) -> float:
     if not word:
         if dot - start <= 12 and token[-1:].isdigit() and NUMBERING.match(text, start, dot + 1):
             return -6.0  # the numbering of a clause belongs to it
+        if token[-1:].isdigit() and len(token) <= 2 and "A" <= nxt <= "S" and AFTER_ORDINAL.match(text, after):
+            return -6.0  # an ordinal of a date
         return 2.0
     rest = inner or (parts[-2] if len(parts) > 1 else "")
     rest = HIDDEN.sub("", rest)
     if _lone_upper(word):
-        if rest[-1:] in ("-", "/") or rest[-1:].isdigit():
+        if rest[-1:] in ("-", "/", "°") or rest[-1:].isdigit():
             return 2.0
         return -4.0 if nxt.isupper() or nxt in "«„" else 1.0
     if "." in low and _lone_upper(word.rpartition(".")[2]):

@@ -7,7 +7,7 @@ the passage that the present weights find worst is positive, and this choice is
 A document's score is the probability of its worst passage.
 
 The classifier is fitted on at most `max_docs` rated documents, those with the least hash of doc_id, read whole; every
-other step covers all rows. Cases: NULL and empty texts and texts without letters get score 0; ties between raters are
+other step covers all rows. Cases: NULL and empty texts and texts without a passage of three words get score 0; ties between raters are
 left out of the fit; without rated documents every score is 0; repeated rows of a document give one row, its highest
 score; other columns of either table are ignored. A very long text is read whole, in passages of at most
 MAX_PASSAGE words.
@@ -194,11 +194,11 @@ def scores(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
                 total = sum(weights[f] for f in features(np.concatenate([h, np.zeros(2, np.uint64)])))
                 ends = np.flatnonzero(h == END)
                 sums = np.add.reduceat(total, np.concatenate([[0], ends[:-1] + 1])) if len(ends) else np.zeros(0)
+                sums = np.where(np.diff(np.concatenate([[-1], ends])) > 3, sums, -np.inf)  # as in the fit, no passage of under three words
                 doc = np.searchsorted(np.cumsum([len(p) for p in parts]), ends, side="right")
                 worst = np.full(len(parts), -np.inf)
                 np.maximum.at(worst, doc, sums)
-                some = np.array([len(p) > 2 for p in parts])
-                out[start:stop] = np.where(some, 1 / (1 + np.exp(-np.clip(worst + bias, -30, 30))), 0.0)
+                out[start:stop] = np.where(np.isfinite(worst), 1 / (1 + np.exp(-np.clip(worst + bias, -30, 30))), 0.0)
                 start = stop
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.round(out, 6))], names=[*[f"k{i}" for i in range(batch.num_columns - 1)], "score"])
 
