@@ -1,12 +1,13 @@
 """Near-duplicate records with small edits (problem 5): an exact set similarity self-join by a token-group matrix.
 
 Texts become sets of hashed runs of three words; texts with one set form a class. All runs are ordered by estimated
-frequency, rarest first; by the classical prefix argument, sets with a Jaccard similarity of t share a run among the
-first n - ceil(t * n) + 1 of each. Classes whose rarest run is the same form a group. The token-group matrix holds, for
-each run, the groups of whose members' prefixes it is one (the group's token union) with their least and greatest set
-size. A class looks its prefix up in the matrix; from the hits h follows the bound h + n - prefix on its overlap with
-any member of the group, and only groups whose bound reaches what the threshold asks are opened, which means a join
-with their members, whose sets are compared exactly.
+frequency, rarest first; by the classical prefix argument, sets with a Jaccard similarity of t share at least `depth`
+runs among the first n - ceil(t * n) + depth of each (or all they share, if that is fewer). Classes whose rarest run is
+the same form a group. The token-group matrix holds, for each run, the groups of whose members' prefixes it is one (the
+group's token union) with the members' least and greatest set size and the run's first place in them. A class looks its
+prefix up in the matrix; hits at places that come too late for the overlap asked are left out, and from the h others
+follows the bound on its overlap with any member of the group. Only groups whose bound reaches what the threshold asks
+are opened, which means a join with their members, whose sets are compared exactly.
 
 The frequencies come from a histogram of 2^18 hash buckets over all rows, of constant size; the order they give only
 decides how selective prefixes are, never what is found. Pairs flow through joins, which AQE splits where a group is
@@ -80,7 +81,7 @@ def _sketch(df: DataFrame, min_words: int) -> np.ndarray:
     return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
 
 
-def _sets(df: DataFrame, rank: np.ndarray, threshold: float, min_words: int, whole: bool) -> DataFrame:
+def _sets(df: DataFrame, rank: np.ndarray, threshold: float, min_words: int, whole: bool, depth: int) -> DataFrame:
     """src, row_id, cls, gkey, n and the set (whole) or its prefix, for each row with enough words.
 
     Copies that one task meets again come without their tokens: a group of copies costs a few bytes a row.
@@ -104,7 +105,7 @@ def _sets(df: DataFrame, rank: np.ndarray, threshold: float, min_words: int, who
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add((src, cls))
-                    part = (tokens >> np.uint64(31)).astype(np.int32) if whole else tokens[order[: n - int(np.ceil(threshold * n - 1e-9)) + 1]].astype(np.int64)
+                    part = (tokens >> np.uint64(31)).astype(np.int32) if whole else tokens[order[: n - int(np.ceil(threshold * n - 1e-9)) + depth]].astype(np.int64)
                 for k, v in enumerate((src, key, cls, first, n, part if fresh else None)):
                     out[k].append(v)
             kind = pa.int32() if whole else pa.int64()
@@ -113,34 +114,47 @@ def _sets(df: DataFrame, rank: np.ndarray, threshold: float, min_words: int, who
     return df.mapInArrow(run, f"src string, row_id bigint, cls bigint, gkey bigint, n int, tokens array<{'int' if whole else 'bigint'}>")
 
 
-def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20, depth: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members: src, cls, row_id; pairs of different classes: src, a, b, jaccard) of rows src, row_id, text."""
     ensure_shipped(df.sparkSession)
+    # a side that is spread by some of a join's keys need not be spread again by all of them
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     slim = df.select(F.col("src").cast("string").alias("src"), F.col("row_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text"))
     slim = slim.where(F.col("row_id").isNotNull() & (F.length("text") >= 2 * min_words))
     rank = _sketch(slim, min_words)
     t = threshold
 
-    postings = _sets(slim, rank, t, min_words, whole=False).where("tokens IS NOT NULL")
-    postings = postings.withColumn("rest", F.col("n") - F.size("tokens")).select("src", "cls", "gkey", "n", "rest", F.explode("tokens").alias("tok")).repartition("tok")
-    # the matrix and its lookups read the same exchange
-    matrix = postings.groupBy("tok", "src", "gkey").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("cls").alias("_1"), F.min("rest").alias("_2")).drop("_1", "_2")
-    looked = postings.alias("q").join(matrix.alias("g"), (F.col("q.tok") == F.col("g.tok")) & (F.col("q.src") == F.col("g.src")) & (F.col("q.gkey") != F.col("g.gkey")) & (F.col("q.n") * t <= F.col("g.most") + 1e-9) & (F.col("g.least") * t <= F.col("q.n") + 1e-9))
-    hits = looked.select(F.col("q.src").alias("src"), F.col("q.cls").alias("cls"), F.col("q.gkey").alias("own"), F.col("g.gkey").alias("gkey"), F.col("q.n").alias("n"), F.col("q.rest").alias("rest"), F.col("g.least").alias("least"))
-    hits = hits.groupBy("src", "cls", "own", "gkey").agg(F.count("*").alias("h"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.min("least").alias("least"))
-    asks = t / (1 + t) * (F.col("n") + F.greatest(F.col("least"), t * F.col("n")))
-    opened = hits.where(F.col("h") + F.col("rest") >= asks - 1e-9).select("src", "cls", "own", "gkey")
-
-    sets = _sets(slim, rank, t, min_words, whole=True)
-    members = sets.select("src", "cls", "row_id").distinct()
-    sets = sets.where("tokens IS NOT NULL").select("src", "cls", "gkey", "n", "tokens").repartition("gkey").dropDuplicates(["gkey", "src", "cls"])
+    # place and size travel as one number; both sides of the lookup read the same exchange
+    posted = _sets(slim, rank, t, min_words, False, depth).where("tokens IS NOT NULL").select("src", "cls", "gkey", "n", F.posexplode("tokens").alias("place", "tok"))
+    posted = posted.select("tok", "src", "cls", "gkey", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("np"))
+    # what joins infer is stated before the exchange, and no column of it goes unused, so that it is made only once
+    posted = posted.where("tok IS NOT NULL AND src IS NOT NULL AND cls IS NOT NULL AND gkey IS NOT NULL AND np IS NOT NULL AND cast(shiftright(np, 32) as int) IS NOT NULL").repartition("tok", "src")
+    n, place = F.expr("cast(shiftright(np, 32) as int)"), F.expr("cast(np & 2147483647 as int)")
+    matrix = posted.groupBy("tok", "src", "gkey").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.min(place).alias("first"), F.min("cls").alias("used"))
+    q = posted.withColumn("n", n).withColumn("place", place).alias("q")
+    g = matrix.alias("g")
+    on = (F.col("q.tok") == F.col("g.tok")) & (F.col("q.src") == F.col("g.src")) & (F.col("q.gkey") != F.col("g.gkey")) & F.col("g.used").isNotNull()
+    on = on & (F.col("q.n") * t <= F.col("g.most") + 1e-9) & (F.col("g.least") * t <= F.col("q.n") + 1e-9)
+    asked = t / (1 + t) * (F.col("q.n") + F.greatest(F.col("g.least"), t * F.col("q.n"))) - 1e-9
+    # the k-th common run leaves at most min(n - place) others; the first `depth` ones must not come later than this
+    on = on & (F.least(F.col("q.n") - F.col("q.place"), F.col("g.most") - F.col("g.first")) >= asked - (depth - 1))
+    hits = q.join(g, on).select(F.col("q.src").alias("src"), F.col("q.cls").alias("cls"), F.col("q.gkey").alias("own"), F.col("g.gkey").alias("gkey"), asked.alias("asked"))
+    hits = hits.groupBy("src", "cls", "own", "gkey").agg(F.count("*").alias("h"), F.min("asked").alias("asked"))
+    opened = hits.where(F.col("h") >= F.least(F.lit(depth), F.ceil("asked"))).select("src", "cls", "own", "gkey")
+
+    sets = _sets(slim, rank, t, min_words, True, depth)
+    members = sets.where("src IS NOT NULL AND cls IS NOT NULL AND row_id IS NOT NULL").select("src", "cls", "row_id").distinct()
+    sets = sets.where("tokens IS NOT NULL AND src IS NOT NULL AND cls IS NOT NULL AND gkey IS NOT NULL AND n IS NOT NULL").select("src", "cls", "gkey", "n", "tokens").repartition("gkey", "src").dropDuplicates(["gkey", "src", "cls"])
     far = sets.alias("s").join(opened.alias("o"), (F.col("s.gkey") == F.col("o.own")) & (F.col("s.src") == F.col("o.src")) & (F.col("s.cls") == F.col("o.cls"))).select("s.src", "s.cls", F.col("o.gkey").alias("gkey"), "s.n", "s.tokens")
-    queries = sets.select("src", "cls", "gkey", "n", "tokens").unionByName(far)
-    a, b = queries.alias("a"), sets.alias("b")
-    close = (F.col("a.gkey") == F.col("b.gkey")) & (F.col("a.src") == F.col("b.src")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.n") * t <= F.col("b.n") + 1e-9) & (F.col("b.n") * t <= F.col("a.n") + 1e-9)
-    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    pairs = a.join(b, close).select(F.col("a.src").alias("src"), F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("jaccard"))
-    return members, pairs.where(F.col("jaccard") >= t - 1e-9)
+
+    def close(queries: DataFrame) -> DataFrame:
+        a, b = queries.alias("a"), sets.alias("b")
+        on = (F.col("a.gkey") == F.col("b.gkey")) & (F.col("a.src") == F.col("b.src")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.n") * t <= F.col("b.n") + 1e-9) & (F.col("b.n") * t <= F.col("a.n") + 1e-9)
+        both = F.size(F.array_intersect("a.tokens", "b.tokens"))
+        return a.join(b, on).select(F.col("a.src").alias("src"), F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("jaccard")).where(F.col("jaccard") >= t - 1e-9)
+
+    # members of one group meet where they are; only sets that open another group travel
+    return members, close(sets).unionByName(close(far))
 
 
 def found_pairs(df: DataFrame, **options) -> DataFrame:
