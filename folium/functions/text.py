@@ -26,7 +26,7 @@ def lines_of(c: Column) -> Column:
 def running(lengths: Column) -> Column:
     """Exclusive running sum of an array of ints."""
     grown = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.slice(grown, F.lit(1), F.size(lengths))
+    return F.slice(grown, F.lit(1), F.greatest(F.size(lengths), F.lit(0)))
 
 
 def mask_numbers(c: Column) -> Column:
@@ -81,17 +81,12 @@ def money_list(c: Column) -> Column:
     number = F.regexp_extract_all(c, F.lit(MONEY), F.lit(1))
     token = F.regexp_extract_all(c, F.lit(MONEY), F.lit(2))
     gaps = F.split(c, MONEY, -1)
-    base = F.arrays_zip(raw.alias("raw"), number.alias("number"), token.alias("token"))
-    total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(
-        base,
-        lambda m, k: F.struct(
-            (total(gaps, k + 1) + total(raw, k)).alias("pos"),
-            squeeze(m["raw"]).alias("raw"),
-            multiplied(parse_amount(m["number"]), m["token"]).alias("amount"),
-            F.length(m["raw"]).alias("width"),
-        ),
-    )
+    # a match begins after the gaps up to it and the matches before it
+    n = F.size(raw)
+    lengths = F.slice(F.transform(gaps, F.length), F.lit(1), n)
+    starts = F.zip_with(F.zip_with(running(lengths), lengths, lambda s, g: s + g), running(F.transform(raw, F.length)), lambda s, m: s + m)
+    base = F.arrays_zip(starts.alias("pos"), raw.alias("raw"), number.alias("number"), token.alias("token"))
+    return F.transform(base, lambda m: F.struct(m["pos"].alias("pos"), squeeze(m["raw"]).alias("raw"), multiplied(parse_amount(m["number"]), m["token"]).alias("amount"), F.length(m["raw"]).alias("width")))
 
 
 def first_money(c: Column) -> Column:
