@@ -132,7 +132,10 @@ def keys(last: list[str], before: list[list[str]]) -> tuple[list[int], list[int]
     whole, inner = set(), set()
     for u in before:
         whole |= {_hash(u), _hash(["…", *u[-WINDOW:]])}
-        inner |= {_hash(u[:k]) for k in range(1, len(u))} | {_hash(["…", *u[max(0, k - WINDOW) : k]]) for k in range(1, len(u))}
+        for k in range(1, len(u)):
+            # a cut may fall before a comma, so the last word counts with and without one
+            for last_word in {u[k - 1], u[k - 1].rstrip(",;:")} - {""}:
+                inner |= {_hash([*u[: k - 1], last_word]), _hash(["…", *u[max(0, k - WINDOW) : k - 1], last_word])}
     return asked, sorted(whole), sorted(inner)
 
 
