@@ -470,7 +470,12 @@ def phrase_near(spark, sf_dir):
 
 @query
 def best_duration(spark, sf_dir):
-    return facts.best_duration(tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id"), key="page_id").select("page_id", "duration")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 300 + 1).alias("q"))
+    text = F.concat(F.lit("Гарантия действует в течение 99 месяцев. Срок выполнения работ составляет "), F.col("q"), F.lit(" календарных дней. Проектные решения готовят в течение 7 рабочих дней."))
+    return facts.best_duration(tokens.sentences(o.select("o_orderkey", text.alias("text")), "o_orderkey"), key="o_orderkey").select("o_orderkey", "duration")
+
+
+_sql["best_duration"] = "SELECT o_orderkey, (o_custkey % 300 + 1) || ' календарных дней' AS duration FROM orders"
 
 
 @query
