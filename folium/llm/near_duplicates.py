@@ -20,6 +20,7 @@ of a key count once; no partner is dropped, however many; texts are read whole;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -46,20 +47,35 @@ class Hashes(dict):
         return value
 
 
-def runs(text: str | None, cache: Hashes, min_words: int, size: int = 3) -> np.ndarray | None:
-    """Distinct hashes (63 bits) of the runs of `size` words in the consistent form of a text."""
-    if not text:
-        return None
-    found = WORD.findall(normal_form(text).lower())
-    if len(found) < max(min_words, size):
-        return None
-    h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+def runs(texts: list[str | None], salts: list[str | None], cache: Hashes, min_words: int, size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes (63 bits) of the runs of `size` words in the consistent form of each text, salted by its table.
+
+    (places of the texts with enough words, offsets, hashes): the sets one after another, each sorted.
+    """
+    kept, lengths, found = [], [], []
+    for k, text in enumerate(texts):
+        if text and len(w := WORD.findall(normal_form(text).lower())) >= max(min_words, size):
+            kept.append(k)
+            lengths.append(len(w))
+            found.append(w)
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(found)), np.uint64, sum(lengths))
+    doc = np.repeat(np.arange(len(kept)), lengths)
+    salt = np.array([crc32((salts[k] or "").encode()) * 2654435761 for k in kept], np.uint64)[doc[: len(h) - size + 1]]
     with np.errstate(over="ignore"):
-        out = np.zeros(len(h) - size + 1, np.uint64)
+        out = salt
         for k in range(size):
             out = (out ^ h[k : len(h) - size + 1 + k]) * M1
             out ^= out >> np.uint64(29)
-    return np.unique(out >> np.uint64(1))
+    whole = doc[: len(out)] == doc[size - 1 :]
+    out, doc = (out >> np.uint64(1))[whole], doc[: len(out)][whole]
+    order = np.lexsort((out, doc))
+    out, doc = out[order], doc[order]
+    first = np.ones(len(out), bool)
+    first[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    out, doc = out[first], doc[first]
+    return np.array(kept), np.searchsorted(doc, np.arange(len(kept) + 1)), out
 
 
 def _sketch(df: DataFrame, min_words: int) -> np.ndarray:
@@ -68,54 +84,66 @@ def _sketch(df: DataFrame, min_words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = Hashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.column(2).to_pylist():
-                tokens = runs(text, cache, min_words)
-                if tokens is not None:
-                    np.add.at(counts, (tokens % np.uint64(BUCKETS)).astype(np.int64), 1)
+            _, _, tokens = runs(batch.column(2).to_pylist(), batch.column(0).to_pylist(), cache, min_words)
+            counts += np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["b", "c"])
 
     total = np.zeros(BUCKETS, np.int64)
     summed = df.mapInArrow(run, "b int, c bigint").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
     total[summed["b"].to_numpy()] = summed["c"].to_numpy()
-    return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
+    return np.floor(2 * np.log2(total + 1)).astype(np.uint64)
 
 
 def _sets(df: DataFrame, rank: np.ndarray, threshold: float, min_words: int, whole: bool, depth: int) -> DataFrame:
-    """src, row_id, cls, gkey, n and the set (whole) or its prefix, for each row with enough words.
+    """whole: src, row_id, cls, gkey, n, tokens of each row with enough words; else tok, cls, gkey, np of each prefix run,
+    np being the set's size and the run's place.
 
-    Copies that one task meets again come without their tokens: a group of copies costs a few bytes a row.
+    Copies that one task meets again come without their runs: a group of copies costs a few bytes a row.
     """
+    schema = "src string, row_id bigint, cls bigint, gkey bigint, n int, tokens array<int>" if whole else "tok bigint, cls bigint, gkey bigint, np bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = Hashes(), set()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for src, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                tokens = runs(text, cache, min_words)
-                if tokens is None:
-                    continue
-                raw = tokens.tobytes()
-                cls = (crc32(raw) << 31 | crc32(raw[::-1]) >> 1) & 0x7FFFFFFFFFFFFFFF
-                n = len(tokens)
-                fresh = (src, cls) not in seen
-                order = np.lexsort((tokens, rank[(tokens % np.uint64(BUCKETS)).astype(np.int64)]))
-                first = int(tokens[order[0]])
-                if fresh:
+            src = batch.column(0).to_pylist()
+            kept, bounds, tokens = runs(batch.column(2).to_pylist(), src, cache, min_words)
+            if not len(kept):
+                continue
+            n = np.diff(bounds)
+            doc = np.repeat(np.arange(len(kept)), n)
+            with np.errstate(over="ignore"):  # the class is a hash of the set
+                mixed = tokens * M2
+                cls = ((np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), bounds[:-1]) * M1) >> np.uint64(1)).astype(np.int64)
+            # the order of runs, rarest first, as one number; it also names the run
+            keys = (rank[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(56) | tokens >> np.uint64(8)).astype(np.int64)
+            gkey = np.minimum.reduceat(keys, bounds[:-1])
+            fresh = np.ones(len(kept), bool)
+            for k, c in enumerate(cls.tolist()):
+                if c in seen:
+                    fresh[k] = False
+                else:
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add((src, cls))
-                    part = (tokens >> np.uint64(31)).astype(np.int32) if whole else tokens[order[: n - int(np.ceil(threshold * n - 1e-9)) + depth]].astype(np.int64)
-                for k, v in enumerate((src, key, cls, first, n, part if fresh else None)):
-                    out[k].append(v)
-            kind = pa.int32() if whole else pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(kind))], names=["src", "row_id", "cls", "gkey", "n", "tokens"])
-
-    return df.mapInArrow(run, f"src string, row_id bigint, cls bigint, gkey bigint, n int, tokens array<{'int' if whole else 'bigint'}>")
-
-
-def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20, depth: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(members: src, cls, row_id; pairs of different classes: src, a, b, jaccard) of rows src, row_id, text."""
+                    seen.add(c)
+            if whole:
+                values = (tokens >> np.uint64(31)).astype(np.uint32).view(np.int32)[fresh[doc]]
+                offsets = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~fresh))
+                yield pa.RecordBatch.from_arrays([pa.array([src[k] for k in kept], pa.string()), batch.column(1).take(pa.array(kept)), pa.array(cls), pa.array(gkey), pa.array(n.astype(np.int32)), lists], names=["src", "row_id", "cls", "gkey", "n", "tokens"])
+                continue
+            order = np.lexsort((keys, doc))
+            place = np.arange(len(keys)) - bounds[doc]
+            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + depth
+            use = (place < prefix[doc]) & fresh[doc]
+            d = doc[use]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[order][use]), pa.array(cls[d]), pa.array(gkey[d]), pa.array(n[d].astype(np.int64) << 32 | place[use])], names=["tok", "cls", "gkey", "np"])
+
+    return df.mapInArrow(run, schema)
+
+
+def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members: src, cls, row_id; pairs of different classes: a, b, jaccard) of rows src, row_id, text."""
     ensure_shipped(df.sparkSession)
     # a side that is spread by some of a join's keys need not be spread again by all of them
     df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
@@ -124,34 +152,34 @@ def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20, d
     rank = _sketch(slim, min_words)
     t = threshold
 
-    # place and size travel as one number; both sides of the lookup read the same exchange
-    posted = _sets(slim, rank, t, min_words, False, depth).where("tokens IS NOT NULL").select("src", "cls", "gkey", "n", F.posexplode("tokens").alias("place", "tok"))
-    posted = posted.select("tok", "src", "cls", "gkey", F.expr("shiftleft(cast(n as bigint), 32) | place").alias("np"))
-    # what joins infer is stated before the exchange, and no column of it goes unused, so that it is made only once
-    posted = posted.where("tok IS NOT NULL AND src IS NOT NULL AND cls IS NOT NULL AND gkey IS NOT NULL AND np IS NOT NULL AND cast(shiftright(np, 32) as int) IS NOT NULL").repartition("tok", "src")
-    n, place = F.expr("cast(shiftright(np, 32) as int)"), F.expr("cast(np & 2147483647 as int)")
-    matrix = posted.groupBy("tok", "src", "gkey").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.min(place).alias("first"), F.min("cls").alias("used"))
+    # both sides of the lookup read one exchange: what joins infer is stated before it, and no column goes unused
+    size = F.expr("cast(shiftright(np, 32) as int)")
+    posted = _sets(slim, rank, t, min_words, False, depth).where("tok IS NOT NULL AND cls IS NOT NULL AND gkey IS NOT NULL AND np IS NOT NULL AND cast(shiftright(np, 32) as int) IS NOT NULL").repartition("tok")
+    n, place = size, F.expr("cast(np & 2147483647 as int)")
+    matrix = posted.groupBy("tok", "gkey").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.min(place).alias("first"), F.min("cls").alias("used"))
     q = posted.withColumn("n", n).withColumn("place", place).alias("q")
     g = matrix.alias("g")
-    on = (F.col("q.tok") == F.col("g.tok")) & (F.col("q.src") == F.col("g.src")) & (F.col("q.gkey") != F.col("g.gkey")) & F.col("g.used").isNotNull()
+    on = (F.col("q.tok") == F.col("g.tok")) & (F.col("q.gkey") != F.col("g.gkey")) & F.col("g.used").isNotNull()
     on = on & (F.col("q.n") * t <= F.col("g.most") + 1e-9) & (F.col("g.least") * t <= F.col("q.n") + 1e-9)
     asked = t / (1 + t) * (F.col("q.n") + F.greatest(F.col("g.least"), t * F.col("q.n"))) - 1e-9
     # the k-th common run leaves at most min(n - place) others; the first `depth` ones must not come later than this
     on = on & (F.least(F.col("q.n") - F.col("q.place"), F.col("g.most") - F.col("g.first")) >= asked - (depth - 1))
-    hits = q.join(g, on).select(F.col("q.src").alias("src"), F.col("q.cls").alias("cls"), F.col("q.gkey").alias("own"), F.col("g.gkey").alias("gkey"), asked.alias("asked"))
-    hits = hits.groupBy("src", "cls", "own", "gkey").agg(F.count("*").alias("h"), F.min("asked").alias("asked"))
-    opened = hits.where(F.col("h") >= F.least(F.lit(depth), F.ceil("asked"))).select("src", "cls", "own", "gkey")
+    hits = q.join(g, on).select(F.col("q.cls").alias("cls"), F.col("q.gkey").alias("own"), F.col("g.gkey").alias("gkey"))
+    # a set of fewer runs than `depth` has no more to share
+    opened = hits.groupBy("cls", "own", "gkey").agg(F.count("*").alias("h")).where(F.col("h") >= min(depth, max(1, int((min_words - 2) * t)))).select("cls", "own", "gkey")
 
-    sets = _sets(slim, rank, t, min_words, True, depth)
-    members = sets.where("src IS NOT NULL AND cls IS NOT NULL AND row_id IS NOT NULL").select("src", "cls", "row_id").distinct()
-    sets = sets.where("tokens IS NOT NULL AND src IS NOT NULL AND cls IS NOT NULL AND gkey IS NOT NULL AND n IS NOT NULL").select("src", "cls", "gkey", "n", "tokens").repartition("gkey", "src").dropDuplicates(["gkey", "src", "cls"])
-    far = sets.alias("s").join(opened.alias("o"), (F.col("s.gkey") == F.col("o.own")) & (F.col("s.src") == F.col("o.src")) & (F.col("s.cls") == F.col("o.cls"))).select("s.src", "s.cls", F.col("o.gkey").alias("gkey"), "s.n", "s.tokens")
+    # sets, their members and their queries read one exchange too
+    stored = _sets(slim, rank, t, min_words, True, depth).where("row_id IS NOT NULL AND cls IS NOT NULL AND gkey IS NOT NULL AND n IS NOT NULL").repartition("gkey")
+    sets = stored.groupBy("gkey", "cls").agg(F.max("tokens").alias("tokens"), F.max("n").alias("n"), F.min("src").alias("src"), F.min("row_id").alias("one")).where("tokens IS NOT NULL AND src IS NOT NULL AND one IS NOT NULL").select("gkey", "cls", "n", "tokens")
+    once = stored.groupBy("gkey", "cls", "src", "row_id").agg(F.max("n").alias("n"), F.max(F.coalesce(F.size("tokens"), F.lit(-1))).alias("used"))
+    members = once.where("used >= -1 AND n > 0").select("src", "cls", "row_id")
+    far = sets.alias("s").join(opened.alias("o"), (F.col("s.gkey") == F.col("o.own")) & (F.col("s.cls") == F.col("o.cls"))).select(F.col("o.gkey").alias("gkey"), "s.cls", "s.n", "s.tokens")
 
     def close(queries: DataFrame) -> DataFrame:
         a, b = queries.alias("a"), sets.alias("b")
-        on = (F.col("a.gkey") == F.col("b.gkey")) & (F.col("a.src") == F.col("b.src")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.n") * t <= F.col("b.n") + 1e-9) & (F.col("b.n") * t <= F.col("a.n") + 1e-9)
+        on = (F.col("a.gkey") == F.col("b.gkey")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.n") * t <= F.col("b.n") + 1e-9) & (F.col("b.n") * t <= F.col("a.n") + 1e-9)
         both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-        return a.join(b, on).select(F.col("a.src").alias("src"), F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("jaccard")).where(F.col("jaccard") >= t - 1e-9)
+        return a.join(b, on).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), (both / (F.col("a.n") + F.col("b.n") - both)).alias("jaccard")).where(F.col("jaccard") >= t - 1e-9)
 
     # members of one group meet where they are; only sets that open another group travel
     return members, close(sets).unionByName(close(far))
@@ -160,9 +188,9 @@ def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20, d
 def found_pairs(df: DataFrame, **options) -> DataFrame:
     """src, id_a, id_b of all pairs of records, equal ones included."""
     members, pairs = class_pairs(df, **options)
-    x, y = members.select("src", F.col("cls").alias("a"), F.col("row_id").alias("x")), members.select("src", F.col("cls").alias("b"), F.col("row_id").alias("y"))
-    apart = pairs.join(x, ["src", "a"]).join(y, ["src", "b"]).select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    equal = x.join(y.withColumnRenamed("b", "a"), ["src", "a"]).where("x < y").select("src", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    x, y = members.select("src", F.col("cls").alias("a"), F.col("row_id").alias("x")), members.select(F.col("cls").alias("b"), F.col("row_id").alias("y"))
+    apart = pairs.join(x, "a").join(y, "b").select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    equal = x.join(y.withColumnRenamed("b", "a"), "a").where("x < y").select("src", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     return apart.where("id_a <> id_b").unionByName(equal)
 
 
@@ -172,20 +200,20 @@ def groups(df: DataFrame, *, rounds: int = 20, **options) -> DataFrame:
     Labels are spread along links until none changes; rows are never gathered, and lineage is cut in the shared folder.
     """
     members, pairs = class_pairs(df, **options)
-    pairs = cut_lineage(pairs.select("src", "a", "b"))
+    pairs = cut_lineage(pairs.select("a", "b"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    edges = pairs.select("src", ways.alias("e")).select("src", "e.a", "e.b")
-    degree = edges.groupBy("src", "a").agg(F.count("*").alias("links"))
-    label = cut_lineage(degree.select("src", "a", F.col("a").alias("g"), "links"))
+    edges = pairs.select(ways.alias("e")).select("e.a", "e.b")
+    degree = edges.groupBy("a").agg(F.count("*").alias("links"))
+    label = cut_lineage(degree.select("a", F.col("a").alias("g"), "links"))
     for _ in range(rounds * 5):
-        near = edges.join(label.select("src", F.col("a").alias("b"), "g"), ["src", "b"]).groupBy("src", "a").agg(F.min("g").alias("m"))
-        step = label.join(near, ["src", "a"]).select("src", "a", F.least("g", "m").alias("g"), "links", (F.col("m") < F.col("g")).alias("moved"))
+        near = edges.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
+        step = label.join(near, "a").select("a", F.least("g", "m").alias("g"), "links", (F.col("m") < F.col("g")).alias("moved"))
         # a jump: the label of the label
-        jump = step.select("src", F.col("a").alias("g"), F.col("g").alias("gg"))
-        step = cut_lineage(step.join(jump, ["src", "g"], "left").select("src", "a", F.least("g", F.coalesce("gg", "g")).alias("g"), "links", "moved"))
+        jump = step.select(F.col("a").alias("g"), F.col("g").alias("gg"))
+        step = cut_lineage(step.join(jump, "g", "left").select("a", F.least("g", F.coalesce("gg", "g")).alias("g"), "links", "moved"))
         label = step.drop("moved")
         if step.where("moved").isEmpty():
             break
     else:
         raise RuntimeError("links are longer than the rounds allow: raise `rounds`")
-    return members.join(label.withColumnRenamed("a", "cls"), ["src", "cls"], "left").select("src", "row_id", F.coalesce("g", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return members.join(label.withColumnRenamed("a", "cls"), "cls", "left").select("src", "row_id", F.coalesce("g", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

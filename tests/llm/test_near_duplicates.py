@@ -26,7 +26,7 @@ def texts(seed, n):
 
 def brute(rows):
     cache = N.Hashes()
-    sets = {(s, i): set(v.tolist()) for s, i, t in {(s, i, t) for s, i, t, *_ in rows if i is not None} if (v := N.runs(t, cache, 20)) is not None}
+    sets = {(s, i): set(v.tolist()) for s, i, t in {(s, i, t) for s, i, t, *_ in rows if i is not None} if len(v := N.runs([t], [s], cache, 20)[2])}
     return {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a in sets for b in sets if a < b and a[0] == b[0] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
 
 
