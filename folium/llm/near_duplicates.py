@@ -20,7 +20,6 @@ of a key count once; no partner is dropped, however many; texts are read whole;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.common import cut_lineage
-from folium.llm.confusables import normal_form
+from folium.llm.confusables import is_plain, normal_form
 from folium.llm.leakage import WORD
 from folium.plans.ship import ensure_shipped
 
@@ -37,15 +36,44 @@ BUCKETS = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+NOTHING, ASK = 0, 1
+
+
 class Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    """Hash of the word in a piece between white space; NOTHING where there is none, ASK where its form needs the text."""
+
+    def __missing__(self, piece: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        b = word.encode()
-        value = crc32(b) << 32 | crc32(b, 0x5BD1E995)
-        self[word] = value
+        word = WORD.search(piece.lower())
+        if not is_plain(piece):
+            value = ASK
+        elif word is None:
+            value = NOTHING
+        else:
+            value = self.known(word.group())
+        self[piece] = value
         return value
 
+    @staticmethod
+    def known(word: str) -> int:
+        """Hash of a word that already has its form."""
+        b = word.encode()
+        return crc32(b) << 32 | crc32(b, 0x5BD1E995) | 2
+
+
+def word_hashes(text: str, cache: Hashes) -> np.ndarray:
+    """Hashes of the words of a text in its consistent form; most texts need no more than a look at each piece."""
+    pieces = text.split()
+    h = np.fromiter(map(cache.__getitem__, pieces), np.uint64, len(pieces))
+    if (h < 2).any():
+        if (h == ASK).any():
+            pieces = WORD.findall(normal_form(text).lower())
+            h = np.fromiter(map(cache.known, pieces), np.uint64, len(pieces))
+        else:
+            h = h[h != NOTHING]
+    return h
+
 
 def runs(texts: list[str | None], salts: list[str | None], cache: Hashes, min_words: int, size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes (63 bits) of the runs of `size` words in the consistent form of each text, salted by its table.
@@ -54,13 +82,13 @@ def runs(texts: list[str | None], salts: list[str | None], cache: Hashes, min_wo
     """
     kept, lengths, found = [], [], []
     for k, text in enumerate(texts):
-        if text and len(w := WORD.findall(normal_form(text).lower())) >= max(min_words, size):
+        if text and len(w := word_hashes(text, cache)) >= max(min_words, size):
             kept.append(k)
             lengths.append(len(w))
             found.append(w)
     if not kept:
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(found)), np.uint64, sum(lengths))
+    h = np.concatenate(found)
     doc = np.repeat(np.arange(len(kept)), lengths)
     salt = np.array([crc32((salts[k] or "").encode()) * 2654435761 for k in kept], np.uint64)[doc[: len(h) - size + 1]]
     with np.errstate(over="ignore"):
