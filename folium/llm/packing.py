@@ -1,15 +1,17 @@
 """Filling containers of fixed capacity with texts (problem 7): lexical retrieval packing.
 
 Documents stream through shards of bounded size. A shard holds a BM25 inverted index of its documents; the longest
-unused text seeds a window, the index returns its unused lexical neighbours, best first, and they greedily fill the
-window; what room is left goes to the largest unused texts that still fit, so little stays empty. A text larger than
+unused text seeds a window, all its terms are scored, and every unused text of the shard that shares one fills the
+window greedily, best first; only when none that scores fits does the room left go to the largest unused texts that fit.
+Terms of half the shard or more have no positive BM25 weight and tell nothing. A text larger than
 the capacity, and only such a text, is cut into full windows and a rest, which is packed like any other. Sizes are
 tokens of a public tokenizer, counted per pre-token with a cache, which gives the tokenizer's own counts, since byte
 pair merges never cross a pre-token. Nothing is shuffled; each shard leaves one partly filled container at most for
 each capacity besides those that no remaining text fits.
 
 Cases: NULL and empty texts have no tokens and are left out; ids that repeat are packed once in a shard by their first
-text and, over shards, once for each copy, so pass unique ids; capacities of 0 or less and NULL ones are refused;
+text and, over shards, once for each copy, so pass unique ids; capacities of 0 or less and more than 1,000 are refused,
+NULL ones skipped;
 ties go to the smaller place in the shard; other columns are ignored; empty tables give no rows; a very long text
 fills containers of its own, its rest shares one.
 """
@@ -34,7 +36,8 @@ from folium.plans.ship import ensure_shipped
 
 SCHEMA = "container_id int, capacity_tokens int, bin_id string, doc_id bigint, piece_no int, start_token bigint, end_token bigint"
 SHARD_DOCS, SHARD_TOKENS = 2048, 4_000_000
-QUERY_TERMS, NEIGHBOURS = 12, 32
+COMMON, TERM_BLOCK = 16, 1024
+MAX_CAPACITIES = 1000
 K1, B = 1.2, 0.75
 #: The vocabulary's pre-token pattern, for texts of plain letters only, where re gives what the full pattern does.
 FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -84,24 +87,43 @@ class Shard:
         norm = K1 * (1 - B + B * length[doc] / max(1.0, length.mean()))
         self.weight = idf[place] * tf * (K1 + 1) / (tf + norm)
         self.query = np.searchsorted(doc, np.arange(n + 1))
-        self.place, self.idf = place, idf
+        self.place = place
         order = np.argsort(place, kind="stable")
         self.posted, self.scores = doc[order], self.weight[order]
         self.lists = np.searchsorted(place[order], np.arange(len(df) + 1))
-
-    def neighbours(self, d: int) -> list[int]:
-        lo, hi = self.query[d], self.query[d + 1]
-        if lo == hi:
-            return []
-        places = self.place[lo:hi]
-        if hi - lo > QUERY_TERMS:
-            places = places[np.argpartition(-self.weight[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [(self.lists[p], self.lists[p + 1]) for p in places]
-        docs = np.concatenate([self.posted[a:b] for a, b in spans])
-        total = np.bincount(docs, np.concatenate([self.scores[a:b] for a, b in spans]), minlength=self.n)
+        self.shared: np.ndarray | None = None
+
+    def common(self) -> np.ndarray:
+        """Scores of every pair by the terms of more than n / COMMON documents, in blocks of TERM_BLOCK terms."""
+        total = np.zeros((self.n, self.n))
+        df = np.diff(self.lists)
+        terms = np.flatnonzero(df * COMMON > self.n)
+        for k in range(0, len(terms), TERM_BLOCK):
+            block = terms[k : k + TERM_BLOCK]
+            at = _spans(self.lists[block], df[block])
+            weights = np.zeros((len(block), self.n))
+            weights[np.repeat(np.arange(len(block)), df[block]), self.posted[at]] = self.scores[at]
+            total += (weights > 0).T.astype(float) @ weights
+        return total
+
+    def neighbours(self, d: int) -> np.ndarray:
+        """Every document of the shard that shares a weighted term with d, best first."""
+        if self.shared is None:
+            self.shared = self.common()
+        places = self.place[self.query[d] : self.query[d + 1]]
+        df = self.lists[places + 1] - self.lists[places]
+        rare = df * COMMON <= self.n
+        at = _spans(self.lists[places[rare]], df[rare])
+        # rounded, so that equal documents tie whatever the order of summation
+        total = np.round(self.shared[d] + np.bincount(self.posted[at], self.scores[at], minlength=self.n), 9)
         total[d] = 0
-        top = np.argpartition(-total, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS]
-        return [int(x) for x in top[np.lexsort((top, -total[top]))] if total[x] > 0]
+        return np.argsort(-total, kind="stable")[: np.count_nonzero(total)].astype(np.int32)
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 def pack(sizes: list[int], capacity: int, neighbours) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -113,29 +135,29 @@ def pack(sizes: list[int], capacity: int, neighbours) -> Iterator[list[tuple[int
             yield [(d, k, k * capacity, (k + 1) * capacity)]
         if n % capacity:
             rest[d] = (full, full * capacity, n)
-    size = {d: n - a for d, (_, a, n) in rest.items()}
-    free = sorted((s, -d) for d, s in size.items())
+    size = np.zeros(len(sizes), np.int64)  # 0 once used
+    for d, (_, a, n) in rest.items():
+        size[d] = n - a
+    free = sorted((n - a, -d) for d, (_, a, n) in rest.items())
     while free:
         s, d = free.pop()
         d = -d
         window, room = [d], capacity - s
-        del size[d]
-        if free and free[0][0] <= room:
-            for x in neighbours(d):
-                if (s := size.get(x, 0)) and s <= room:
-                    # a neighbour may not leave a gap that nothing can fill while a better fit exists
-                    window.append(x)
-                    room -= s
-                    del size[x]
-                    del free[bisect_right(free, (s, -x)) - 1]
-                    if not free or free[0][0] > room:
-                        break
-            while free and free[0][0] <= room:
-                k = bisect_right(free, (room, 1)) - 1
-                s, x = free.pop(k)
-                window.append(-x)
-                room -= s
-                del size[-x]
+        size[d] = 0
+        near = np.asarray(neighbours(d), np.int64) if free and free[0][0] <= room else np.array([], np.int64)
+        while (near := near[(size[near] > 0) & (size[near] <= room)]).size:
+            x = int(near[0])
+            s = int(size[x])
+            window.append(x)
+            room -= s
+            size[x] = 0
+            del free[bisect_right(free, (s, -x)) - 1]
+        while free and free[0][0] <= room:
+            k = bisect_right(free, (room, 1)) - 1
+            s, x = free.pop(k)
+            window.append(-x)
+            room -= s
+            size[-x] = 0
         yield [(x, *rest[x]) for x in window]
 
 
@@ -144,7 +166,10 @@ def containers(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "do
     spark = documents.sparkSession
     ensure_shipped(spark)
     folder = tokenizer_dir(spark)
-    kinds = sorted((int(r[0]), int(r[1])) for r in capacities.select("container_id", "capacity_tokens").distinct().limit(1000).collect() if r[0] is not None and r[1] is not None)
+    given = capacities.select("container_id", "capacity_tokens").where("container_id IS NOT NULL AND capacity_tokens IS NOT NULL").distinct().limit(MAX_CAPACITIES + 1).collect()
+    if len(given) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
+    kinds = sorted((int(r[0]), int(r[1])) for r in given)
     if any(c <= 0 for _, c in kinds):
         raise ValueError("a capacity must be positive")
 
@@ -161,9 +186,9 @@ def containers(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "do
 
         def flush() -> pa.RecordBatch:
             index = Shard(terms)
-            known: dict[int, list[int]] = {}
+            known: dict[int, np.ndarray] = {}
 
-            def neighbours(d: int) -> list[int]:
+            def neighbours(d: int) -> np.ndarray:
                 if d not in known:
                     known[d] = index.neighbours(d)
                 return known[d]

@@ -57,3 +57,23 @@ def test_neighbours_come_first():
     terms = [np.array([1, 2, 3, 50 + i]) if i % 5 == 0 else np.array([9, 100 + i, 200 + i]) for i in range(40)]
     shard = packing.Shard(terms)
     assert all(x % 5 == 0 for x in shard.neighbours(0)[:7])
+
+
+def test_all_terms_and_all_neighbours_count():
+    import numpy as np
+
+    # documents 0-59 share one light term each holds among 20 heavier ones of its own kind; the rest share nothing
+    own = [np.repeat(1000 + 20 * (i // 2) + np.arange(20), 3) for i in range(60)]
+    terms = [np.append(t, 7) for t in own] + [np.array([100_000 + i]) for i in range(100)]
+    shard = packing.Shard(terms)
+    assert list(shard.neighbours(0))[:1] == [1] and sorted(shard.neighbours(0)) == list(range(1, 60))
+    # the last 20 of them are reached although the 39 before are too big for the room
+    sizes = [90] + [50] * 39 + [1] * 20 + [2] * 100
+    first = next(w for w in packing.pack(sizes, 100, shard.neighbours) if w[0][0] == 0)
+    assert sorted(x for x, *_ in first)[:11] == [0, *range(40, 50)]
+
+
+def test_too_many_capacities_are_refused(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        packing.containers(df, spark.range(1001).selectExpr("CAST(id AS INT) AS container_id", "64 AS capacity_tokens"))
