@@ -614,7 +614,7 @@ FROM (SELECT DISTINCT money_id, doc_id, field, amount, raw FROM money_facts) GRO
 
 @query
 def merge_unique_texts(spark, sf_dir):
-    c = read(spark, sf_dir, "chunks").select("doc_id", "chunk_id", F.left("text", F.lit(40)).alias("text")).distinct()
+    c = read(spark, sf_dir, "chunks").select("doc_id", "chunk_id", "text").distinct()
     return merging.unique_texts(c, "doc_id", text="text", order=["chunk_id"], limit=merging.MAX_MENTIONS).select("doc_id", "chunk_id")
 
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folium import queries
 from folium.operators import chunks, facts, jsonrepair, merging, provider, reconcile, tokens
 from folium.plans import summarize
 from folium.sources import ingest
@@ -156,3 +157,10 @@ def test_stream(spark, tmp_path):
     q = progress.run_batches(progress.arriving(spark, src, "doc_id string, chunk_idx int"), lambda df, n: got.extend(map(tuple, progress.progress(df).collect())), str(tmp_path / "state"))
     q.awaitTermination(60)
     assert sorted(got) == [("a", 2), ("b", 1)]
+
+
+def test_unique_texts_compare_whole_chunks(spark, tmp_path):
+    head = "[[стр. 3]]\nПроект контракта на капитальный ремонт кровли. "
+    rows = [("d", 1, head + "Цена."), ("d", 2, head + "Сроки."), ("d", 3, head + "Цена!"), ("d", 3, head + "Цена!")]
+    spark.createDataFrame(rows, "doc_id string, chunk_id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert sorted(map(tuple, queries.merge_unique_texts(spark, str(tmp_path)).collect())) == [("d", 1), ("d", 2)]
