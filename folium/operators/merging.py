@@ -40,20 +40,32 @@ def similar(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | ((shorter >= SHORTEST_CONTAINED) & (a.contains(b) | b.contains(a))))
 
 
+def distinct_by(items: Column, key) -> Column:
+    """Elements of an array with the first of each key, in order."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
+def unique_list(texts: Column) -> Column:
+    """array<string>: stripped texts, blank ones dropped, the first of each merge key."""
+    return distinct_by(F.filter(F.transform(texts, T.strip), lambda x: x.isNotNull() & (x != "")), T.merge_key)
+
+
 def fuzzy_distinct(items: Column) -> Column:
     """Greedy fold over array<struct<text, pages: array<int>>>, longest text first: an item similar to one kept before
-    gives it its pages; containment isn't transitive, so a self-join would give other results."""
-    keyed = F.transform(F.filter(items, lambda x: T.strip(x["text"]) != ""), lambda x, i: F.struct((-F.length(x["text"])).alias("w"), i.alias("i"), x["text"].alias("text"), T.merge_key(x["text"]).alias("key"), F.coalesce(x["pages"], F.array().cast("array<int>")).alias("pages")))
-    kind = "array<struct<text:string,key:string,pages:array<int>>>"
+    gives it its pages; containment isn't transitive, so a self-join would give other results. `at` is the kept item's
+    place in the array given, from 0."""
+    keyed = F.filter(F.transform(items, lambda x, i: F.struct((-F.length(x["text"])).alias("w"), i.alias("i"), x["text"].alias("text"), T.merge_key(x["text"]).alias("key"), F.coalesce(x["pages"], F.array().cast("array<int>")).alias("pages"))), lambda x: T.strip(x["text"]) != "")
+    kind = "array<struct<text:string,key:string,pages:array<int>,at:int>>"
 
     def step(kept: Column, x: Column) -> Column:
         at = F.array_position(F.transform(kept, lambda k: similar(k["key"], x["key"])), F.lit(True))
-        grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(k["text"].alias("text"), k["key"].alias("key"), F.array_sort(F.array_union(k["pages"], x["pages"])).alias("pages"))).otherwise(k))
-        added = F.concat(kept, F.array(F.struct(x["text"].alias("text"), x["key"].alias("key"), F.array_sort(F.array_distinct(x["pages"])).alias("pages"))))
+        grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(k["text"].alias("text"), k["key"].alias("key"), F.array_sort(F.array_union(k["pages"], x["pages"])).alias("pages"), k["at"].alias("at"))).otherwise(k))
+        added = F.concat(kept, F.array(F.struct(x["text"].alias("text"), x["key"].alias("key"), F.array_sort(F.array_distinct(x["pages"])).alias("pages"), x["i"].alias("at"))))
         return F.when(at > 0, grown).otherwise(added).cast(kind)
 
     kept = F.aggregate(F.array_sort(keyed), F.array().cast(kind), step)
-    return F.transform(kept, lambda k: F.struct(k["text"].alias("text"), F.filter(k["pages"], lambda p: p.isNotNull() & (p != 0)).alias("pages")))
+    return F.transform(kept, lambda k: F.struct(k["text"].alias("text"), F.filter(k["pages"], lambda p: p.isNotNull() & (p != 0)).alias("pages"), k["at"].alias("at")))
 
 
 def fuzzy_penalties(items: Column) -> Column:
@@ -85,6 +97,35 @@ def capped(items: Column, limit: int) -> Column:
     return F.slice(items, F.lit(1), F.lit(limit))
 
 
+TEXTS = ["subject", "customer", "procurement_number", "start", "end", "duration"]
+MONEY = ["contract_price", "contract_security", "application_security"]
+LISTS = ["mentions", "stages", "requirements", "penalties", "warnings"]
+
+
+def merged_records(parts: DataFrame, *, key: str = "doc_id", order: str = "chunk_idx") -> DataFrame:
+    """key, partials and the fields of the records in `parts` merged: first texts, best amounts, distinct lists.
+
+    A single record keeps its lists as they are but for the limits. A document's lists are those of its chunks sent, so
+    they are bounded by them.
+    """
+    o = F.col(order)
+    whole = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.col(c).alias("x")))), lambda p: p["x"]))
+    m = parts.groupBy(key).agg(
+        F.count("*").alias("partials"), *[first_text(F.col(c), o).alias(c) for c in TEXTS],
+        *[best_money(F.col(c)["amount"], F.col(c)["raw"], o, F.col(c)["amount"]).alias(c) for c in MONEY], *[whole(c).alias(c) for c in LISTS],
+    )
+    r, p = F.col("requirements"), F.col("penalties")
+    unlike = fuzzy_distinct(F.transform(r, lambda x: F.struct(x["text"].alias("text"), x["source_pages"].alias("pages"))))
+    requirements = F.transform(unlike, lambda k: F.struct(F.get(r, k["at"])["category"].alias("category"), k["text"].alias("text"), F.get(r, k["at"])["mandatory"].alias("mandatory"), k["pages"].alias("source_pages")))
+    given = F.transform(p, lambda x: F.struct(x["violation"].alias("violation"), x["sanction"].alias("sanction"), x["formula"].alias("formula"), x["amount"].alias("amount"), x["source_pages"].alias("pages")))
+    penalties = F.transform(fuzzy_penalties(given), lambda k: F.struct(k["violation"].alias("violation"), k["sanction"].alias("sanction"), k["formula"].alias("formula"), k["amount"].alias("amount"), k["pages"].alias("source_pages")))
+    stages = distinct_by(F.filter("stages", lambda x: T.merge_key(x["name"]) != ""), lambda x: T.merge_key(x["name"]))
+    new = {"mentions": (unique_list(F.col("mentions")), MAX_MENTIONS), "stages": (stages, MAX_STAGES), "requirements": (requirements, MAX_REQUIREMENTS), "penalties": (penalties, MAX_PENALTIES)}
+    only = F.col("partials") == 1
+    cols = {c: capped(F.when(only, F.col(c)).otherwise(x), n) for c, (x, n) in new.items()}
+    return m.withColumns(cols | {"warnings": F.when(only, F.col("warnings")).otherwise(unique_list(F.col("warnings")))})
+
+
 def token_usage(calls: DataFrame, *keys: str) -> DataFrame:
     """calls and token sums; zeros count as not stated, a sum of nothing is NULL."""
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum(F.nullif("prompt_tokens", F.lit(0))).alias("prompt_tokens"), F.sum(F.nullif("completion_tokens", F.lit(0))).alias("completion_tokens"))

@@ -14,6 +14,8 @@ NOT_EXTRACTED = "{label}: значение не извлечено модель
 PRICE_MISSING = "Сумма контракта не найдена: проверьте, что в файл включён раздел с НМЦК (часто он лежит в отдельном обоснования цены)"
 NOT_IN_TEXT = " не найдено в тексте документа дословно - проверьте по исходному файлу"
 OTHER_VALUE = "{label}: правила нашли в тексте другое значение - "
+REQUIREMENTS_RESTORED = "Требования к исполнителю восстановлены правилами: модель не выделила их во фрагментах документа"
+PENALTIES_RESTORED = "Штрафы и пени восстановлены правилами: модель не выделила их во фрагментах документа"
 CRITICAL = ["не извлечено моделью", "не найдено в тексте", "расходятся"]
 
 

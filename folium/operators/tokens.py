@@ -58,10 +58,20 @@ def page_of(positions: DataFrame, markers: DataFrame, *, doc: str = "doc_id", po
     return both.withColumn(page, F.last(page, ignorenulls=True).over(w)).where("_rank = 1").drop("_rank")
 
 
-def page_at(text: Column, pos: Column) -> Column:
-    """The same within one text, by its own markers."""
+def page_marks(text: Column) -> Column:
+    """array of struct(pos, page): the page markers of a text, in order."""
     parts = F.split(text, R.MARKER, -1)
     widths = F.transform(F.regexp_extract_all(text, F.lit(R.MARKER), F.lit(0)), F.length)
     begins = F.zip_with(T.running(F.transform(F.slice(parts, F.lit(1), F.size(widths)), F.length)), F.transform(F.arrays_zip(T.running(widths).alias("w"), F.slice(parts, F.lit(1), F.size(widths)).alias("p")), lambda x: x["w"] + F.length(x["p"])), lambda a, b: a + b)
-    upto = F.size(F.filter(begins, lambda b: b <= pos))
-    return F.when(upto > 0, F.element_at(F.regexp_extract_all(text, F.lit(R.MARKER), F.lit(1)), F.greatest(upto, F.lit(1))).cast("int"))
+    return F.zip_with(begins, F.regexp_extract_all(text, F.lit(R.MARKER), F.lit(1)), lambda b, n: F.struct(b.alias("pos"), n.cast("int").alias("page")))
+
+
+def marked_page(marks: Column, pos: Column) -> Column:
+    """The page of the last marker at or before pos, NULL if none."""
+    upto = F.filter(marks, lambda m: m["pos"] <= pos)
+    return F.when(F.size(upto) > 0, F.element_at(upto, F.greatest(F.size(upto), F.lit(1)))["page"])
+
+
+def page_at(text: Column, pos: Column) -> Column:
+    """The same within one text, by its own markers."""
+    return marked_page(page_marks(text), pos)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
-from folium.operators import chunks, facts, jsonrepair, pages, provider, reconcile, tokens
+from folium.operators import chunks, facts, jsonrepair, merging, pages, provider, reconcile, tokens
 from folium.plans.ship import cut_lineage
 from folium.operators.merging import MAX_MENTIONS, MAX_STAGES, capped
 from folium.rules import procurement_ru as R
@@ -32,9 +32,12 @@ def rule_summary(docs: DataFrame) -> DataFrame:
     parts.append(facts.phrase_near(text, R.END_KEYWORDS, skip=R.END_SKIP).withColumnRenamed("value", "end"))
     parts.append(facts.best_duration(tokens.sentences(text, "doc_id")).select("doc_id", "duration", F.array(T.squeeze(F.col("sentence"))).alias("mentions")))
     listed = lambda df, no, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(no, *[c for c in df.columns if c not in ("doc_id", no)]))).alias(name))
-    parts.append(listed(facts.stages(text), "stage_no", "stages").withColumn("stages", capped(F.col("stages"), MAX_STAGES)))
-    parts.append(listed(facts.requirements(text), "req_no", "requirements"))
-    parts.append(listed(facts.penalties(text), "pen_no", "penalties"))
+    parts.append(listed(facts.stages(text), "stage_no", "stages").withColumn("stages", capped(F.transform("stages", lambda x: F.struct(x["name"].alias("name"), x["deadline"].alias("deadline"))), MAX_STAGES)))
+    marks = text.select("doc_id", tokens.page_marks(F.col("text")).alias("_marks"))
+    pages_of = lambda x: F.filter(F.array(tokens.marked_page(F.col("_marks"), x["pos"])), lambda n: n.isNotNull() & (n != 0)).alias("source_pages")
+    for found, no, name, kept in ((facts.requirements(text), "req_no", "requirements", ["category", "text", "mandatory"]), (facts.penalties(text), "pen_no", "penalties", ["violation", "sanction", "formula", "amount"])):
+        rows = listed(found, no, name).join(marks, "doc_id")
+        parts.append(rows.select("doc_id", F.transform(name, lambda x: F.struct(*[x[c].alias(c) for c in kept], pages_of(x))).alias(name)))  # noqa: B023
     return reduce(lambda a, b: a.join(b, "doc_id", "left"), parts)
 
 
@@ -61,7 +64,8 @@ def finished(summary: DataFrame, warnings=None) -> DataFrame:
 
 def summarize(page_rows: DataFrame, make: Callable[[], provider.Provider] | None = None, *, chunk_chars: int = 12_000, overlap_chars: int = 800, max_chunks: int = 20) -> DataFrame:
     """One record per document. Without a provider the rules read whole documents; with one, its replies for the most
-    relevant chunks are repaired and merged first, and the rules fill what it left out and check its price."""
+    relevant chunks are repaired and merged first, and the rules fill what it left out and check its amounts. A document
+    none of whose calls gave a valid reply has a row with code and detail and no values."""
     clean = pages.normalized(page_rows)
     docs = pages.marked_text(clean)
     rules = rule_summary(docs)
@@ -69,19 +73,33 @@ def summarize(page_rows: DataFrame, make: Callable[[], provider.Provider] | None
         return finished(rules)
     every = chunks.scored(chunks.packed(clean, chunk_chars=chunk_chars, overlap_chars=overlap_chars))
     sent = chunks.selected(every, max_chunks=max_chunks)
-    calls = provider.called(sent, make)
-    parsed = jsonrepair.fields(jsonrepair.validated(jsonrepair.repair(calls, "doc_id", "chunk_idx", text="reply")).where("valid"))
-    merged = parsed.groupBy("doc_id").agg(F.count("*").alias("partials"), F.min_by("subject", F.when(F.col("subject").isNotNull(), F.col("chunk_idx"))).alias("_subject"), F.min_by("customer", F.when(F.col("customer").isNotNull(), F.col("chunk_idx"))).alias("_customer"), F.min_by("price", F.when(F.col("price").isNotNull(), F.col("chunk_idx"))).alias("_price"))
+    # calls are paid for: their checked replies are written once to the shared folder
+    checked = cut_lineage(jsonrepair.validated(jsonrepair.repair(provider.called(sent, make), "doc_id", "chunk_idx", "failure", text="reply")))
+    invalid = F.concat(F.lit("the reply breaks the schema: "), F.col("fault"))
+    outcome = checked.select("doc_id", "chunk_idx", F.when(F.col("valid"), F.col("json")).alias("reply"), F.when(~F.col("valid"), F.coalesce("failure", invalid)).alias("failure"))
+    merged = merging.merged_records(jsonrepair.record(checked.where("valid").select("doc_id", "chunk_idx", "json")))
     counted = every.groupBy("doc_id").agg(F.count("*").alias("chunks_total")).withColumn("chunks_sent", F.least("chunks_total", F.lit(max_chunks)))
     digits = docs.select("doc_id", T.digits_joined(T.strip_markers(F.col("text"))).alias("_digits"))
-    s = merged.join(rules, "doc_id").join(counted, "doc_id").join(digits, "doc_id")
-    price, warnings = reconcile.checked_amount(F.col("_price"), F.col("contract_price"), F.col("_digits"), "Сумма контракта", critical=True)
-    s = s.withColumn("_w", F.concat(reconcile.coverage_warnings(F.col("partials"), F.col("chunks_sent"), F.col("chunks_total")), F.filter(warnings, lambda w: w != reconcile.PRICE_MISSING)))
-    s = s.withColumn("contract_price", price).withColumn("subject", reconcile.filled(F.col("_subject"), F.col("subject"))).withColumn("customer", reconcile.filled(F.col("_customer"), F.col("customer"), role=True)).withColumn("procurement_number", reconcile.normal_number(F.col("procurement_number")))
-    return finished(s.drop("_digits", "_subject", "_customer", "_price"), F.col("_w")).drop("_w")
+    s = merged.join(rules.select("doc_id", *[F.col(c).alias(f"_{c}") for c in rules.columns if c != "doc_id"]), "doc_id").join(counted, "doc_id").join(digits, "doc_id")
+    warnings = [F.col("warnings"), reconcile.coverage_warnings(F.col("partials"), F.col("chunks_sent"), F.col("chunks_total"))]
+    new = {}
+    for name, _, label, critical in MONEY_FIELDS:
+        new[name], said = reconcile.checked_amount(F.col(name), F.col(f"_{name}"), F.col("_digits"), label, critical=critical)
+        warnings.append(F.filter(said, lambda w: w != reconcile.PRICE_MISSING))
+    for name in merging.TEXTS:
+        new[name] = reconcile.filled(F.col(name), F.col(f"_{name}"), role=name == "customer")
+    new["procurement_number"] = reconcile.normal_number(new["procurement_number"])
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    for name in ("mentions", "stages", "requirements", "penalties"):
+        new[name] = F.when(none(name), F.col(f"_{name}")).otherwise(F.col(name))
+    for name, text in (("requirements", reconcile.REQUIREMENTS_RESTORED), ("penalties", reconcile.PENALTIES_RESTORED)):
+        warnings.append(F.when(none(name) & ~none(f"_{name}"), F.array(F.lit(text))).otherwise(F.array().cast("array<string>")))
+    # the warnings compare what the replies gave, so they come before it is filled
+    s = s.withColumn("_w", F.concat(*warnings)).withColumns(new).drop("_digits", "warnings", *[f"_{c}" for c in rules.columns])
+    return finished(s, F.col("_w")).drop("_w").unionByName(provider.unavailable(outcome), allowMissingColumns=True)
 
 
 def flat(summary: DataFrame) -> DataFrame:
     """Scalars of the record."""
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return summary.select("doc_id", "subject", "customer", "procurement_number", "contract_price", "contract_security", "application_security", "start", "end", "duration", size("stages").alias("n_stages"), size("requirements").alias("n_requirements"), size("penalties").alias("n_penalties"), size("warnings").alias("n_warnings"), "confidence")
+    return summary.select("doc_id", "subject", "customer", "procurement_number", "contract_price", "contract_security", "application_security", "start", "end", "duration", size("stages").alias("n_stages"), size("requirements").alias("n_requirements"), size("penalties").alias("n_penalties"), size("warnings").alias("n_warnings"), "confidence", *[c for c in ("code", "detail") if c in summary.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -715,6 +717,32 @@ def summary_flat(spark, sf_dir):
     return summarize.flat(summarize.summarize(_pages(spark, sf_dir)))
 
 
+def _summary(user: str, attempt: int) -> str:
+    """A reply with what a few patterns find in the chunk; some fail, some break the schema, some are fenced."""
+    if "%" in user and attempt == 1:
+        raise provider.ProviderError("status 503", True)
+    if "жалобу" in user:
+        raise provider.ProviderError("status 400", False)
+    page = re.search(r"стр\. (\d+)", user)
+    at = [int(page[1])] if page else []
+    found = lambda p: list(dict.fromkeys(x.strip() for x in re.findall(p, user)))
+    amounts = found(r"\d[\d \xa0]*(?:,\d\d)? (?=руб)")
+    reply = {
+        "contract_price": {"amount": amounts[0], "raw": amounts[0]} if amounts else None,
+        "deadlines": {"duration": (found(r"\d+ (?:календарных|рабочих) дней") or [None])[0], "stages": [{"name": x} for x in found(r"Этап \d+")]},
+        "requirements": [{"category": "other", "text": x, "source_pages": at} for x in found(r"[^.\n]*обязан[^.\n]*")],
+        "penalties": None if len(user) % 50 == 0 else [{"violation": x, "sanction": "Штраф", "source_pages": at} for x in found(r"[^.\n]*(?:штраф|неустойк)[^.\n]*")],
+        "warnings": [],
+    }
+    return "```json\n" + json.dumps(reply, ensure_ascii=False) + "\n```"
+
+
+@query
+def summary_provider(spark, sf_dir):
+    """The whole pipeline with a scripted provider: a record or a reject per document."""
+    return summarize.flat(summarize.summarize(_pages(spark, sf_dir), lambda: provider.Scripted(_summary)))
+
+
 def queries() -> dict[str, Query]:
     return dict(_registered)
 

@@ -164,3 +164,26 @@ def test_unique_texts_compare_whole_chunks(spark, tmp_path):
     rows = [("d", 1, head + "Цена."), ("d", 2, head + "Сроки."), ("d", 3, head + "Цена!"), ("d", 3, head + "Цена!")]
     spark.createDataFrame(rows, "doc_id string, chunk_id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
     assert sorted(map(tuple, queries.merge_unique_texts(spark, str(tmp_path)).collect())) == [("d", 1), ("d", 2)]
+
+
+def test_every_field_of_replies_is_merged(spark, page_rows):
+    long = "Участник обязан иметь опыт исполнения двух контрактов на ремонт"
+    one = {"subject": " ", "contract_security": {"amount": 5}, "procurement_number": "7", "deadlines": {"end": "31.12.2030", "stages": [{"name": "Этап 1", "deadline": "май"}], "raw_mentions": ["до мая"]}, "requirements": [{"category": "staff", "text": long[:50], "mandatory": False, "source_pages": [2]}], "penalties": [{"violation": "срыв", "sanction": "штраф"}], "warnings": ["Скан нечёткий"]}
+    two = {"subject": "ремонт", "contract_security": {"amount": 6, "raw": "6 руб."}, "requirements": [{"category": "STAFF", "text": long, "source_pages": [1]}], "penalties": [{"violation": "Срыв!", "sanction": "штраф", "formula": "1 %", "source_pages": [3]}], "warnings": ["скан нечёткий"], "deadlines": {"stages": [{"name": "этап 1."}, {"name": "Этап 2"}]}}
+
+    def script(user, attempt):
+        if "плохой" in user:
+            return "no object"
+        return json.dumps(one if user.startswith("Часть 1") else two, ensure_ascii=False)
+
+    rows = page_rows.union(spark.createDataFrame([("c", 1, "Это плохой документ без ответа.")], page_rows.schema))
+    out = {r["doc_id"]: r for r in summarize.summarize(rows, lambda: provider.Scripted(script), chunk_chars=520, overlap_chars=0).collect()}
+    a = out["a"]
+    assert a["partials"] == 2 and a["subject"] == "ремонт" and a["procurement_number"] == "7" and a["end"] == "31.12.2030"
+    assert a["contract_security"] == 6.0 and a["contract_price"] == 3250000.5 and a["start"] == "01.04.2026"
+    assert [tuple(r) for r in a["requirements"]] == [("staff", long, True, [1, 2])]
+    assert [tuple(r) for r in a["penalties"]] == [("Срыв!", "штраф", "1 %", None, [3])]
+    assert [tuple(r) for r in a["stages"]] == [("Этап 1", "май"), ("Этап 2", None)] and a["mentions"] == ["до мая"]
+    assert a["warnings"][0] == "Скан нечёткий" and "скан нечёткий" not in a["warnings"]
+    assert any("Обеспечение исполнения контракта" in w for w in a["warnings"]) and any("не извлечено моделью" in w for w in a["warnings"])
+    assert out["c"]["code"] == "provider_unavailable" and "no object" in out["c"]["detail"] and out["c"]["confidence"] is None
