@@ -44,6 +44,23 @@ def phrase_near(docs: DataFrame, words: list[str], *, key: str = "doc_id", text:
     return slim.groupBy(key).agg(F.min_by("value", F.struct("o.ord", "o.pos")).alias("value"))
 
 
+TRANSFER = r"(?s)(\d{1,4})\s*(?:\([^)]{0,60}\)\s*)?(?:календарн\w*\s*)?(?:дн\w*)[^.;\n]{0,80}(?:передачи\s+объекта|капитальн\w+\s+ремонт)"
+
+
+def transfer_duration(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, duration, sentence: days up to the transfer of the object or a capital repair, which go before any other."""
+    p = unicode_ci(TRANSFER)
+    days = F.regexp_extract(text, p, 1)
+    return docs.select(key, F.when(days != "", F.concat(days, F.lit(" календарных дней"))).alias("duration"), F.regexp_substr(text, F.lit(p)).alias("sentence")).where("duration IS NOT NULL")
+
+
+def duration_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, duration, sentence of whole texts: that of the transfer, else the best of a sentence."""
+    short = transfer_duration(docs, key=key, text=text)
+    best = best_duration(tokens.sentences(docs, key, text=text), key=key)
+    return short.unionByName(best.join(short.select(key), key, "left_anti"))
+
+
 def best_duration(sentences: DataFrame, *, key: str = "doc_id", text: str = "text", no: str = "pos") -> DataFrame:
     """key, duration, sentence: works before others, designs and payments last; then the shortest sentence."""
     low = F.lower(F.col(text))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import text as T
 from folium.functions.rx import unicode_ci
-from folium.operators.merging import MAX_OPERATIONAL, MAX_REQUIREMENTS
+from folium.operators.merging import MAX_OPERATIONAL, MAX_REQUIREMENTS, distinct_by
 
 # Wording of warnings.
 NOT_EXTRACTED = "{label}: значение не извлечено моделью, подставлено найденное правилами ("
@@ -72,6 +72,22 @@ def work_stage(name: Column) -> Column:
     return name.rlike(unicode_ci(WORK_STAGE))
 
 
+def refined_stages(items: Column) -> Column:
+    """array<struct<name, deadline>>: work stages, one of each key at the place of the first; the first with a deadline
+    is taken if any has one."""
+    work = F.filter(items, lambda x: (T.strip(x["name"]) != "") & work_stage(x["name"]))
+    keyed = F.transform(work, lambda x: F.struct(stage_key(x["name"]).alias("k"), x.alias("s")))
+    dated = lambda k: F.filter(keyed, lambda y: (y["k"] == k) & (F.coalesce(y["s"]["deadline"], F.lit("")) != ""))
+    first = distinct_by(keyed, lambda x: x["k"])
+    return F.transform(first, lambda x: F.coalesce(F.get(dated(x["k"]), F.lit(0))["s"], x["s"]))
+
+
+def other_stages(items: Column) -> Column:
+    """array<string>: mentions of the stages that aren't work."""
+    other = F.filter(items, lambda x: (T.strip(x["name"]) != "") & ~work_stage(x["name"]))
+    return F.transform(other, lambda x: F.concat(T.strip(x["name"]), F.when(F.coalesce(x["deadline"], F.lit("")) != "", F.concat(F.lit(" - "), x["deadline"])).otherwise("")))
+
+
 def requirement_group(category: Column, text: Column) -> Column:
     """0 qualification, 1 documents, 2 other, 3 operational: lists keep their order within a group."""
     low = F.lower(text)

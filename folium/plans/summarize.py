@@ -30,7 +30,8 @@ def rule_summary(docs: DataFrame) -> DataFrame:
         parts.append(facts.nearest_money(text, words).select("doc_id", F.col("amount").alias(name)))
     parts.append(facts.phrase_near(text, R.START_KEYWORDS).withColumnRenamed("value", "start"))
     parts.append(facts.phrase_near(text, R.END_KEYWORDS, skip=R.END_SKIP).withColumnRenamed("value", "end"))
-    parts.append(facts.best_duration(tokens.sentences(text, "doc_id")).select("doc_id", "duration", F.array(T.squeeze(F.col("sentence"))).alias("mentions")))
+    parts.append(facts.duration_of(text).select("doc_id", "duration", T.squeeze(F.col("sentence")).alias("_sentence")))
+    parts.append(tokens.first_sentence_with(text, "doc_id", ["срок"]).select("doc_id", T.squeeze(F.col("text")).alias("_term")))
     listed = lambda df, no, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(no, *[c for c in df.columns if c not in ("doc_id", no)]))).alias(name))
     parts.append(listed(facts.stages(text), "stage_no", "stages").withColumn("stages", capped(F.transform("stages", lambda x: F.struct(x["name"].alias("name"), x["deadline"].alias("deadline"))), MAX_STAGES)))
     marks = text.select("doc_id", tokens.page_marks(F.col("text")).alias("_marks"))
@@ -38,7 +39,9 @@ def rule_summary(docs: DataFrame) -> DataFrame:
     for found, no, name, kept in ((facts.requirements(text), "req_no", "requirements", ["category", "text", "mandatory"]), (facts.penalties(text), "pen_no", "penalties", ["violation", "sanction", "formula", "amount"])):
         rows = listed(found, no, name).join(marks, "doc_id")
         parts.append(rows.select("doc_id", F.transform(name, lambda x: F.struct(*[x[c].alias(c) for c in kept], pages_of(x))).alias(name)))  # noqa: B023
-    return reduce(lambda a, b: a.join(b, "doc_id", "left"), parts)
+    every = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts)
+    # without a duration the first sentence on a term is the mention
+    return every.withColumn("mentions", F.array_compact(F.array(F.coalesce("_sentence", "_term")))).drop("_sentence", "_term")
 
 
 def finished(summary: DataFrame, warnings=None) -> DataFrame:
@@ -46,17 +49,21 @@ def finished(summary: DataFrame, warnings=None) -> DataFrame:
     s = summary
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     has_deadline = F.col("start").isNotNull() | F.col("end").isNotNull() | F.col("duration").isNotNull() | ~none("stages")
+    stages = F.coalesce("stages", F.array().cast("array<struct<name:string,deadline:string>>"))
+    mentions = merging.unique_list(F.concat(F.coalesce("mentions", F.array().cast("array<string>")), reconcile.other_stages(stages)))
+    # one after another: the mentions and the warning need the stages as they were
+    s = s.withColumn("_dated", has_deadline).withColumn("mentions", mentions).withColumn("stages", capped(reconcile.refined_stages(stages), MAX_STAGES))
     s = s.withColumn("requirements", reconcile.refined_requirements(F.col("requirements")))
     s = s.withColumn("penalties", F.filter("penalties", lambda p: reconcile.monetary(p["violation"], p["sanction"], p["formula"], p["amount"])))
     found = F.array(
         F.when(F.col("contract_price").isNull(), F.lit(reconcile.PRICE_MISSING)),
-        F.when(~has_deadline, F.lit("Сроки выполнения в документе не найдены - проверьте проект контракта или отдельное приложение с графиком работ")),
+        F.when(~F.col("_dated"), F.lit("Сроки выполнения в документе не найдены - проверьте проект контракта или отдельное приложение с графиком работ")),
         F.when(none("requirements"), F.lit("Требования к исполнителю в документе не найдены")),
         F.when(none("penalties"), F.lit("Штрафы и пени в документе не найдены - раздел об ответственности может быть в отдельном файле проекта контракта")),
     )
     every = F.concat(warnings, found) if warnings is not None else found
     s = s.withColumn("warnings", F.array_distinct(F.filter(every, lambda w: w.isNotNull())))
-    s = s.withColumn("mentions", capped(F.coalesce("mentions", F.array().cast("array<string>")), MAX_MENTIONS))
+    s = s.withColumn("mentions", capped(F.col("mentions"), MAX_MENTIONS)).drop("_dated")
     total = F.col("chunks_total") if "chunks_total" in s.columns else F.lit(1)
     sent = F.col("chunks_sent") if "chunks_sent" in s.columns else F.lit(1)
     return s.withColumn("confidence", reconcile.confidence(F.coalesce(F.col("contract_price") != 0, F.lit(False)), has_deadline, ~none("requirements"), ~none("penalties"), F.col("warnings"), sent, total))

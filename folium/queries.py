@@ -474,7 +474,7 @@ def phrase_near(spark, sf_dir):
 def best_duration(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 300 + 1).alias("q"))
     text = F.concat(F.lit("Гарантия действует в течение 99 месяцев. Срок выполнения работ составляет "), F.col("q"), F.lit(" календарных дней. Проектные решения готовят в течение 7 рабочих дней."))
-    return facts.best_duration(tokens.sentences(o.select("o_orderkey", text.alias("text")), "o_orderkey"), key="o_orderkey").select("o_orderkey", "duration")
+    return facts.duration_of(o.select("o_orderkey", text.alias("text")), key="o_orderkey").select("o_orderkey", "duration")
 
 
 _sql["best_duration"] = "SELECT o_orderkey, (o_custkey % 300 + 1) || ' календарных дней' AS duration FROM orders"
@@ -667,6 +667,28 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN s ELSE CAST(round(o_totalpr
   CASE WHEN o_orderkey % 5 = 0 OR (s IS NOT NULL AND abs(s / 100.0 - round(o_totalprice * 100) / 100) > 1.0) THEN 1 ELSE 0 END AS n_warnings FROM orders LEFT JOIN l ON l_orderkey = o_orderkey"""
 
 
+@query
+def refine_stages(spark, sf_dir):
+    """Stages of orders, rendered from their lines, each stage named twice and with one that isn't work."""
+    words = F.array(*[F.lit(x) for x in ("Первый", "Второй", "Третий", "Четвертый")])
+    line = F.col("l_linenumber")
+    ordinal = F.concat(F.coalesce(F.get(words, line - 1), line.cast("string")), F.lit(" этап"))
+    day = F.date_format("l_shipdate", "dd.MM.yyyy")
+    s = lambda name, deadline: F.struct(name.alias("name"), deadline.alias("deadline"))
+    three = F.array(s(F.concat(F.lit("Этап "), line), F.when(line % 2 == 0, day)), s(ordinal, day), s(F.concat(F.lit("Возврат обеспечения "), line), day))
+    li = read(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))
+    lists = li.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", three.alias("t")))), lambda x: x["t"])).alias("x"))
+    kept = lists.select("l_orderkey", reconcile.refined_stages(F.col("x")).alias("stages"), F.size(reconcile.other_stages(F.col("x"))).alias("n_mentions"))
+    return kept.select("l_orderkey", "n_mentions", F.posexplode("stages").alias("stage_no", "s")).select("l_orderkey", "stage_no", "s.name", "s.deadline", "n_mentions")
+
+
+_sql["refine_stages"] = """
+WITH l AS (SELECT l_orderkey, l_linenumber AS n, min(l_shipdate) AS d FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) - 1 AS INT) AS stage_no,
+  CASE WHEN n % 2 = 0 THEN 'Этап ' || n ELSE CASE n WHEN 1 THEN 'Первый' ELSE 'Третий' END || ' этап' END AS name, strftime(d, '%d.%m.%Y') AS deadline,
+  CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n_mentions FROM l"""
+
+
 @query
 def refine_requirements(spark, sf_dir):
     r = _requirements(spark, sf_dir).where(F.length("text") > 0)

@@ -187,3 +187,22 @@ def test_every_field_of_replies_is_merged(spark, page_rows):
     assert a["warnings"][0] == "Скан нечёткий" and "скан нечёткий" not in a["warnings"]
     assert any("Обеспечение исполнения контракта" in w for w in a["warnings"]) and any("не извлечено моделью" in w for w in a["warnings"])
     assert out["c"]["code"] == "provider_unavailable" and "no object" in out["c"]["detail"] and out["c"]["confidence"] is None
+
+
+def test_stages_refined_and_transfer_first(spark):
+    one = [("Этап 1", None), ("Возврат обеспечения", "май"), ("первый этап", "июнь"), ("Этап 2", "июль"), ("второй этап", "август"), ("Смета", None)]
+    df = spark.createDataFrame([(1, one)], "k int, x array<struct<name:string,deadline:string>>")
+    got = df.select(reconcile.refined_stages(F.col("x")).alias("s"), reconcile.other_stages(F.col("x")).alias("m")).collect()[0]
+    assert [tuple(x) for x in got["s"]] == [("первый этап", "июнь"), ("Этап 2", "июль")] and got["m"] == ["Возврат обеспечения - май", "Смета"]
+    text = "Срок выполнения работ 20 рабочих дней. Окончание: 45 (сорок пять) календарных дней с даты передачи объекта."
+    docs = spark.createDataFrame([("a", text), ("b", "Срок выполнения работ 20 рабочих дней.")], "doc_id string, text string")
+    assert {r["doc_id"]: r["duration"] for r in facts.duration_of(docs).collect()} == {"a": "45 календарных дней", "b": "20 рабочих дней"}
+
+
+def test_summary_refines_stages_and_names_pages(spark):
+    texts = ["Требования к участникам закупки\nУчастник обязан иметь действующую лицензию на работы.", "Этап 1: работы.\nПервый этап: до 01.02.2026.\nПериод 7: приёмка.\nУказан срок.\nЗа каждый день просрочки начисляется пеня 0,1 % от цены."]
+    df = spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(texts)], "doc_id string, page_no int, text string")
+    a = summarize.summarize(df).collect()[0]
+    assert len(a["stages"]) == 1 and a["stages"][0]["deadline"] == "01.02.2026"
+    assert a["mentions"][0] == "Указан срок." and a["mentions"][1].startswith("Период 7")
+    assert [r["source_pages"] for r in a["requirements"]] == [[1]] and [p["source_pages"] for p in a["penalties"]] == [[2]]
