@@ -61,3 +61,42 @@ def test_groups_are_components(spark):
     got = {r["row_id"]: r["group_id"] for r in N.groups(df).collect()}
     assert all((got[i] == got[j]) == (root(i) == root(j)) for i in got for j in got)
     assert N.groups(df).select(F.sum("links")).collect()[0][0] > 0
+
+
+def test_texts_of_few_distinct_runs_and_of_short_words(spark):
+    """Small sets pass with few runs in common; twenty words of one letter have 39 characters."""
+    a, b = "альфа бета " * 12, "альфа бета " * 12 + "гамма"
+    short = " ".join("абвгдежзиклмнопрстуф")
+    rows = [("a", 1, a, ""), ("a", 2, b, ""), ("a", 3, short, ""), ("a", 4, short, "")]
+    assert {tuple(r) for r in N.found_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == {("a", 1, 2), ("a", 3, 4)} == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_low_variety_texts_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [("a", i, " ".join(rng.choice("абвг"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(18, 40))), "") for i in range(150)]
+    assert {tuple(r) for r in N.found_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
+def test_hot_runs_and_groups_are_split(spark, monkeypatch):
+    """Spread runs and blocks of groups find what brute force finds."""
+    monkeypatch.setattr(N, "HOT", 5)
+    monkeypatch.setattr(N, "HOT_TIMES", 0)
+    monkeypatch.setattr(N, "BLOCK", 4)
+    base = " ".join(f"статья{i}" for i in range(40)).split()
+    rng = random.Random(3)
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(40)] = f"правка{rng.randrange(1000)}"
+        rows.append(("a", i, " ".join(w), ""))
+    rows += [("a", 100 + i, t, "") for i, t in enumerate(texts(4, 60))]
+    got = [tuple(r) for r in N.found_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 1000
+
+
+def test_no_setting_of_the_session_is_changed(spark):
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    N.found_pairs(spark.createDataFrame([("a", 1, "слово " * 30, "")], SCHEMA)).collect()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
