@@ -161,11 +161,11 @@ def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return run_hashes(flat, bounds - bounds[0], salts_of(batch.column(0).to_pylist()))
 
 
-def _counts(df: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all tasks of the histograms that add(counts, batch) fills: `size` numbers, whatever the table's size."""
+def _counts(df: DataFrame, size: int, add, kind: type, join=np.add) -> np.ndarray:
+    """Histograms that add(counts, batch) fills, joined over all tasks: `size` numbers, whatever the table's size."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(size, kind)
         for batch in batches:
             add(counts, batch)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SLICES)], pa.binary())], names=["slice", "counts"])
@@ -174,21 +174,21 @@ def _counts(df: DataFrame, size: int, add) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = np.frombuffer(x.as_buffer(), np.int64)
-                sums[k] = sums[k] + counts if k in sums else counts
+                counts = np.frombuffer(x.as_buffer(), kind)
+                sums[k] = join(sums[k], counts) if k in sums else counts
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    kind = "slice int, counts binary"
-    out = np.zeros((SLICES, size // SLICES), np.int64)
-    for row in df.mapInArrow(partial, kind).repartition(SLICES, "slice").mapInArrow(total, kind).collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    schema = "slice int, counts binary"
+    out = np.zeros((SLICES, size // SLICES), kind)
+    for row in df.mapInArrow(partial, schema).repartition(SLICES, "slice").mapInArrow(total, schema).collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], kind)
     return out.reshape(-1)
 
 
 def _frequencies(stored: DataFrame) -> np.ndarray:
     """Runs in each hash bucket."""
     buckets = np.uint64(BUCKETS - 1)
-    return _counts(stored.select("src", "words"), BUCKETS, lambda counts, batch: np.add(counts, np.bincount((_batch(batch)[0] & buckets).astype(np.int64), minlength=BUCKETS), out=counts))
+    return _counts(stored.select("src", "words"), BUCKETS, lambda counts, batch: np.add(counts, np.bincount((_batch(batch)[0] & buckets).astype(np.int64), minlength=BUCKETS), out=counts), np.int64)
 
 
 def _ordered(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -316,7 +316,7 @@ def class_pairs(df: DataFrame, *, threshold: float = 0.6, min_words: int = 20, d
         for column in batch.columns:
             bits[column.to_numpy() & (CLASS_BITS - 1)] = 1
 
-    sets = _sets(stored, _counts(pairs.select("a", "b"), CLASS_BITS, mark).astype(bool))
+    sets = _sets(stored, _counts(pairs.select("a", "b"), CLASS_BITS, mark, np.uint8, np.maximum))
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at")), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt")), "b")
     shared = F.size(F.array_intersect("at", "bt"))
     compared = both.select("a", "b", (shared / (F.col("an") + F.col("bn") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
