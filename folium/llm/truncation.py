@@ -1,15 +1,17 @@
 """Replies cut off on their way (problem 4).
 
 Whole-text prefixes find almost nothing here (in the test tables two replies in 5,000 are strict prefixes of another),
-since most cut replies have no longer copy. The self-join by prefix therefore runs over units: the last sentence or list item
-of a reply against the sentences and items of all replies, with names, codes and numbers masked. A last unit is cut
-when its masked words are a strict prefix of a longer unit elsewhere and it never stands complete elsewhere; this is
-what finds replies that end after an abbreviation's point ("канд."), where the text itself looks complete. Units whose
-end shows the cut by itself (no closing mark, an open JSON value or code fence, a list item that breaks off before
-the shape of its neighbours) need no longer copy.
+since most cut replies have no longer copy. The self-join by prefix therefore runs over units: the last sentence, list item
+or JSON member of a reply against the units of all replies, with names, codes and numbers masked. A last unit is cut
+when it, or its last words, are a strict prefix of something longer elsewhere and it never stands complete elsewhere.
+A last word that breaks off is looked up by the words before it, which give fixed-length prefixes of the longer units, and
+must be a strict prefix of the next word there. Every reply's last unit goes through this join; `by_prefix` says what it
+confirms. Where no longer unit exists anywhere, the end of the text decides (`by_end`: no closing mark, an open JSON
+value or code fence, a list item that breaks off before the shape of its neighbours).
 
 The join is on hashes of fixed word counts: each distinct mask is unfolded into the hashes of its proper prefixes,
-pre-aggregated to one row per hash, so the rows moved grow with distinct masks, not with pairs.
+pre-aggregated to one row per hash, so the rows moved grow with distinct masks, not with pairs. Replies are read once;
+what was read of them goes to the shared folder as hashes.
 
 Cases: NULL, empty and blank texts are never cut; the metadata is not read; repeated rows of a call count once (a call
 with different texts is cut if one of them is); ties can't arise; other columns are ignored; empty tables give no rows.
@@ -19,31 +21,39 @@ from __future__ import annotations
 
 import json
 import re
-from zlib import crc32
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.sentences import sentences
-from folium.plans.ship import ensure_shipped
+from folium.plans.ship import ensure_shipped, written
 
 ITEM = re.compile(r"^[ \t]*(?:[-—–*•]|\d+[.)])[ \t]+")
 STRING_OR_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.S)
 DECODER = json.JSONDecoder()
+#: A string that is no key; a sign of a JSON value.
+VALUE = re.compile(r'([:\[,]\s*)"(?:[^"\\]|\\.)*"(?=\s*[,\]}])', re.S)
+SIGN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+JSON, STOP = "\0json", "\0"
 QUOTED = re.compile("«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]")
 LIST_TAIL = re.compile(r"\n[ \t]*(?:[-—–*•]|\d+[.)])(?:[ \t]+[^\n]*)?$")
 
 
+OPEN = re.compile(r"[{\[]")
+DIGIT, DIGITS, NUMBER, LETTERS, INNER = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"\d[\d.,]*\d|\d"), re.compile(r"[^\W\d_]+"), re.compile(r"\w")
+
+
 def masked(unit: str) -> list[str]:
     """Words of a unit with names, codes and numbers replaced by one sign each."""
     unit = QUOTED.sub("«»", unit)
     out = []
     for w in unit.split():
-        if any(c.isdigit() for c in w):
-            w = re.sub(r"[^\W\d_]+", "A", re.sub(r"\d+", "0", w)) if not w[0].isdigit() else re.sub(r"\d[\d.,]*\d|\d", "0", w)
+        if DIGIT.search(w):
+            w = shape(w) if not w[0].isdigit() else NUMBER.sub("0", w)
         elif w[:1].isupper() and len(w) > 1 and not w[1:2].isupper() and out:
-            w = "N" + re.sub(r"\w", "", w)
+            w = "N" + INNER.sub("", w)
         elif w[:1].isupper() and w[1:2] == ".":
             w = "I."
         if w == "I." and out and out[-1] == "I.":
@@ -71,8 +81,16 @@ def json_end(text: str, start: int) -> int | None:
         return None
 
 
+def members(text: str, start: int) -> list[str]:
+    """A JSON value as signs: brackets and marks, keys, values by their kind; the last sign may be broken off."""
+    signs = ["0" if m.group()[0] in "-0123456789" else m.group() for m in SIGN.finditer(VALUE.sub(r'\1"…"', text[start:].split("```")[0]))]
+    if signs[-2:-1] == [":"] and signs[-1][0] == '"':
+        signs[-1] = '"…"' if len(signs[-1]) > 1 and signs[-1][-1] == '"' else '"'
+    return signs
+
+
 def shape(word: str) -> str:
-    return re.sub(r"[^\W\d_]+", "A", re.sub(r"\d+", "0", word))
+    return LETTERS.sub("A", DIGITS.sub("0", word))
 
 
 def look(text: str) -> tuple[str, list[str], list[list[str]]]:
@@ -80,19 +98,19 @@ def look(text: str) -> tuple[str, list[str], list[list[str]]]:
     body = text.rstrip()
     if not body:
         return "whole", [], []
-    start = re.search(r"[{\[]", body)
+    start = OPEN.search(body)
     fence = body.find("```")
     if start and (body[: start.start()].strip() == "" or fence >= 0 or body[: start.start()].rstrip().endswith(":")):
         end = json_end(body, start.start())
+        fenced = 0 <= fence < start.start()
         if end is None:
-            return "cut", [], []
+            return "cut", [JSON, *members(body, start.start())], []
         rest = body[end:].strip()
-        if 0 <= fence < start.start():
-            if not rest.startswith("```"):
-                return "cut", [], []
-            rest = rest[3:].strip()
+        if fenced and not rest.startswith("```"):
+            return "cut", [JSON, *members(body, start.start())], []
+        rest = rest[3:].strip() if fenced else rest
         if not rest:
-            return "whole", [], []
+            return "whole", [], [[JSON, *members(body, start.start()), *["```"] * fenced]]
         body = rest
     elif fence >= 0 and body.count("```") % 2:
         return "cut", [], []
@@ -122,54 +140,121 @@ def look(text: str) -> tuple[str, list[str], list[list[str]]]:
     return "ask", last, before
 
 
-#: Words of the window that is looked up where no whole unit can be: a unit's last words against the same words elsewhere.
-WINDOW = 2
+#: Words (signs, in JSON) of the window that is looked up where no whole unit can be: a unit's last words against the same
+#: words elsewhere.
+WINDOW, SIGNS = 2, 3
+MASK = (1 << 63) - 1
+
+
+class Numbers(dict):
+    """63-bit number of a word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = int.from_bytes(blake2b(word.encode(), digest_size=8).digest()) & MASK
+        return value
+
+
+class Units:
+    """Hashes of word sequences, and what the units of this task have told of their prefixes."""
+
+    def __init__(self) -> None:
+        self.number = Numbers()
+        self.given: set[tuple[int, str | None, bool]] = set()
+        self.seen: set[tuple] = set()
+
+    def all(self, words: list[str]) -> int:
+        h = 1
+        for w in words:
+            h = (h * 0x9E3779B97F4A7C15 + self.number[w]) & MASK
+        return h
 
+    def window(self, words: list[str], size: int = WINDOW) -> int:
+        return self.all(["…", *words[-size:]])
 
-def keys(last: list[str], before: list[list[str]]) -> tuple[list[int], list[int], list[int]]:
-    """Hashes of the last unit and its last words; of complete units and their last words; of proper prefixes and inner words."""
-    asked = [_hash(last), _hash(["…", *last[-WINDOW:]])] if last else []
-    whole, inner = set(), set()
-    for u in before:
-        whole |= {_hash(u), _hash(["…", *u[-WINDOW:]])}
-        for k in range(1, len(u)):
-            # a cut may fall before a comma, so the last word counts with and without one
-            for last_word in {u[k - 1], u[k - 1].rstrip(",;:")} - {""}:
-                inner |= {_hash([*u[: k - 1], last_word]), _hash(["…", *u[max(0, k - WINDOW) : k - 1], last_word])}
-    return asked, sorted(whole), sorted(inner)
+    def before(self, h: int, word: str) -> int:
+        """Key of a look-up of the words that follow and begin like `word`."""
+        return h ^ self.number["^" + word[:1]]
 
+    def asked(self, verdict: str, last: list[str]) -> list[tuple[int, str]]:
+        """What is looked up for a last unit: it and its last words; where it breaks off, what stands before its last word too."""
+        if not last:
+            return []
+        if last[0] == JSON:
+            last = [JSON, *last]
+            return [(self.window(last, SIGNS), ""), (self.before(self.window(last[:-1], SIGNS), last[-1]), last[-1])]
+        out = [(self.all(last), ""), (self.window(last), "")]
+        if verdict == "cut" and len(last) > 1:
+            out += [(self.before(h, last[-1]), last[-1]) for h in (self.all(last[:-1]), self.window(last[:-1]))]
+        return out
 
-def _hash(words: list[str]) -> int:
-    joined = " ".join(words).encode()
-    return (crc32(joined) << 32 | crc32(joined[::-1])) - (1 << 63)
+    def told(self, units: list[tuple[list[str], bool]]) -> list[tuple[int, str | None, bool]]:
+        """(hash, next word or NULL, whole) of units (words, complete): complete ones and their last words; proper prefixes
+        and what follows them. Only what this task has not told yet."""
+        if len(self.given) > 500_000:
+            self.given.clear()
+            self.seen.clear()
+        found: set[tuple[int, str | None, bool]] = set()
+        for u, complete in units:
+            if u[:1] == [JSON]:
+                signs = [JSON, *u, STOP] if complete else [JSON, *u]
+                near_ = set(zip(*(signs[k:] for k in range(SIGNS + 1)))) - self.seen
+                self.seen |= near_
+                for near in near_:
+                    h = self.window(list(near[:-1]), SIGNS)
+                    found |= {(h, None, True)} if near[-1] == STOP else {(h, None, False), (self.before(h, near[-1]), near[-1], False)}
+                continue
+            if (whole := (*u, complete)) in self.seen:
+                continue
+            self.seen.add(whole)
+            h, old = 1, 1
+            for k, word in enumerate(u):
+                if k:
+                    near = self.window(u[max(0, k - WINDOW) : k])
+                    found |= {(h, None, False), (near, None, False), (self.before(h, word), word, False), (self.before(near, word), word, False)}
+                    # a cut may fall before a comma, so the last word counts with and without one
+                    bare = u[k - 1].rstrip(",;:")
+                    if bare and bare != u[k - 1]:
+                        found |= {((old * 0x9E3779B97F4A7C15 + self.number[bare]) & MASK, None, False), (self.window([*u[max(0, k - WINDOW) : k - 1], bare]), None, False)}
+                old, h = h, (h * 0x9E3779B97F4A7C15 + self.number[word]) & MASK
+            if complete:
+                found |= {(h, None, True), (self.window(u), None, True)}
+        found -= self.given
+        self.given |= found
+        return list(found)
 
 
 def judged(replies: DataFrame, *, call_id: str = "call_id", text: str = "text") -> DataFrame:
-    """call_id, cut: one row per call with a text that isn't empty."""
+    """call_id, cut, by_prefix, by_end: one row per call with a text that isn't empty."""
     ensure_shipped(replies.sparkSession)
-    kind = "row_key bigint, verdict string, last_hashes array<bigint>, whole_hashes array<bigint>, prefix_hashes array<bigint>"
+    asked, knows = "array<struct<h:bigint,w:string>>", "array<struct<h:bigint,w:string,whole:boolean>>"
 
     def run(batches):
+        known = Units()
         for batch in batches:
-            rows = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, ends, asks, tells, ask_ends, tell_ends = batch.column(0), [], [], [], [0], [0]
+            for t in batch.column(1).to_pylist():
                 verdict, last, before = look(t)
-                rows.append((key, verdict, *keys(last, before)))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.list_(pa.int64()))],
-                names=["row_key", "verdict", "last_hashes", "whole_hashes", "prefix_hashes"],
-            )
+                ends.append(verdict == "cut")
+                asks += known.asked(verdict, last)
+                ask_ends.append(len(asks))
+                # what the last unit goes on with counts even where it is itself cut
+                tells += known.told([*((u, True) for u in before), (last, False)])
+                tell_ends.append(len(tells))
+            lists = lambda rows, kinds, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds]))
+            kinds = [("h", pa.int64()), ("w", pa.string()), ("whole", pa.bool_())]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ends, pa.bool_()), lists(asks, kinds[:2], ask_ends), lists(tells, kinds, tell_ends)], names=["row_key", "by_end", "asks", "knows"])
 
     slim = replies.select(F.col(call_id).cast("bigint").alias("row_key"), F.col(text).alias("text")).where(F.col("row_key").isNotNull() & F.col("text").rlike(r"\S"))
-    seen = slim.mapInArrow(run, kind)
-    asked = seen.where("verdict = 'ask'").select("row_key", F.explode("last_hashes").alias("h"))
-    whole = seen.select(F.explode("whole_hashes").alias("h"), F.lit(1).alias("w"), F.lit(0).alias("p"))
-    prefix = seen.select(F.explode("prefix_hashes").alias("h"), F.lit(0).alias("w"), F.lit(1).alias("p"))
-    known = whole.unionByName(prefix).groupBy("h").agg(F.max("w").alias("w"), F.max("p").alias("p")).where("p = 1 and w = 0").select("h")
-    by_prefix = asked.join(known, "h").select("row_key", F.lit(1).alias("cut"))
-    by_text = seen.select("row_key", F.when(F.col("verdict") == "cut", 1).otherwise(0).alias("cut"))
-    return by_text.unionByName(by_prefix).groupBy("row_key").agg((F.max("cut") == 1).alias("cut")).withColumnRenamed("row_key", call_id)
+    seen = written(slim.mapInArrow(run, f"row_key bigint, by_end boolean, asks {asked}, knows {knows}"))
+    ask = seen.select("row_key", F.inline("asks")).withColumnRenamed("w", "part")
+    known = seen.select(F.inline("knows")).groupBy("h", "w").agg(F.max("whole").alias("whole")).where("NOT whole").select("h", "w")
+    longer = F.col("w").isNull() | (F.col("w").startswith(F.col("part")) & (F.col("w") != F.col("part")))
+    by_prefix = ask.join(known, "h").where(longer).select("row_key", F.lit(True).alias("by_prefix"), F.lit(False).alias("by_end"))
+    by_end = seen.select("row_key", F.lit(False).alias("by_prefix"), "by_end")
+    both = by_end.unionByName(by_prefix).groupBy("row_key").agg(F.max("by_prefix").alias("by_prefix"), F.max("by_end").alias("by_end"))
+    return both.select(F.col("row_key").alias(call_id), (F.col("by_prefix") | F.col("by_end")).alias("cut"), "by_prefix", "by_end")
 
 
 def rates(replies: DataFrame, *, source: str = "source", call_id: str = "call_id", text: str = "text") -> DataFrame:
