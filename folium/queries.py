@@ -67,7 +67,8 @@ def _base(x: str) -> str:
 
 @query
 def p3_found(spark, sf_dir):
-    return units.wrong_amounts(units.convert(read(spark, sf_dir, "money_facts"), read(spark, sf_dir, "fx_rates")))
+    m = read(spark, sf_dir, "money_facts").select("money_id", "amount", "currency", "raw", "field")
+    return units.wrong_amounts(units.convert(m, read(spark, sf_dir, "fx_rates")))
 
 
 @query
@@ -76,6 +77,16 @@ def p3_values(spark, sf_dir):
     return done.selectExpr("cast(money_id as bigint) as money_id", "field", "cast(rub as decimal(28,2)) as rub", "unit_from", "unit", "posterior", "uncertain")
 
 
+@query
+def p3_recovered(spark, sf_dir):
+    """How many sums the mixture recovers where the unit, another one for each field, is struck out of known records."""
+    rates = read(spark, sf_dir, "fx_rates")
+    m = read(spark, sf_dir, "money_facts").select("money_id", "amount", "currency", "raw", "field")
+    done = units.convert(units.struck(units.convert(m, rates)), rates).where("truth IS NOT NULL")
+    right = F.coalesce(F.abs(F.col("rub") - F.col("truth")) <= F.col("truth") * 0.001 + 0.01, F.lit(False))
+    return done.groupBy("field").agg(F.count("*").alias("records"), F.count_if(right).alias("recovered"), F.count_if(~F.col("uncertain")).alias("sure"), F.count_if(right & ~F.col("uncertain")).alias("sure_recovered"))
+
+
 # sources and admission
 
 
