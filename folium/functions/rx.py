@@ -21,3 +21,12 @@ def stems(words: list[str]) -> str:
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: A non-character: single characters split without a regex engine, which split() would build anew for each row.
+SEPARATOR = "\uffff"
+
+
+def parts(c: Column, pattern: str) -> Column:
+    """The pieces of a text between the matches of a pattern, empty ones included."""
+    return F.split(F.regexp_replace(F.translate(c, SEPARATOR, " "), pattern, SEPARATOR), SEPARATOR, -1)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folium.functions.rx import stems, unicode_ci
+from folium.functions.rx import let, parts, stems, unicode_ci
 from folium.rules import procurement_ru as R
 
 MONEY_TYPE = "struct<amount:double,currency:string,includes_vat:boolean,raw:string>"
@@ -19,14 +19,30 @@ def strip(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """Lines at every Unicode line boundary, without an empty one after a final break."""
-    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    every = parts(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+    return let(every, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
+
+
+RUNNING_BLOCK = 64
+
+
+def _grown(lengths: Column, start: Column) -> Column:
+    """Exclusive running sum from start; it copies what it has at each step, so it is for short arrays."""
+    return F.aggregate(F.slice(lengths, F.lit(1), F.size(lengths) - 1), F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
 
 def running(lengths: Column) -> Column:
-    """Exclusive running sum of an array of ints."""
-    grown = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.slice(grown, F.lit(1), F.greatest(F.size(lengths), F.lit(0)))
+    """Exclusive running sum of an array of ints: within blocks, and over the sums of blocks, so that long arrays cost
+    little more than their length."""
+
+    def cut(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUNNING_BLOCK).cast("int")), lambda k: F.slice(x, k * RUNNING_BLOCK + 1, F.lit(RUNNING_BLOCK)))
+
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+        return F.flatten(F.zip_with(blocks, _grown(sums, F.lit(0)), _grown))
+
+    return let(lengths, lambda x: F.when(F.size(x) > 0, let(cut(x), whole)).when(F.size(x) == 0, F.array().cast("array<int>")))
 
 
 def mask_numbers(c: Column) -> Column:
@@ -68,34 +84,47 @@ def multiplied(amount: Column, token: Column) -> Column:
 MONEY = unicode_ci(rf"({R.NUMBER})\s*(?:\([^)]{{0,300}}\)\s*)?({R.MULTIPLIER})?\s*(?:{R.CURRENCY})")
 
 
+def _has_currency(c: Column) -> Column:
+    """A plain search that spares texts without any currency the pattern."""
+    return F.lower(c).contains("руб") | c.contains("₽") | F.lower(c).contains("rub")
+
+
 def vat_flag(c: Column) -> Column:
     return F.when(c.rlike(unicode_ci(R.VAT_INCLUDED)), True).when(c.rlike(unicode_ci(R.VAT_EXCLUDED)), False)
 
 
+def _amount(raw: Column) -> Column:
+    """Value of one amount's wording."""
+    return multiplied(parse_amount(F.regexp_extract(raw, MONEY, 1)), F.regexp_extract(raw, MONEY, 2))
+
+
 def money_list(c: Column) -> Column:
-    """All amounts of a text, in order: struct(pos, raw, amount, includes_vat); pos counts from 0.
+    """All amounts of a text, in order: struct(pos, raw, amount, width); pos counts from 0.
 
-    The gaps between matches give the positions, so one pass of the pattern serves for all of them.
+    The pattern goes over the text once for the amounts and once for the gaps between them, which give the positions.
     """
-    raw = F.regexp_extract_all(c, F.lit(MONEY), F.lit(0))
-    number = F.regexp_extract_all(c, F.lit(MONEY), F.lit(1))
-    token = F.regexp_extract_all(c, F.lit(MONEY), F.lit(2))
-    gaps = F.split(c, MONEY, -1)
-    # a match begins after the gaps up to it and the matches before it
-    n = F.size(raw)
-    lengths = F.slice(F.transform(gaps, F.length), F.lit(1), n)
-    starts = F.zip_with(F.zip_with(running(lengths), lengths, lambda s, g: s + g), running(F.transform(raw, F.length)), lambda s, m: s + m)
-    base = F.arrays_zip(starts.alias("pos"), raw.alias("raw"), number.alias("number"), token.alias("token"))
-    return F.transform(base, lambda m: F.struct(m["pos"].alias("pos"), squeeze(m["raw"]).alias("raw"), multiplied(parse_amount(m["number"]), m["token"]).alias("amount"), F.length(m["raw"]).alias("width")))
+    none = F.array().cast("array<struct<pos:int,raw:string,amount:double,width:int>>")
+
+    def of(m: Column) -> Column:
+        # an amount begins after the gaps up to it and the amounts before it
+        widths, gaps = F.transform(m["raw"], F.length), F.transform(F.slice(m["gaps"], F.lit(1), F.size(m["raw"])), F.length)
+        starts = F.zip_with(running(F.zip_with(gaps, widths, lambda g, w: g + w)), gaps, lambda s, g: s + g)
+        return F.zip_with(starts, m["raw"], lambda s, r: F.struct(s.alias("pos"), squeeze(r).alias("raw"), _amount(r).alias("amount"), F.length(r).alias("width")))
+
+    found = let(F.struct(F.regexp_extract_all(c, F.lit(MONEY), F.lit(0)).alias("raw"), parts(c, MONEY).alias("gaps")), of)
+    return F.when(c.isNotNull(), F.when(_has_currency(c), found).otherwise(none))
 
 
 def first_money(c: Column) -> Column:
     """The first amount as a money struct, NULL if none."""
-    raw = F.regexp_substr(c, F.lit(MONEY))
-    start = F.regexp_instr(c, F.lit(MONEY))
-    window = F.substring(c, F.greatest(F.lit(1), start - 160), F.least(start - 1, F.lit(160)) + F.length(raw) + 80)
-    amount = multiplied(parse_amount(F.regexp_extract(c, MONEY, 1)), F.regexp_extract(c, MONEY, 2))
-    return F.when(raw.isNotNull(), F.struct(amount.alias("amount"), F.lit("RUB").alias("currency"), vat_flag(window).alias("includes_vat"), squeeze(raw).alias("raw")))
+
+    def of(x: Column) -> Column:
+        # the leftmost match of the pattern is also the first place of its wording
+        raw, start = x["raw"], F.instr(x["text"], x["raw"])
+        window = F.substring(x["text"], F.greatest(F.lit(1), start - 160), F.least(start - 1, F.lit(160)) + F.length(raw) + 80)
+        return F.when(raw.isNotNull(), F.struct(_amount(raw).alias("amount"), F.lit("RUB").alias("currency"), let(window, vat_flag).alias("includes_vat"), squeeze(raw).alias("raw")))
+
+    return let(F.struct(c.alias("text"), F.when(_has_currency(c), F.regexp_substr(c, F.lit(MONEY))).alias("raw")), of)
 
 
 def format_amount(c: Column) -> Column:
@@ -209,10 +238,10 @@ def label_value(c: Column, labels: list[str]) -> Column:
     """Value after the first label, in order of labels, that has an acceptable one."""
 
     def one(label: str) -> Column:
-        parts = F.split(c, unicode_ci(rf"\b{label}\s*[:—-]\s*"), -1)
-        windows = F.slice(parts, F.lit(2), F.size(parts))
-        values = F.transform(windows, lambda w: squeeze(strip_markers(F.element_at(F.split(F.left(w, F.lit(400)), STOP, 2), 1))))
-        return F.get(F.filter(values, lambda v: (F.length(v) >= 5) & ~party_role(v)), F.lit(0))
+        windows = let(parts(c, unicode_ci(rf"\b{label}\s*[:—-]\s*")), lambda x: F.slice(x, F.lit(2), F.size(x)))
+        values = F.transform(windows, lambda w: squeeze(strip_markers(F.element_at(parts(F.left(w, F.lit(400)), STOP), 1))))
+        first = F.get(F.filter(values, lambda v: (F.length(v) >= 5) & ~party_role(v)), F.lit(0))
+        return F.when(F.lower(c).contains(label), first)  # a plain search spares most texts the patterns
 
     return F.rtrim(F.coalesce(*[one(x) for x in labels]), F.lit("."))
 

@@ -6,67 +6,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
-from folium.functions.rx import stems, unicode_ci
+from folium.functions.rx import let, parts, stems, unicode_ci
 from folium.operators import tokens
 from folium.rules import procurement_ru as R
 
 
-def occurrences(text: Column, words: list[str]) -> Column:
-    """array of struct(ord, pos): every occurrence of each word in lower-cased text; ord is the word's place in the list."""
+def occurrences(text: Column, *lists: list[str]) -> Column:
+    """array of struct(list, ord, pos): every occurrence of each word in lower-cased text; ord is the word's place in its list."""
+    words = F.array(*[F.struct(F.lit(k).alias("list"), F.lit(i).alias("ord"), F.lit(w).alias("word")) for k, ws in enumerate(lists) for i, w in enumerate(ws)])
 
-    def one(i: int, w: str) -> Column:
-        parts = F.transform(F.split(F.lower(text), "(?U)\\Q" + w + "\\E", -1), F.length)
-        starts = F.zip_with(T.running(parts), parts, lambda s, p: s + p)
-        n = F.size(parts)
-        return F.transform(F.slice(starts, F.lit(1), n - 1), lambda s, k: F.struct(F.lit(i).alias("ord"), (s + k * len(w)).alias("pos")))
+    def one(low: Column, x: Column) -> Column:
+        def of(gaps: Column) -> Column:
+            starts = T.running(F.transform(gaps, lambda n: n + F.length(x["word"])))
+            return F.zip_with(starts, gaps, lambda s, n: F.struct(x["list"].alias("list"), x["ord"].alias("ord"), (s + n).alias("pos")))
 
-    return F.concat(*[one(i, w) for i, w in enumerate(words)])
+        pieces = F.split(low, F.concat(F.lit("\\Q"), x["word"], F.lit("\\E")), -1)
+        return let(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length), of)
+
+    # most words are in few texts: a plain search spares the others the rest
+    return let(F.lower(text), lambda low: F.flatten(F.transform(F.filter(words, lambda x: low.contains(x["word"])), lambda x: one(low, x))))
+
+
+def money_after(places: Column, amounts: Column, *, window: int = 400) -> Column:
+    """struct(distance, ord, pos, at, amount, raw): the amount that begins nearest after one of the places (see
+    occurrences), at most `window` characters on; ties go to the earlier word, occurrence, amount."""
+
+    def first(o: Column) -> Column:
+        near = F.get(F.filter(amounts, lambda m: (m["pos"] >= o["pos"]) & (m["pos"] <= o["pos"] + window)), F.lit(0))
+        return let(near, lambda m: F.when(m.isNotNull(), F.struct((m["pos"] - o["pos"]).alias("distance"), o["ord"].alias("ord"), o["pos"].alias("pos"), m["pos"].alias("at"), m["amount"].alias("amount"), m["raw"].alias("raw"))))
+
+    return F.when((F.size(places) > 0) & (F.size(amounts) > 0), F.array_min(F.transform(places, first)))
 
 
 def nearest_money(docs: DataFrame, words: list[str], *, key: str = "doc_id", text: str = "text", window: int = 400) -> DataFrame:
-    """Forward as-of join within each document: the amount that begins nearest after an occurrence of a word, at most
-    `window` characters on; ties go to the earlier word, occurrence, amount. key, amount, raw, distance."""
-    slim = docs.select(key, F.col(text).alias("_t")).withColumns({"_o": occurrences(F.col("_t"), words), "_m": T.money_list(F.col("_t"))}).where((F.size("_o") > 0) & (F.size("_m") > 0))
-    pairs = slim.select(key, F.explode("_o").alias("o"), "_m").select(key, "o", F.explode(F.filter("_m", lambda m: (m["pos"] >= F.col("o.pos")) & (m["pos"] <= F.col("o.pos") + window))).alias("m"))
-    best = pairs.groupBy(key).agg(F.min_by(F.struct("m.amount", "m.raw", (F.col("m.pos") - F.col("o.pos")).alias("distance")), F.struct(F.col("m.pos") - F.col("o.pos"), "o.ord", "o.pos", "m.pos")).alias("b"))
-    return best.select(key, "b.amount", "b.raw", "b.distance")
+    """Forward as-of join within each document: key, amount, raw, distance of the amount nearest after a word."""
+    slim = docs.select(key, occurrences(F.col(text), words).alias("_o"), T.money_list(F.col(text)).alias("_m"))
+    return slim.select(key, money_after(F.col("_o"), F.col("_m"), window=window).alias("b")).where("b IS NOT NULL").select(key, "b.amount", "b.raw", "b.distance")
+
+
+def phrase_after(text: Column, places: Column, *, skip: list[str] | None = None) -> Column:
+    """A date within 300 characters of the first of the places that has one or an acceptable phrase."""
+
+    def value(w: Column) -> Column:
+        def given(phrase: Column) -> Column:
+            good = phrase != ""
+            return F.when(good & ~T.contains_any(F.lower(phrase), skip) if skip else good, phrase)
+
+        return F.coalesce(T.any_date(w), let(T.squeeze(T.strip_markers(F.element_at(parts(w, "[.;\n]"), 1))), given))
+
+    found = F.transform(F.array_sort(places), lambda o: let(F.substring(text, o["pos"] + 1, F.lit(300)), value))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
 def phrase_near(docs: DataFrame, words: list[str], *, key: str = "doc_id", text: str = "text", skip: list[str] | None = None) -> DataFrame:
-    """key, value: a date within 300 characters of the first word that has one or an acceptable phrase."""
-    slim = docs.select(key, F.col(text).alias("_t")).select(key, "_t", F.explode(occurrences(F.col("_t"), words)).alias("o"))
-    w = F.substring("_t", F.col("o.pos") + 1, F.lit(300))
-    phrase = T.squeeze(T.strip_markers(F.element_at(F.split(w, "[.;\n]", 2), 1)))
-    good = phrase != ""
-    if skip:
-        good = good & ~T.contains_any(F.lower(phrase), skip)
-    slim = slim.withColumn("value", F.coalesce(T.any_date(w), F.when(good, phrase))).where("value IS NOT NULL")
-    return slim.groupBy(key).agg(F.min_by("value", F.struct("o.ord", "o.pos")).alias("value"))
+    """key, value: the date or phrase after the first of the words that has one."""
+    slim = docs.select(key, F.col(text).alias("_t"), occurrences(F.col(text), words).alias("_o")).where(F.size("_o") > 0)
+    return slim.select(key, phrase_after(F.col("_t"), F.col("_o"), skip=skip).alias("value")).where("value IS NOT NULL")
 
 
 TRANSFER = r"(?s)(\d{1,4})\s*(?:\([^)]{0,60}\)\s*)?(?:календарн\w*\s*)?(?:дн\w*)[^.;\n]{0,80}(?:передачи\s+объекта|капитальн\w+\s+ремонт)"
 
 
-def transfer_duration(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, duration, sentence: days up to the transfer of the object or a capital repair, which go before any other."""
+def transfer_duration(text: Column) -> Column:
+    """struct(duration, sentence): days up to the transfer of the object or a capital repair, which go before any other."""
     p = unicode_ci(TRANSFER)
-    days = F.regexp_extract(text, p, 1)
-    return docs.select(key, F.when(days != "", F.concat(days, F.lit(" календарных дней"))).alias("duration"), F.regexp_substr(text, F.lit(p)).alias("sentence")).where("duration IS NOT NULL")
+    hit = F.when(F.lower(text).contains("передачи") | F.lower(text).contains("капитальн"), F.regexp_substr(text, F.lit(p)))
+    return let(hit, lambda x: F.when(x.isNotNull(), F.struct(F.concat(F.regexp_extract(x, p, 1), F.lit(" календарных дней")).alias("duration"), x.alias("sentence"))))
 
 
-def duration_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, duration, sentence of whole texts: that of the transfer, else the best of a sentence."""
-    short = transfer_duration(docs, key=key, text=text)
-    best = best_duration(tokens.sentences(docs, key, text=text), key=key)
-    return short.unionByName(best.join(short.select(key), key, "left_anti"))
+def best_duration(sentences: Column) -> Column:
+    """struct(duration, sentence) of array<struct<pos, text>>: works before others, designs and payments last; then the
+    shortest sentence, then the first."""
 
+    def of(s: Column) -> Column:
+        low = F.lower(s["text"])
+        rank = F.when(T.contains_any(low, R.DURATION_LATE), 3).when(low.contains("проектн") & ~low.contains("капитальн"), 2).when(T.contains_any(low, R.DURATION_WORKS), 0).otherwise(1)
+        return let(T.duration_phrase(s["text"]), lambda d: F.when(d.isNotNull(), F.struct(rank.alias("rank"), F.length(s["text"]).alias("length"), s["pos"].alias("pos"), d.alias("duration"), s["text"].alias("sentence"))))
 
-def best_duration(sentences: DataFrame, *, key: str = "doc_id", text: str = "text", no: str = "pos") -> DataFrame:
-    """key, duration, sentence: works before others, designs and payments last; then the shortest sentence."""
-    low = F.lower(F.col(text))
-    s = sentences.where(T.contains_any(low, R.DURATION_KEYWORDS)).withColumn("duration", T.duration_phrase(F.col(text))).where("duration IS NOT NULL")
-    rank = F.when(T.contains_any(low, R.DURATION_LATE), 3).when(low.contains("проектн") & ~low.contains("капитальн"), 2).when(T.contains_any(low, R.DURATION_WORKS), 0).otherwise(1)
-    return s.groupBy(key).agg(F.min_by(F.struct("duration", F.col(text).alias("sentence")), F.struct(rank, F.length(text), no)).alias("b")).select(key, "b.duration", "b.sentence")
+    kept = F.filter(sentences, lambda s: T.contains_any(F.lower(s["text"]), R.DURATION_KEYWORDS))
+    return let(F.array_min(F.transform(kept, of)), lambda b: F.when(b.isNotNull(), F.struct(b["duration"].alias("duration"), b["sentence"].alias("sentence"))))
+
+
+def duration_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, duration, sentence of whole texts: that of the transfer, else the best of a sentence."""
+    found = F.coalesce(transfer_duration(F.col(text)), best_duration(tokens.split_with_offsets(F.col(text), tokens.SPLIT)))
+    return docs.select(key, found.alias("d")).where("d IS NOT NULL").select(key, "d.duration", "d.sentence")
 
 
 STAGES = [
@@ -116,7 +140,8 @@ RESCUED = ["сро", "лиценз", "гарант", "обеспечен", "кв
 def requirements(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = 25) -> DataFrame:
     """key, req_no, category, text, mandatory, pos: requirement sentences of the scope, the first of each wording."""
     scoped = docs.select(key, requirement_scope(F.col(text)).alias("s")).select(key, F.col("s.start").alias("_at"), F.col("s.text").alias("text"))
-    every = tokens.sentences(scoped, key, "_at").withColumn("text", T.strip(T.strip_markers(F.col("text")))).withColumn("pos", F.col("pos") + F.col("_at")).drop("_at")
+    holds = lambda words: lambda s: T.contains_any(F.lower(s), words)
+    every = tokens.sentences_with(scoped, key, "_at", keep=holds(R.REQUIREMENT_TRIGGERS)).withColumn("text", T.strip(T.strip_markers(F.col("text")))).withColumn("pos", F.col("pos") + F.col("_at")).drop("_at")
     low = F.lower("text")
     kept = every.where(F.length("text").between(30, 600) & F.col("text").rlike(stems(R.REQUIREMENT_TRIGGERS)) & ~F.col("text").rlike(unicode_ci(EXCLUDED)) & (~F.col("text").rlike(stems(R.PENALTY_TRIGGERS)) | T.contains_any(low, RESCUED)))
     first = kept.groupBy(key, T.dedupe_key(F.col("text")).alias("_k")).agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
@@ -126,13 +151,15 @@ def requirements(docs: DataFrame, *, key: str = "doc_id", text: str = "text", li
 
 def penalties(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = 25) -> DataFrame:
     """key, pen_no, violation, sanction, formula, amount, pos: penalty rows of tables, then penalty sentences."""
-    rows = tokens.lines(docs, key, text=text).where(F.col("text").contains("|") & F.col("text").rlike(stems(R.PENALTY_TRIGGERS)))
+    # plain searches before the texts are unfolded; the patterns decide afterwards
+    holds = lambda s: T.contains_any(F.lower(s), R.PENALTY_TRIGGERS)
+    rows = tokens.sentences_with(docs, key, text=text, pattern=tokens.BREAK, keep=lambda s: s.contains("|") & holds(s)).withColumn("text", T.strip(F.col("text"))).where(F.col("text").rlike(stems(R.PENALTY_TRIGGERS)))
     cells = F.transform(F.split("text", r"\|", -1), T.strip)
     rows = rows.withColumn("c", cells).where((F.size("c") >= 2) & ~T.table_header(F.col("c")))
     c = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
     table = rows.select(key, F.lit(0).alias("src"), "pos", T.penalty_text(c(0)).alias("violation"), F.coalesce(F.nullif(T.penalty_text(c(1)), F.lit("")), T.sanction(F.col("text"))).alias("sanction"), T.formula(F.concat_ws(" ", c(1), c(2))).alias("formula"), T.first_money(c(2))["amount"].alias("amount"), T.dedupe_key(F.concat(c(0), c(1))).alias("_k"))
     table = table.where(F.col("violation") != "")
-    s = tokens.sentences(docs, key, text=text).where(~F.col("text").contains("|") & ~F.col("text").contains(R.TABLE_LINE)).withColumn("t", T.penalty_text(F.col("text")))
+    s = tokens.sentences_with(docs, key, text=text, keep=lambda s: ~s.contains("|") & ~s.contains(R.TABLE_LINE) & holds(s)).withColumn("t", T.penalty_text(F.col("text")))
     hits = F.size(F.regexp_extract_all("t", F.lit(stems(R.PENALTY_TRIGGERS)), F.lit(0)))
     s = s.where(F.length("t").between(30, 700) & (hits > 0) & (hits <= 3) & T.clause_start(F.col("t")) & ~T.contains_any(F.lower("t"), R.NON_PENALTY_MARKERS))
     prose = s.select(key, F.lit(1).alias("src"), "pos", F.col("t").alias("violation"), T.sanction(F.col("t")).alias("sanction"), T.formula(F.col("t")).alias("formula"), T.first_money(F.col("t"))["amount"].alias("amount"), T.dedupe_key(F.col("t")).alias("_k"))
@@ -161,8 +188,9 @@ def customer(c: Column) -> Column:
 
     def labelled(label: str) -> Column:
         p = unicode_ci(rf"\b{label}\s*[:—-]\s*")
-        every = tokens.split_with_offsets(c, p)
-        return F.transform(F.slice(every, F.lit(2), F.size(every)), lambda x: F.struct(T.party_name(F.left(x["text"], F.lit(600))).alias("name"), x["pos"].alias("pos")))
+        named = lambda every: F.transform(F.slice(every, F.lit(2), F.size(every)), lambda x: F.struct(T.party_name(F.left(x["text"], F.lit(600))).alias("name"), x["pos"].alias("pos")))
+        none = F.array().cast("array<struct<name:string,pos:int>>")
+        return F.when(F.lower(c).contains(label), let(tokens.split_with_offsets(c, p), named)).otherwise(none)
 
     found = F.transform(F.filter(F.concat(*[labelled(x) for x in R.CUSTOMER_LABELS]), lambda x: x["name"].isNotNull()), lambda x: F.struct(T.party_score(x["name"]).alias("score"), x["pos"].alias("pos"), x["name"].alias("name")))
     return F.coalesce(named, T.squeeze(F.concat(F.lit("«"), role, F.lit("»"))), F.get(F.array_sort(found), F.lit(0))["name"])

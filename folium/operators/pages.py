@@ -72,4 +72,6 @@ def marked_text(pages: DataFrame) -> DataFrame:
     """doc_id, text: non-empty pages in order, each under its marker."""
     block = F.struct("page_no", "page_id", F.concat(F.format_string("[[стр. %d]]\n", "page_no"), F.col("text")).alias("t")) if "page_id" in pages.columns else F.struct("page_no", F.concat(F.format_string("[[стр. %d]]\n", "page_no"), F.col("text")).alias("t"))
     some = pages.where(T.strip(F.coalesce("text", F.lit(""))) != "")
+    # small tables need all cores for what follows, so the partitions are not merged afterwards
+    some = some.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["t"]), "\n\n").alias("text"))

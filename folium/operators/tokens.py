@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
+from folium.functions.rx import let, parts
 from folium.rules import procurement_ru as R
 
 SPLIT = "(?U)" + R.SENTENCE_SPLIT
@@ -13,10 +16,13 @@ SPLIT = "(?U)" + R.SENTENCE_SPLIT
 
 def split_with_offsets(c: Column, pattern: str) -> Column:
     """array of struct(pos, text): the pieces between matches, with their places from 0."""
-    pieces = F.split(c, pattern, -1)
-    widths = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.length), F.array(F.lit(0)))
-    starts = T.running(F.zip_with(pieces, widths, lambda p, w: F.length(p) + F.coalesce(w, F.lit(0))))
-    return F.transform(F.arrays_zip(starts.alias("pos"), pieces.alias("text")), lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text")))
+
+    def of(x: Column) -> Column:
+        widths = F.concat(F.transform(x["marks"], F.length), F.array(F.lit(0)))
+        starts = T.running(F.zip_with(x["pieces"], widths, lambda p, w: F.length(p) + F.coalesce(w, F.lit(0))))
+        return F.zip_with(starts, x["pieces"], lambda s, p: F.struct(s.alias("pos"), p.alias("text")))
+
+    return let(F.struct(parts(c, pattern).alias("pieces"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("marks")), of)
 
 
 def sentences(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -24,13 +30,18 @@ def sentences(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.posexplode(split_with_offsets(F.col(text), SPLIT)).alias("sent_no", "_s")).select(*keys, "sent_no", F.col("_s.pos").alias("pos"), F.col("_s.text").alias("text"))
 
 
+def sentences_with(df: DataFrame, *keys: str, keep: Callable[[Column], Column], text: str = "text", pattern: str = SPLIT) -> DataFrame:
+    """keys, pos, text of the pieces that keep() holds for; only they are unfolded."""
+    some = F.filter(split_with_offsets(F.col(text), pattern), lambda s: keep(s["text"]))
+    return df.select(*keys, F.explode(some).alias("_s")).select(*keys, F.col("_s.pos").alias("pos"), F.col("_s.text").alias("text"))
+
+
 BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """keys, line_no, pos, text: stripped lines and where each begins; no line after a final break."""
-    every = split_with_offsets(F.col(text), BREAK)
-    some = F.when(F.element_at(every, -1)["text"] == "", F.slice(every, F.lit(1), F.size(every) - 1)).otherwise(every)
+    some = let(split_with_offsets(F.col(text), BREAK), lambda every: F.when(F.element_at(every, -1)["text"] == "", F.slice(every, F.lit(1), F.size(every) - 1)).otherwise(every))
     return df.select(*keys, F.posexplode(some).alias("line_no", "_s")).select(*keys, "line_no", F.col("_s.pos").alias("pos"), T.strip(F.col("_s.text")).alias("text"))
 
 
@@ -47,7 +58,7 @@ def render_table(rows: Column) -> Column:
 
 def first_sentence_with(df: DataFrame, key: str, words: list[str], *, text: str = "text") -> DataFrame:
     """key, text: the first sentence that holds any of the words; rows without one are left out."""
-    every = F.split(F.col(text), SPLIT, -1)
+    every = parts(F.col(text), SPLIT)
     return df.select(key, F.get(F.filter(every, lambda s: T.contains_any(F.lower(s), words)), F.lit(0)).alias("text")).where("text IS NOT NULL")
 
 
@@ -60,10 +71,13 @@ def page_of(positions: DataFrame, markers: DataFrame, *, doc: str = "doc_id", po
 
 def page_marks(text: Column) -> Column:
     """array of struct(pos, page): the page markers of a text, in order."""
-    parts = F.split(text, R.MARKER, -1)
-    widths = F.transform(F.regexp_extract_all(text, F.lit(R.MARKER), F.lit(0)), F.length)
-    begins = F.zip_with(T.running(F.transform(F.slice(parts, F.lit(1), F.size(widths)), F.length)), F.transform(F.arrays_zip(T.running(widths).alias("w"), F.slice(parts, F.lit(1), F.size(widths)).alias("p")), lambda x: x["w"] + F.length(x["p"])), lambda a, b: a + b)
-    return F.zip_with(begins, F.regexp_extract_all(text, F.lit(R.MARKER), F.lit(1)), lambda b, n: F.struct(b.alias("pos"), n.cast("int").alias("page")))
+
+    def of(x: Column) -> Column:
+        widths, gaps = F.transform(x["marks"], F.length), F.transform(F.slice(x["parts"], F.lit(1), F.size(x["marks"])), F.length)
+        begins = F.zip_with(T.running(F.zip_with(gaps, widths, lambda g, w: g + w)), gaps, lambda s, g: s + g)
+        return F.zip_with(begins, x["marks"], lambda b, m: F.struct(b.alias("pos"), F.regexp_extract(m, R.MARKER, 1).cast("int").alias("page")))
+
+    return let(F.struct(parts(text, R.MARKER).alias("parts"), F.regexp_extract_all(text, F.lit(R.MARKER), F.lit(0)).alias("marks")), of)
 
 
 def marked_page(marks: Column, pos: Column) -> Column:

@@ -22,26 +22,31 @@ def rule_summary(docs: DataFrame) -> DataFrame:
 
     Each fact is aggregated to its document by itself, so what is joined is small; the texts are not joined.
     """
-    # every fact reads the texts: they are written once to the shared folder
+    # the texts are read for the lists too: they are written once to the shared folder
     text = cut_lineage(docs.select("doc_id", pages.reflow(F.col("text")).alias("text")))
-    base = text.select("doc_id", facts.subject(F.col("text")).alias("subject"), facts.customer(F.col("text")).alias("customer"), T.procurement_number(F.col("text")).alias("procurement_number"))
-    parts = [base]
-    for name, words, _, _ in MONEY_FIELDS:
-        parts.append(facts.nearest_money(text, words).select("doc_id", F.col("amount").alias(name)))
-    parts.append(facts.phrase_near(text, R.START_KEYWORDS).withColumnRenamed("value", "start"))
-    parts.append(facts.phrase_near(text, R.END_KEYWORDS, skip=R.END_SKIP).withColumnRenamed("value", "end"))
-    parts.append(facts.duration_of(text).select("doc_id", "duration", T.squeeze(F.col("sentence")).alias("_sentence")))
-    parts.append(tokens.first_sentence_with(text, "doc_id", ["срок"]).select("doc_id", T.squeeze(F.col("text")).alias("_term")))
+    t = F.col("text")
+    # scalars come from one pass: what several of them need is made once, and no text moves
+    words = {name: w for name, w, _, _ in MONEY_FIELDS} | {"start": R.START_KEYWORDS, "end": R.END_KEYWORDS}
+    seen = text.select("doc_id", "text", T.money_list(t).alias("_m"), tokens.split_with_offsets(t, tokens.SPLIT).alias("_s"), facts.occurrences(t, *words.values()).alias("_o"))
+    at = lambda n: F.filter("_o", lambda o: o["list"] == list(words).index(n))
+    base = seen.select(
+        "doc_id", facts.subject(t).alias("subject"), facts.customer(t).alias("customer"), T.procurement_number(t).alias("procurement_number"),
+        *[facts.money_after(at(n), F.col("_m"))["amount"].alias(n) for n, _, _, _ in MONEY_FIELDS],
+        facts.phrase_after(t, at("start")).alias("start"), facts.phrase_after(t, at("end"), skip=R.END_SKIP).alias("end"),
+        F.coalesce(facts.transfer_duration(t), facts.best_duration(F.col("_s"))).alias("_d"),
+        F.get(F.filter("_s", lambda s: F.lower(s["text"]).contains("срок")), F.lit(0))["text"].alias("_term"),
+        tokens.page_marks(t).alias("_marks"),
+    )
+    # without a duration the first sentence on a term is the mention
+    parts = [base.withColumn("duration", F.col("_d.duration")).withColumn("mentions", F.array_compact(F.array(F.coalesce(T.squeeze(F.col("_d.sentence")), T.squeeze(F.col("_term")))))).drop("_d", "_term")]
     listed = lambda df, no, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(no, *[c for c in df.columns if c not in ("doc_id", no)]))).alias(name))
     parts.append(listed(facts.stages(text), "stage_no", "stages").withColumn("stages", capped(F.transform("stages", lambda x: F.struct(x["name"].alias("name"), x["deadline"].alias("deadline"))), MAX_STAGES)))
-    marks = text.select("doc_id", tokens.page_marks(F.col("text")).alias("_marks"))
-    pages_of = lambda x: F.filter(F.array(tokens.marked_page(F.col("_marks"), x["pos"])), lambda n: n.isNotNull() & (n != 0)).alias("source_pages")
-    for found, no, name, kept in ((facts.requirements(text), "req_no", "requirements", ["category", "text", "mandatory"]), (facts.penalties(text), "pen_no", "penalties", ["violation", "sanction", "formula", "amount"])):
-        rows = listed(found, no, name).join(marks, "doc_id")
-        parts.append(rows.select("doc_id", F.transform(name, lambda x: F.struct(*[x[c].alias(c) for c in kept], pages_of(x))).alias(name)))  # noqa: B023
+    lists = (("requirements", facts.requirements(text), "req_no", ["category", "text", "mandatory"]), ("penalties", facts.penalties(text), "pen_no", ["violation", "sanction", "formula", "amount"]))
+    parts += [listed(found, no, name) for name, found, no, _ in lists]
     every = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts)
-    # without a duration the first sentence on a term is the mention
-    return every.withColumn("mentions", F.array_compact(F.array(F.coalesce("_sentence", "_term")))).drop("_sentence", "_term")
+    pages_of = lambda x: F.filter(F.array(tokens.marked_page(F.col("_marks"), x["pos"])), lambda n: n.isNotNull() & (n != 0)).alias("source_pages")
+    traced = lambda name, kept: F.transform(name, lambda x: F.struct(*[x[c].alias(c) for c in kept], pages_of(x)))
+    return every.withColumns({name: traced(name, kept) for name, _, _, kept in lists}).drop("_marks")
 
 
 def finished(summary: DataFrame, warnings=None) -> DataFrame:

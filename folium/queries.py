@@ -356,8 +356,8 @@ def money_roundtrip(spark, sf_dir):
     grouped = F.translate(F.format_number((F.col("cents") / 100).cast("decimal(18,2)"), 2), ",.", "\xa0,")
     k = F.col("o_orderkey") % 4
     text = F.concat(F.lit("Начальная цена контракта составляет "), F.when(k == 3, F.concat((F.col("cents") % 1000).cast("string"), F.lit(" тыс. руб."))).otherwise(F.concat(grouped, F.lit(" рублей"))), F.when(k == 0, ", включая НДС 20 %").when(k == 1, " без НДС").otherwise(""), F.lit(". Прочее."))
-    m = T.first_money(F.col("text"))
-    return o.withColumn("text", text).select("o_orderkey", F.round(m["amount"] * 100).cast("bigint").alias("cents"), m["includes_vat"].alias("vat"), F.size(T.money_list(F.col("text"))).alias("found"))
+    read_again = o.withColumn("text", text).select("o_orderkey", T.first_money(F.col("text")).alias("m"), F.size(T.money_list(F.col("text"))).alias("found"))
+    return read_again.select("o_orderkey", F.round(F.col("m.amount") * 100).cast("bigint").alias("cents"), F.col("m.includes_vat").alias("vat"), "found")
 
 
 _sql["money_roundtrip"] = """

@@ -147,7 +147,7 @@ def test_admission(spark):
 
 def test_occurrences(spark):
     df = spark.createDataFrame([("Штраф за x и ШТРАФ за y",)], "t string")
-    assert [tuple(r) for r in df.select(facts.occurrences(F.col("t"), ["нет", "штраф"]).alias("o")).collect()[0]["o"]] == [(1, 0), (1, 13)]
+    assert [tuple(r) for r in df.select(facts.occurrences(F.col("t"), ["нет", "штраф"]).alias("o")).collect()[0]["o"]] == [(0, 1, 0), (0, 1, 13)]
 
 
 def test_stream(spark, tmp_path):
@@ -206,3 +206,19 @@ def test_summary_refines_stages_and_names_pages(spark):
     assert len(a["stages"]) == 1 and a["stages"][0]["deadline"] == "01.02.2026"
     assert a["mentions"][0] == "Указан срок." and a["mentions"][1].startswith("Период 7")
     assert [r["source_pages"] for r in a["requirements"]] == [[1]] and [p["source_pages"] for p in a["penalties"]] == [[2]]
+
+
+@pytest.mark.parametrize("text,want", [('{"a": [1, {"b": "c', '{"a": [1, {"b": "c"}]}'), ('{"a": 1, "b": ', '{"a": 1}'), ('{"a": [1, 2, ', '{"a": [1, 2]}'), ('{"a": "x\\', '{"a": "x\\"}'), ('{"a": 12', '{"a": 12}'), ('{"a": 1}', '{"a": 1}'), ('{"a:": "b,', '{"a:": "b,"}')])
+def test_closed(text, want):
+    assert jsonrepair.closed(text) == want
+
+
+def test_admission_of_large_padded_and_unread_files(spark, tmp_path):
+    (tmp_path / "large.pdf").write_bytes(b"%PDF-" + b"x" * 2_000_000)
+    (tmp_path / "padded.pdf").write_bytes(b" \n" * 5000 + b"%PDF-1.4 \xff\xfe")
+    (tmp_path / "other.pdf").write_bytes(b" \xff%PDF-")
+    up = ingest.scan(spark, str(tmp_path), max_mb=1)
+    name = lambda rows: sorted((r["doc_id"].rsplit("/", 1)[1], r["code"], r["status"]) for r in rows)
+    assert name(ingest.admission(up, max_mb=1).collect()) == [("large.pdf", "file_too_large", 413), ("other.pdf", "unreadable_pdf", 422), ("padded.pdf", None, None)]
+    none = spark.createDataFrame([], "doc_id string, page_no int, text string")
+    assert ("padded.pdf", "unreadable_pdf", 422) in name(ingest.rejects(up, extracted=none, max_mb=1).collect())
