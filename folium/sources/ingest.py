@@ -18,10 +18,12 @@ MAX_UPLOAD_MB, MIN_PRIMARY_CHARS, MIN_PAGE_CHARS = 25, 200, 80
 
 
 def scan(spark: SparkSession, path: str, *, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
-    """Binary files as uploads; the filter on length reaches the source, so oversized files are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_mb * 1024 * 1024)
+    """Binary files as uploads. Oversized files are listed, for admission to turn them away, but never read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    fits = F.col("length") <= max_mb * 1024 * 1024
+    every = files.where(fits).select("path", "length", "content").unionByName(files.where(~fits).select("path", "length", F.lit(None).cast("binary").alias("content")))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.col("path").alias("doc_id"), name.alias("filename"), F.lit(None).cast("string").alias("content_type"), "content", F.col("length").alias("size_bytes"))
+    return every.select(F.col("path").alias("doc_id"), name.alias("filename"), F.lit(None).cast("string").alias("content_type"), "content", F.col("length").alias("size_bytes"))
 
 
 def wrong_media(content_type: Column, filename: Column) -> Column:
@@ -32,8 +34,8 @@ def wrong_media(content_type: Column, filename: Column) -> Column:
 
 
 def signed(content: Column) -> Column:
-    """Whether content, but for white space before, begins with the signature."""
-    return F.regexp_replace(F.hex(F.substring(content, 1, 1024)), "^(?:09|0A|0B|0C|0D|20)+", "").startswith(SIGNATURE)
+    """Whether content, but for white space before, however much, begins with the signature."""
+    return (F.hex(F.substring(content, 1, 5)) == SIGNATURE) | F.decode(content, "ISO-8859-1").rlike(r"\A[\t\n\x0b\f\r ]++%PDF-")
 
 
 def admission(uploads: DataFrame, *, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
@@ -51,9 +53,14 @@ def admission(uploads: DataFrame, *, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
     return judged.groupBy("doc_id").agg(F.min_by(F.struct("code", "status"), F.struct(F.col("code").isNotNull(), "code")).alias("v")).select("doc_id", "v.code", "v.status")
 
 
-def rejects(uploads: DataFrame, stats: DataFrame | None = None, **options) -> DataFrame:
-    """doc_id, code, status, detail of documents that are turned away; stats adds those without a text layer."""
-    out = admission(uploads, **options).where("code IS NOT NULL").withColumn("detail", F.lit(None).cast("string"))
+def rejects(uploads: DataFrame, stats: DataFrame | None = None, extracted: DataFrame | None = None, **options) -> DataFrame:
+    """doc_id, code, status, detail of documents that are turned away; extracted (pages) adds admitted ones from which
+    neither library read a page, stats those without a text layer."""
+    judged = admission(uploads, **options)
+    out = judged.where("code IS NOT NULL").withColumn("detail", F.lit(None).cast("string"))
+    if extracted is not None:
+        unread = judged.where("code IS NULL").select("doc_id").join(extracted.select("doc_id").distinct(), "doc_id", "left_anti")
+        out = out.unionByName(unread.select("doc_id", F.lit("unreadable_pdf").alias("code"), F.lit(422).alias("status"), F.lit(None).cast("string").alias("detail")))
     if stats is not None:
         blank = stats.where("likely_scanned").join(out.select("doc_id"), "doc_id", "left_anti")
         out = out.unionByName(blank.select("doc_id", F.lit("no_text_layer").alias("code"), F.lit(422).alias("status"), F.concat(F.col("pages"), F.lit(" pages")).alias("detail")))
