@@ -4,7 +4,10 @@ A distributed positional inverted index, one shard per block of documents: the w
 test vocabulary, the positions of each id form its posting list. For every stretch of `min_words` words of a test item
 the rarest of its terms is chosen by the lengths of these lists; its postings less the term's offset in the item are
 the places where the item could be aligned, and at each the neighbouring terms are intersected position by position.
-Exact phrases are runs of at least `min_words` equal words; proximity matches count equal words in an item-long window.
+Exact phrases are runs of at least `min_words` equal words. Proximity matches are item-long windows in which at least
+`near_share` of the item's words stand at their places, whatever the runs: of the rarest terms of the item, one more is
+looked up than may be missing, so that no such window is passed over. Items are searched in blocks of BLOCK_ITEMS, one
+of which is broadcast at a time, so their number isn't bounded.
 
 Cases: NULL or empty texts and empty tables give no rows; an item shorter than min_words can't match; a document that
 holds a passage several times, and repeated rows of one document, come out once; other columns are ignored. A block
@@ -13,6 +16,7 @@ holds at most `block_words` words plus one document, so long texts and many docu
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,7 +29,7 @@ from folium.plans.ship import ensure_shipped
 
 #: A word: what stands between white space, without other characters than letters and digits at both ends.
 WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
-MAX_ITEMS = 100_000
+BLOCK_ITEMS = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -38,8 +42,8 @@ def words(text: str) -> list[str]:
 class PhraseSearch:
     """Searches blocks of documents for passages of the items."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int) -> None:
-        self.n = min_words
+    def __init__(self, items: list[tuple[int, str]], min_words: int, near_share: float = 0.8) -> None:
+        self.n, self.share = min_words, near_share
         self.vocabulary: dict[str, int] = {}
         self.items = []
         for item_id, text in items:
@@ -47,11 +51,18 @@ class PhraseSearch:
             if len(ids) >= min_words:
                 self.items.append((item_id, np.array(ids, np.int32)))
 
+    def needed(self, width: int) -> int:
+        """Words at their places that make a proximity match with an item of `width` words."""
+        return max(self.n, math.ceil(self.share * width - 1e-9))
+
     def anchors(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Offsets of the item such that each stretch of n words holds one, at the rarest term of the stretch."""
+        """Offsets of the item such that each stretch of n words holds one, at the rarest term of the stretch, and each
+        choice of words that makes a proximity match holds one too."""
         windows = np.lib.stride_tricks.sliding_window_view(counts[ids], self.n)
         live = windows.min(axis=1) > 0  # a stretch with a term that the block lacks can't occur
-        return np.unique((windows.argmin(axis=1) + np.arange(len(windows)))[live])
+        rarest = np.argsort(counts[ids], kind="stable")[: len(ids) - self.needed(len(ids)) + 1]
+        near = rarest if counts[ids[rarest[-1]]] else rarest[:0]  # more of them are missing than may be
+        return np.unique(np.concatenate([(windows.argmin(axis=1) + np.arange(len(windows)))[live], near[counts[ids[near]] > 0]]))
 
     def block(self, tokens: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document's place in the block, item id, longest run of equal words, equal words in the window)."""
@@ -83,28 +94,39 @@ class PhraseSearch:
                     d = doc[where[r]]
                     out.append((int(d), item_id, int(best[r]), int((equal[r] & (doc[places[r]] == d)).sum())))
                 # further documents that the same alignment touches are rare: look at each end on its own
-                for r in np.flatnonzero((best >= self.n) & (doc[places[:, 0]] != doc[places[:, -1]])):
+                need = self.needed(width)
+                for r in np.flatnonzero(((best >= self.n) & (doc[places[:, 0]] != doc[places[:, -1]])) | ((best < self.n) & (equal.sum(axis=1) >= need))):
                     for d in np.unique(doc[places[r]]):
                         hit = equal[r] & (doc[places[r]] == d)
                         longest = max((len(x) for x in "".join("1" if x else "0" for x in hit).split("0")), default=0)
-                        if longest >= self.n:
+                        if longest >= self.n or hit.sum() >= need:
                             out.append((int(d), item_id, longest, int(hit.sum())))
         return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 12, block_words: int = 4_000_000) -> DataFrame:
-    """One row per document and item with a shared passage: doc_id, item_id, longest_run, near_words.
+def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 12, near_share: float = 0.8, block_words: int = 4_000_000) -> DataFrame:
+    """One row per document and item with a shared passage: doc_id, item_id, longest_run, near_words; longest_run is under
+    min_words where only the proximity matches."""
+    ensure_shipped(documents.sparkSession)
+    given = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    blocks = max(1, math.ceil(given.count() / BLOCK_ITEMS))
+    found = None
+    for k in range(blocks):
+        part = given.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else given
+        search = PhraseSearch(sorted((r[0], r[1]) for r in part.collect()), min_words, near_share)
+        here = _searched(documents, search, doc_id, text, min_words, block_words)
+        found = here if found is None else found.unionByName(here)
+    # copies of a document, and an item with several texts, come out once
+    return found.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("near_words").alias("near_words"))
+
 
-    The items are a fixed table; more than MAX_ITEMS of them are refused rather than broadcast.
-    """
+def _searched(documents: DataFrame, search: PhraseSearch, doc_id: str, text: str, min_words: int, block_words: int) -> DataFrame:
+    """The matches of one block of items, which is broadcast."""
     spark = documents.sparkSession
-    ensure_shipped(spark)
-    rows = items.select(F.col(item_id).cast("bigint"), item_text).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).distinct().limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items: search them in blocks")
-    search = PhraseSearch(sorted((int(r[0]), r[1]) for r in rows), min_words)
+    shared = spark.sparkContext.broadcast(search)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = shared.value
         get = search.vocabulary.get
         none = len(search.vocabulary)  # the id of all words that no item has
 
@@ -138,5 +160,4 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     if not search.items:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, longest_run int, near_words int")
     slim = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    found = slim.mapInArrow(run, "doc_id bigint, item_id bigint, longest_run int, near_words int")
-    return found.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("near_words").alias("near_words"))
+    return slim.mapInArrow(run, "doc_id bigint, item_id bigint, longest_run int, near_words int")

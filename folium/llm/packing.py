@@ -9,8 +9,8 @@ tokens of a public tokenizer, counted per pre-token with a cache, which gives th
 pair merges never cross a pre-token. Nothing is shuffled; each shard leaves one partly filled container at most for
 each capacity besides those that no remaining text fits.
 
-Cases: NULL and empty texts have no tokens and are left out; ids that repeat are packed once in a shard by their first
-text and, over shards, once for each copy, so pass unique ids; capacities of 0 or less and more than 1,000 are refused,
+Cases: NULL and empty texts have no tokens and are left out; ids that repeat are packed once, by their least text;
+capacities of 0 or less and more than 1,000 are refused,
 NULL ones skipped;
 ties go to the smaller place in the shard; other columns are ignored; empty tables give no rows; a very long text
 fills containers of its own, its rest shares one.
@@ -19,7 +19,6 @@ fills containers of its own, its rest shares one.
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 import re
 from bisect import bisect_right, insort
@@ -39,30 +38,31 @@ SHARD_DOCS, SHARD_TOKENS = 2048, 4_000_000
 COMMON, TERM_BLOCK = 16, 1024
 MAX_CAPACITIES = 1000
 K1, B = 1.2, 0.75
+#: Bits of a pre-token's number of tokens: a value of at most 2 GB, Spark's own bound, has fewer than 2^31 of them.
+SIZE_BITS = 31
+#: Fixed value: the pattern that splits a text before the merges of the public rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The vocabulary's pre-token pattern, for texts of plain letters only, where re gives what the full pattern does.
 FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile("[^\\t\\n\\r -~\xa0§«°»À-ÖØ-öø-ÿЀ-ӿ‐-—‘-„…№]")
 
 
 class Counter(dict):
-    """hash << 20 | number of tokens of a pre-token."""
+    """hash << SIZE_BITS | number of tokens of a pre-token."""
 
-    def __init__(self, folder: str, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str) -> None:
         import regex
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_folium_tokenizers", os.path.join(folder, "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(os.path.join(folder, vocabulary), "rb") as f:
+        with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = regex.compile(module.PATTERN)
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.full = regex.compile(PATTERN)
 
     def __missing__(self, token: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        value = crc32(token.strip().lower().encode()) << 20 | min(len(self.encoding.encode_ordinary(token)), (1 << 20) - 1)
+        value = crc32(token.strip().lower().encode()) << SIZE_BITS | len(self.encoding.encode_ordinary(token))
         self[token] = value
         return value
 
@@ -165,7 +165,8 @@ def containers(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "do
     """One row per text or piece: container_id, capacity_tokens, bin_id, doc_id, piece_no, start_token, end_token."""
     spark = documents.sparkSession
     ensure_shipped(spark)
-    folder = tokenizer_dir(spark)
+    # only the driver needs the folder: the vocabulary goes to the executors
+    spark.sparkContext.addFile(os.path.join(tokenizer_dir(spark), vocabulary))
     given = capacities.select("container_id", "capacity_tokens").where("container_id IS NOT NULL AND capacity_tokens IS NOT NULL").distinct().limit(MAX_CAPACITIES + 1).collect()
     if len(given) > MAX_CAPACITIES:
         raise ValueError(f"more than {MAX_CAPACITIES} capacities")
@@ -174,10 +175,10 @@ def containers(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "do
         raise ValueError("a capacity must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        from pyspark import SparkFiles, TaskContext
 
         part = TaskContext.get().partitionId()
-        counter = Counter(folder, vocabulary)
+        counter = Counter(SparkFiles.get(vocabulary))
         ids: list[int] = []
         seen: set[int] = set()
         terms: list[np.ndarray] = []
@@ -208,11 +209,11 @@ def containers(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "do
                 if key in seen:
                     continue
                 found = counter.measured(content.as_py())
-                n = int((found & 0xFFFFF).sum())
+                n = int((found & ((1 << SIZE_BITS) - 1)).sum())
                 ids.append(key)
                 seen.add(key)
                 sizes.append(n)
-                terms.append(found >> 20)
+                terms.append(found >> SIZE_BITS)
                 held += len(found)
                 if len(ids) >= SHARD_DOCS or held >= SHARD_TOKENS:
                     yield flush()
@@ -222,6 +223,10 @@ def containers(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "do
             yield flush()
 
     slim = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    # ids that repeat are rare: only where there are any, texts move to meet their copies
+    repeated = slim.groupBy("doc_id").count().where("count > 1").limit(1)
+    if not repeated.isEmpty():
+        slim = slim.groupBy("doc_id").agg(F.min("text").alias("text"))
     return slim.mapInArrow(run, SCHEMA)
 
 

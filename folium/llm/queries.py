@@ -70,12 +70,13 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p8_leaks(spark, sf_dir).where("longest_run >= 12").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per leaked item: how many documents hold it and its longest passage in one."""
-    return p8_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("docs"), F.max("longest_run").alias("longest_run"))
+    """Per leaked item: how many documents hold a passage of it, how many only most of its words, its longest passage in one."""
+    exact = F.col("longest_run") >= 12
+    return p8_leaks(spark, sf_dir).groupBy("item_id").agg(F.count_if(exact).alias("docs"), F.count_if(~exact).alias("near_docs"), F.max("longest_run").alias("longest_run"))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,11 +52,12 @@ def hashes(text: str, cache: Cache) -> np.ndarray:
     text = UNSEEN.sub("", text) if UNSEEN.search(text) else text
     found = TOKEN.findall(text.lower())
     out = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-    if len(out) > MAX_PASSAGE:  # a passage without any mark is cut
-        gaps = np.diff(np.concatenate([[-1], np.flatnonzero(out == END), [len(out)]]))
-        if gaps.max() > MAX_PASSAGE:
-            cuts = np.arange(MAX_PASSAGE, len(out), MAX_PASSAGE)
-            out = np.insert(out, cuts, END)
+    if len(out) > MAX_PASSAGE:  # a passage without any mark is cut, others stay
+        ends = np.flatnonzero(out == END)
+        begins, stops = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(out)]])
+        long = stops - begins > MAX_PASSAGE
+        if long.any():
+            out = np.insert(out, np.concatenate([np.arange(a + MAX_PASSAGE, b, MAX_PASSAGE) for a, b in zip(begins[long], stops[long])]), END)
     return np.concatenate([out, np.zeros(2, np.uint64)])
 
 
@@ -164,7 +165,8 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, doc_
     # the sample is chosen before the texts are read, so that the join moves no more than max_docs texts
     chosen = rated.where(F.col("_share") != 0.5).orderBy(F.xxhash64("_k"), "_k").limit(max_docs)
     texts = documents.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
-    rows = texts.join(F.broadcast(chosen), "_k").select("_k", "_t", "_share", "_raters").collect()
+    # a document's repeated rows come once, so max_docs bounds what the driver gets
+    rows = texts.join(F.broadcast(chosen), "_k").groupBy("_k", "_share", "_raters").agg(F.min("_t").alias("_t")).collect()
     best = {r["_k"]: (r["_t"], float(r["_share"]), int(r["_raters"])) for r in rows}
     w, bias = fit([best[k] for k in sorted(best)])
     at = np.flatnonzero(w)

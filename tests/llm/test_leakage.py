@@ -1,5 +1,6 @@
 import random
 
+from folium.llm import leakage
 from folium.llm.leakage import leaks, words
 
 ITEMS = "item_id bigint, text string"
@@ -52,3 +53,22 @@ def test_runs_stay_in_one_document(spark):
 def test_empty(spark):
     assert leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a " * 20)], ITEMS)).count() == 0
     assert leaks(spark.createDataFrame([(1, "a " * 20, "")], DOCS), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_proximity_without_a_run(spark):
+    """Every sixth word replaced leaves runs of five, but five sixths of the words at their places."""
+    words = [f"слово{i}" for i in range(60)]
+    changed = [w if k % 6 else f"иное{k}" for k, w in enumerate(words)]
+    far = [w if k % 3 else f"иное{k}" for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, "зачин " * 9 + " ".join(changed) + " конец"), (2, " ".join(far)), (3, " ".join(changed[:30])), (4, " ".join(changed[30:]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.leaks(docs, items).collect()] == [(1, 7, 5, 50)]
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    """More items than a block holds are searched block by block, and none is lost."""
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 10)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(14))) for i in range(35)]
+    docs = spark.createDataFrame([(100 + i, "a b " + t + " c") for i, t in items], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(100 + i, i) for i, _ in items}

@@ -19,7 +19,7 @@ def test_every_token_once_within_capacity(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, bin_id string, piece_no string")
     caps = spark.createDataFrame([(1, 64), (2, 512)], "container_id int, capacity_tokens int")
     out = packing.containers(df, caps).collect()
-    counter = packing.Counter("/opt/tokenizers", "byte_bpe_multi_50k.tiktoken")
+    counter = packing.Counter("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
     for cid, cap in ((1, 64), (2, 512)):
         mine = [r for r in out if r["container_id"] == cid]
         used = {}
@@ -39,8 +39,8 @@ def test_every_token_once_within_capacity(spark):
 
 @pytest.mark.parametrize("text", ["Plain text, isn't it? 12 345", "Текст — «ёж» № 5", "压力 3.9 兆帕 ½ ² 😀", "  spaces \n\n\n tabs\t\t", "it's _under_score_ a²b"])
 def test_counts_equal_the_tokenizer(text):
-    counter = packing.Counter("/opt/tokenizers", "byte_bpe_multi_50k.tiktoken")
-    assert int((counter.measured(text) & 0xFFFFF).sum()) == len(counter.encoding.encode_ordinary(text))
+    counter = packing.Counter("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+    assert int((counter.measured(text) & ((1 << packing.SIZE_BITS) - 1)).sum()) == len(counter.encoding.encode_ordinary(text))
 
 
 def test_refusals_and_empty(spark):
@@ -77,3 +77,20 @@ def test_too_many_capacities_are_refused(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     with pytest.raises(ValueError):
         packing.containers(df, spark.range(1001).selectExpr("CAST(id AS INT) AS container_id", "64 AS capacity_tokens"))
+
+
+def test_a_pre_token_of_millions_of_tokens_counts_in_full():
+    counter = packing.Counter("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+    class Many:
+        def encode_ordinary(self, text):
+            return range(3_000_000)
+
+    counter.encoding = Many()
+    assert int((counter.measured("слово") & ((1 << packing.SIZE_BITS) - 1)).sum()) == 3_000_000
+
+
+def test_repeated_ids_are_packed_once_over_all_shards(spark):
+    docs = spark.createDataFrame([(i % 30, f"текст {i % 30} " * 5) for i in range(120)], "doc_id bigint, text string").repartition(6)
+    out = packing.containers(docs, spark.createDataFrame([(1, 64)], "container_id int, capacity_tokens int")).collect()
+    assert sorted(r["doc_id"] for r in out if r["piece_no"] == 0) == list(range(30))

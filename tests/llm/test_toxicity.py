@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from folium.llm import toxicity
 
 DOCS = "doc_id bigint, text string, source string, score string"
@@ -41,3 +43,11 @@ def test_without_labels_and_empty(spark):
     assert toxicity.scores(spark.createDataFrame([], DOCS), none).count() == 0
     tie = spark.createDataFrame([(0, 1, 1, "k"), (0, 2, 0, None), (1, 1, None, None), (None, 1, 1, "k")], LABELS)
     assert toxicity.flagged(spark.createDataFrame(docs, DOCS), tie).count() == 0
+
+
+def test_a_long_passage_is_cut_and_others_stay():
+    """A passage of 401 words gets one end; the sentences around it, wherever they stand, none."""
+    text = "Начало здесь. " + "слово " * 401 + ". " + "Обычное предложение после длинного. " * 80
+    h = toxicity.hashes(text, toxicity.Cache())[:-2]
+    gaps = np.diff(np.flatnonzero(np.concatenate([[toxicity.END], h, [toxicity.END]]) == toxicity.END)) - 1
+    assert gaps.tolist()[:3] == [2, 400, 1] and set(gaps.tolist()[3:-1]) == {4}
