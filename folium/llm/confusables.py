@@ -9,6 +9,8 @@ invisible characters, spaces and letters that stand for digits are normalized.
 
 Proper content stays: signs such as №, «», —, …, ², °, ₽; full-width punctuation next to Chinese or Japanese
 characters; vowel signs of scripts that need them; joiners between Indic or Arabic letters; whole Latin words, codes.
+A whole-script look-alike of more than three letters, or in capitals, counts only where the same text has the word in
+the other script; a Cyrillic one only in a text without any proper Cyrillic letter.
 
 Cases: NULL stays NULL and is no case; empty and blank texts are plain unless their white space is odd; ties between
 scripts are decided by the neighbours, else the token stays; repeated rows of a key count once; texts are read whole;
@@ -42,10 +44,13 @@ ODD_SPACE = "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2
 WIDE_MARKS = "！（），：；？．［］｛｝～＂＇"
 
 #: Characters that are odd by themselves, or may be: separate accents, Greek, spaces, invisible and full-width ones.
-SPECIAL = re.compile("[\xa0\xad\u0300-\u036f\u0370-\u03ff\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufb00-\ufb06\ufeff\uff01-\uffef]")
+SPECIAL = re.compile("[\xa0\xad\u0300-\u036f\u0370-\u03ff\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufb00-\ufb06\ufeff\uff01-\uffef\U0001d400-\U0001d7ff]")
 #: Letters that may be mixed into Cyrillic words, and digits that letters may stand beside.
 LATIN_RUN, DIGIT_RUN = re.compile("[A-Za-z\u0370-\u03ff]+"), re.compile("[0-9]+")
 LONE = re.compile("[aceopxy]{1,3}|[ABCEHKMOPTXY]")
+#: Longer runs of letters that all look like Cyrillic ones; a Cyrillic letter that looks like no Latin one.
+SHARED = re.compile(f"[{LATIN}]{{3,}}")
+CYRILLIC, PROPER = re.compile("[\u0400-\u052f]"), re.compile(f"(?![{AS_CYRILLIC}])[\u0400-\u052f]")
 TOKEN = re.compile(r"[^\W\d_]+")
 CJK = re.compile("[、-ヿ㐀-鿿가-힯]")
 JOINED = re.compile("[؀-ۿݐ-ݿऀ-෿]")
@@ -117,11 +122,16 @@ def _token(text: str, start: int, end: int) -> str:
     other = {"Latn": "Cyrl", "Grek": "Cyrl", "Cyrl": "Latn"}[s]
     if s == "Grek" and other in common:
         return respell(token, _around(text, start, end) or other)
-    # whole-script confusable: a short word of look-alikes only, no code and no unit, among words of the other script
-    if s == "Latn" and "Cyrl" in common and len(token) <= 3 and (token.islower() or len(token) == 1):
+    # whole-script confusable: a word of look-alikes only, no code and no unit, among words of the other script; a short
+    # one in lower-case letters, or a longer one that the text has elsewhere in the other script
+    if s == "Latn" and "Cyrl" in common:
         before, after = text[start - 1 : start], text[end : end + 1]
-        if (not before or before.isspace() or before in "(«\"") and (not after or after.isspace() or after in ",.;:)»") and _around(text, start, end) == "Cyrl":
-            return respell(token, "Cyrl")
+        alone = (not before or before.isspace() or before in "(«\"") and (not after or after.isspace() or after in ",.;:)»")
+        short = len(token) <= 3 and (token.islower() or len(token) == 1)
+        if alone and (short or len(token) > 2) and _around(text, start, end) == "Cyrl":
+            new = respell(token, "Cyrl")
+            if short or re.search(rf"(?<![^\W_]){new}(?![^\W_])", text, re.I):
+                return new
     return token
 
 
@@ -139,7 +149,7 @@ def _plain_char(text: str, i: int, marks: bool) -> str:
             if CJK.search(near):
                 return c
         return unicodedata.normalize("NFKC", c)
-    if "ﬀ" <= c <= "ﬆ":
+    if "ﬀ" <= c <= "ﬆ" or "\U0001d400" <= c <= "\U0001d7ff":  # ligatures, mathematical letters
         return unicodedata.normalize("NFKC", c)
     return c
 
@@ -152,10 +162,12 @@ def normal_form(text: str | None) -> str | None:
         text = SPECIAL.sub(lambda m: _plain_char(m.string, m.start(), True), text)
         if any("\u0300" <= c <= "\u036f" for c in text):
             text = _composed(text)
+    if only_alike(text):
+        text = _all_latin(text)
     parts, at = [], 0
     for m in LATIN_RUN.finditer(text):
         start, end = m.start(), m.end()
-        if start < at or not (_beside(text, start, end) or LONE.fullmatch(m.group())):
+        if start < at or not (_beside(text, start, end) or LONE.fullmatch(m.group()) or SHARED.fullmatch(m.group())):
             continue
         while start > at and text[start - 1].isalpha():
             start -= 1
@@ -173,19 +185,32 @@ def normal_form(text: str | None) -> str | None:
     return text
 
 
+def _all_latin(text: str) -> str:
+    """A text whose Cyrillic letters all look like Latin ones: words of them are Latin, if the text has a word that is."""
+    if not any(any(scripts(c) == {"Latn"} for c in m) for m in TOKEN.findall(text)):
+        return text
+    return TOKEN.sub(lambda m: respell(m.group(), "Latn") if all(script(c) == "Cyrl" for c in m.group()) else m.group(), text)
+
+
 def is_plain(token: str) -> bool:
-    """Whether a piece without white space is in the consistent form whatever stands around it."""
+    """Whether a piece without white space is in the consistent form whatever stands around it, in a text that has a
+    Cyrillic letter of its own kind (see `only_alike`)."""
     if SPECIAL.search(token):
         return False
     for m in LATIN_RUN.finditer(token):
         start, end = m.start(), m.end()
         if _beside(token, start, end):
             return False
-        if LONE.fullmatch(m.group()) and token[start - 1 : start] in ("", *"(«\"") and token[end : end + 1] in ("", *",.;:)»"):
+        if (LONE.fullmatch(m.group()) or SHARED.fullmatch(m.group())) and token[start - 1 : start] in ("", *"(«\"") and token[end : end + 1] in ("", *",.;:)»"):
             return False
     return not any(token[m.start() - 1 : m.start()] in AS_DIGIT or token[m.end() : m.end() + 1] in AS_DIGIT for m in DIGIT_RUN.finditer(token))
 
 
+def only_alike(text: str) -> bool:
+    """Whether a text has Cyrillic letters, but none that looks like no Latin one; then its pieces don't decide alone."""
+    return PROPER.search(text) is None and CYRILLIC.search(text) is not None
+
+
 def _beside(text: str, start: int, end: int) -> bool:
     """Whether a run is Greek or touches a letter of another script."""
     if text[start] >= "\u0370" or text[end - 1] >= "\u0370":

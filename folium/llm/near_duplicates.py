@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.common import cut_lineage
-from folium.llm.confusables import is_plain, normal_form
+from folium.llm.confusables import is_plain, normal_form, only_alike
 from folium.llm.leakage import WORD
 from folium.plans.ship import ensure_shipped, written
 
@@ -72,8 +72,9 @@ def word_hashes(text: str, cache: Hashes) -> np.ndarray:
     """Hashes of the words of a text in its consistent form; most texts need no more than a look at each piece."""
     pieces = text.split()
     h = np.fromiter(map(cache.__getitem__, pieces), np.uint32, len(pieces))
-    if h.size and h.min() < 2:
-        if (h == ASK).any():
+    alike = only_alike(text)
+    if alike or h.size and h.min() < 2:
+        if alike or (h == ASK).any():
             pieces = WORD.findall(normal_form(text).lower())
             h = np.fromiter(map(cache.known, pieces), np.uint32, len(pieces))
         else:

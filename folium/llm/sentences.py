@@ -3,13 +3,15 @@
 A text is cut at blank lines and table lines into blocks; within a block, places after closing punctuation are
 candidates. A semi-Markov dynamic programme then selects whole spans between candidates: a span's score joins its
 length, its opening words, its closing words and whether the quotation marks and brackets in it are balanced, so a mark
-inside a quotation or after an abbreviation is passed over when the span as a whole reads better without a cut.
-Candidates that no span could open after (a lower-case letter, a comma, a dash) are left out beforehand, and the
-programme is run separately between places where nothing is in doubt; neither changes the best choice.
+after an abbreviation is passed over when the span as a whole reads better without a cut. Left out beforehand are
+candidates that no span could open after (a lower-case letter, a comma, a dash) and those inside a quotation or bracket
+that closes in the block, which belong to the sentence around them. Places where a final mark and the opening after it
+leave no doubt are taken at once and split the programme; between spans of 12 characters or more this is what the
+programme chooses itself, shorter sentences ("Да.") are kept against its price for short spans.
 
 Cases: NULL and blank texts have no sentences; repeated rows of a key come out once; texts of any length are read whole
-(the programme looks back over at most LOOK_BACK candidates between places out of doubt); ties go to the earlier cut;
-empty tables give no rows; other columns are ignored. Positions count characters.
+and looked back over without a bound; a mark without a partner switches nothing off; ties go to the earlier cut; empty
+tables give no rows; other columns are ignored. Positions count characters.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folium.plans.ship import ensure_shipped
 
-LOOK_BACK = 64
+LONG = 400
 TABLE = "[ТАБЛИЦА]"
 BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 #: A place where a sentence could end: marks, then closing quotes and brackets, and after the gap a character that
@@ -36,6 +38,7 @@ END = re.compile(
 THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n]+|(?<=[0-9])[^\S\n]+(?=[฀-๿])")
 THAI = re.compile("[฀-๿]")
 HIDDEN = re.compile("[\xad​-‏⁠﻿]")
+PARTNER = {"»": "«", "”": "“„", ")": "(", "]": "[", "」": "「", "』": "『", "）": "（"}
 MARKS = re.compile(r"[«»„“”‘\"()\[\]「」『』（）]")
 FINAL = "!?…؟۔।॥。！？｡"
 WIDE = "。！？｡"
@@ -129,50 +132,65 @@ def _opening(text: str, at: int) -> float:
     return -1.0 if c in "№§" else -6.0
 
 
-def _depths(text: str, start: int, end: int) -> tuple[list[int], list[int]] | None:
-    """Places where the nesting of quotation marks and brackets changes, and the depth after each; None if unbalanced."""
-    places, depths, open_ = [], [], []
-    pairs = {"»": "«", "”": "“", ")": "(", "]": "[", "」": "「", "』": "『", "）": "（"}
+def _depths(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Places where the nesting of quotation marks and brackets changes, and the depth after each. Marks without a partner
+    count for nothing; of an odd number of straight quotation marks it can't be told which one that is, so none counts."""
+    open_: list[tuple[str, int]] = []
+    changes: list[tuple[int, int]] = []
+    straight = text.count('"', start, end) % 2 == 0
+
+    def pair(openers: str, at: int) -> bool:
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] in openers:
+                changes.extend([(open_[k][1], 1), (at, -1)])
+                del open_[k:]
+                return True
+        return False
+
     for m in MARKS.finditer(text, start, end):
-        c = m.group()
+        c, at = m.group(), m.start()
         if c == '"':
-            if open_ and open_[-1] == '"':
-                open_.pop()
-            else:
-                open_.append(c)
-        elif c == "“" and open_ and open_[-1] == "„":
-            open_.pop()
-        elif c in pairs:
-            if open_ and open_[-1] == pairs[c]:
-                open_.pop()
-            elif c == "”" and open_ and open_[-1] == "„":
-                open_.pop()
-            else:
-                continue  # "1)" and other lone closing marks
+            if straight and not pair('"', at):
+                open_.append((c, at))
+        elif c == "“":
+            if not (open_ and open_[-1][0] == "„" and pair("„", at)):
+                open_.append((c, at))
+        elif c in PARTNER:
+            pair(PARTNER[c], at)  # "1)" and other lone closing marks pair with nothing
         else:
-            open_.append(c)
-        places.append(m.start())
-        depths.append(len(open_))
-    return None if open_ else (places, depths)
+            open_.append((c, at))
+    changes.sort()
+    depth, depths = 0, []
+    for _, step in changes:
+        depth += step
+        depths.append(depth)
+    return [at for at, _ in changes], depths
+
 
+def _best(text: str, start: int, end: int, cuts: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Semi-Markov choice of spans; cuts: (end of a span, start of the next, closing score).
 
-def _best(text: str, start: int, end: int, cuts: list[tuple[int, int, int, float]]) -> list[tuple[int, int]]:
-    """Semi-Markov choice of spans; cuts: (end of a span, start of the next, depth there, closing score)."""
-    nodes = [(start, start, 0, 0.0), *cuts, (end, end, 0, 2.0)]
+    Each span has a price, and one of more than LONG characters a little more for each of them, so the best of all spans
+    that long that end at a cut follows from a running maximum; the others are few. The choice is exact at any length.
+    """
+    nodes = [(start, start, 0.0), *cuts, (end, end, 2.0)]
+    opening = [1.0, *(_opening(text, n[1]) for n in nodes[1:])]
     best, back = [0.0], [0]
-    opening = [_opening(text, n[1]) for n in nodes]
+    far, far_value, far_arg = 0, float("-inf"), 0
     for j in range(1, len(nodes)):
-        stop, _, depth, closing = nodes[j]
-        top, arg = float("-inf"), j - 1
-        for i in range(max(0, j - LOOK_BACK), j):
+        stop, _, closing = nodes[j]
+        while far < j and stop - nodes[far][1] > LONG:
+            value = best[far] + opening[far] + 0.002 * nodes[far][1]
+            if value > far_value:
+                far_value, far_arg = value, far
+            far += 1
+        top, arg = far_value - 0.002 * (stop - LONG), far_arg
+        for i in range(far, j):
             length = stop - nodes[i][1]
-            value = best[i] + closing + (opening[i] if i else 1.0)
-            value -= 6.0 * abs(depth - nodes[i][2]) + (4.0 if depth else 0.0)  # quotations must open and close in one span
-            value -= 3.0 if length < 4 else 1.0 if length < 12 else 0.0
-            value -= 1.2 + 0.002 * max(0, length - 400)  # each span has a price, long ones a little more
+            value = best[i] + opening[i] - (3.0 if length < 4 else 1.0 if length < 12 else 0.0)
             if value > top:
                 top, arg = value, i
-        best.append(top)
+        best.append(top + closing - 1.2)
         back.append(arg)
     spans, j = [], len(nodes) - 1
     while j:
@@ -189,8 +207,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]], thai: bo
         end -= 1
     if start >= end:
         return
-    quotes = _depths(text, start, end)
-    places, depths = quotes or ([], [])
+    places, depths = _depths(text, start, end)
     k, depth, begin, cuts, marks = 0, 0, start, [], len(places)
 
     def flush(stop: int) -> None:
@@ -237,8 +254,8 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]], thai: bo
         if closing >= 2.0 and depth == 0 and _opening(text, after) > 0:
             flush(stop)  # nothing in doubt here
             begin, cuts = after, []
-        elif closing > -3.5:
-            cuts.append((stop, after, depth, closing))
+        elif closing > -3.5 and depth == 0:
+            cuts.append((stop, after, closing))
     flush(end)
 
 

@@ -30,3 +30,19 @@ def test_rows(spark):
     assert sorted(r["row_id"] for r in odd_rows(df, key="k", text="raw").collect()) == [1, 4]
     assert normalized(df, key="k", text="raw").count() == 4
     assert odd_rows(spark.createDataFrame([], schema), key="k", text="raw").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Наш Совет решил, что COBET прав", "Наш Совет решил, что СОВЕТ прав"),  # a whole word, known from the text
+        ("Поставка TOB завершена, тов принят", "Поставка ТОВ завершена, тов принят"),
+        ("Изделие TOB завершено", "Изделие TOB завершено"),  # a name, for all the text tells
+        ("Партия TM-133 и ТМ-133", "Партия TM-133 и ТМ-133"),  # codes stay
+        ("This is а test of Сору here", "This is a test of Copy here"),  # Cyrillic letters in a Latin text
+        ("Text с русскими словами", "Text с русскими словами"),
+        ("𝐀𝐁𝐂 и 𝟏𝟐", "ABC и 12"),
+    ],
+)
+def test_whole_words_and_mathematical_letters(text, want):
+    assert normal_form(text) == want

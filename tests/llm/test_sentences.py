@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from folium.llm import sentences as S
 from folium.llm.sentences import sentences, split_rows
 
 
@@ -50,3 +53,33 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "Раз. Два.", "", ""), (1, "Раз. Два.", "", ""), (2, None, "", ""), (3, " \n", "", ""), (None, "Три.", "", "")], schema)
     assert sorted(map(tuple, split_rows(df, key="k").collect())) == [(1, 0, 4), (1, 5, 9)]
     assert split_rows(spark.createDataFrame([], schema), key="k").count() == 0
+
+
+def test_a_quotation_of_any_length_belongs_to_its_sentence():
+    text = "Он сказал: «" + "Дело закрыто навсегда. " * 200 + "» и ушёл. Потом было тихо."
+    assert [text[b - 4 : b] for _, b in S.sentences(text)] == ["шёл.", "ихо."]
+
+
+def test_a_mark_without_partner_switches_nothing_off():
+    text = "Пункт «а не закрыт. «Первое дело. Второе дело» сказал он. Третье слово здесь."
+    assert [text[a:b] for a, b in S.sentences(text)] == ["Пункт «а не закрыт.", "«Первое дело. Второе дело» сказал он.", "Третье слово здесь."]
+
+
+def test_the_programme_is_exact():
+    """Against all choices of cuts, for spans shorter and longer than the limit where length begins to cost."""
+    rng = random.Random(5)
+
+    def worth(text, spans, cuts):
+        closing = {c[0]: c[2] for c in cuts} | {len(text): 2.0}
+        return sum(closing[b] - 1.2 - 0.002 * max(0, b - a - S.LONG) - (3.0 if b - a < 4 else 1.0 if b - a < 12 else 0.0) + (S._opening(text, a) if a else 1.0) for a, b in spans)
+
+    for _ in range(60):
+        n = rng.choice([30, 300, 3000])
+        text = "".join(rng.choice("АБ1—№ ") for _ in range(n))
+        at = sorted(rng.sample(range(2, n - 2), 9))
+        cuts = [(x, x + 1, rng.choice([-3.0, -1.0, 0.5, 1.5])) for x in at]
+        every = []
+        for mask in range(1 << len(cuts)):
+            chosen = [c for k, c in enumerate(cuts) if mask >> k & 1]
+            every.append(worth(text, list(zip([0, *(c[1] for c in chosen)], [*(c[0] for c in chosen), n])), cuts))
+        assert abs(worth(text, S._best(text, 0, n, cuts), cuts) - max(every)) < 1e-9
