@@ -7,7 +7,7 @@ the passage that the present weights find worst is positive, and this choice is
 A document's score is the probability of its worst passage.
 
 The classifier is fitted on at most `max_docs` rated documents, those with the least hash of doc_id, read whole; every
-other step covers all rows. Cases: NULL and empty texts and texts without a passage of three words get score 0; ties between raters are
+other step covers all rows. The fit runs in one task; the driver gets the non-zero weights alone. Cases: NULL and empty texts and texts without a passage of three words get score 0; ties between raters are
 left out of the fit; without rated documents every score is 0; repeated rows of a document give one row, its highest
 score; other columns of either table are ignored. A very long text is read whole, in passages of at most
 MAX_PASSAGE words.
@@ -165,12 +165,19 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, doc_
     # the sample is chosen before the texts are read, so that the join moves no more than max_docs texts
     chosen = rated.where(F.col("_share") != 0.5).orderBy(F.xxhash64("_k"), "_k").limit(max_docs)
     texts = documents.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
-    # a document's repeated rows come once, so max_docs bounds what the driver gets
-    rows = texts.join(F.broadcast(chosen), "_k").groupBy("_k", "_share", "_raters").agg(F.min("_t").alias("_t")).collect()
-    best = {r["_k"]: (r["_t"], float(r["_share"]), int(r["_raters"])) for r in rows}
-    w, bias = fit([best[k] for k in sorted(best)])
-    at = np.flatnonzero(w)
-    return at.astype(np.int32), w[at], float(bias)
+    # a document's repeated rows come once, so max_docs bounds what the fit reads; it runs in one task on an executor
+    sample = texts.join(F.broadcast(chosen), "_k").groupBy("_k", "_share", "_raters").agg(F.min("_t").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        w, bias = fit([(t, share, raters) for _, share, raters, t in rows])
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(w[at].astype(np.float64), bias))], names=["at", "w"])
+
+    found = sample.select("_k", "_share", F.col("_raters").cast("int"), "_t").repartition(1).mapInArrow(run, "at int, w double").toArrow()
+    at, w = found.column("at").to_numpy(), found.column("w").to_numpy()
+    # an empty sample may give no row at all
+    return at[at >= 0], w[at >= 0].astype(np.float32), float(w[at < 0][0]) if (at < 0).any() else -30.0
 
 
 def scores(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_docs: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
