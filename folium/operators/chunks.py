@@ -36,14 +36,35 @@ def blocks(text: str, limit: int) -> Iterator[str]:
             cost += len(part) + 2
 
 
+def block_rows(df: DataFrame, key: str, *, text: str = "text", limit: int) -> DataFrame:
+    """key, block_no, text: the blocks of each text, as a page is cut before packing."""
+    ensure_shipped(df.sparkSession)
+    slim = df.select(key, F.col(text).alias("text")).where("text IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [list(blocks(t, limit)) for t in b.column(1).to_pylist()]
+            at = pa.array([k for k, x in enumerate(cut) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([n for x in cut for n in range(len(x))], pa.int32()), pa.array([t for x in cut for t in x], pa.string())], names=[key, "block_no", "text"])
+
+    return slim.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, block_no int, text string")
+
+
 class Packer:
     """Packs the pages of one document after another, in order; holds one chunk at a time, never a document."""
 
     def __init__(self, size: int, overlap: int) -> None:
         self.size, self.overlap = size, overlap
         self.doc: str | None = None
+        self.before: tuple[str | None, str | None] = (None, None)
         self._new(None)
 
+    def fresh(self, doc: str, page: str | None) -> bool:
+        """Whether a page isn't the one before, delivered again."""
+        again = page is not None and (doc, page) == self.before
+        self.before = (doc, page)
+        return not again
+
     def _new(self, doc: str | None) -> None:
         self.doc, self.no, self.parts, self.cost, self.first, self.last = doc, 0, [], 0, None, None
 
@@ -85,7 +106,7 @@ class Packer:
 
 
 def packed(pages: DataFrame, *, chunk_chars: int = 12_000, overlap_chars: int = 800) -> DataFrame:
-    """doc_id, chunk_idx, text, first_page, last_page. Pages stream in order through each task, so even a document of
+    """doc_id, chunk_idx, text, first_page, last_page; pages delivered twice, told by page_id, count once. Pages stream in order through each task, so even a document of
     a tenth of all rows needs no more memory than a chunk."""
     ensure_shipped(pages.sparkSession)
     overlap = overlap_chars if overlap_chars < chunk_chars else chunk_chars // 2
@@ -98,14 +119,15 @@ def packed(pages: DataFrame, *, chunk_chars: int = 12_000, overlap_chars: int =
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())], names=["doc_id", "chunk_idx", "text", "first_page", "last_page"])
 
         for batch in batches:
-            rows = [row for doc, no, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for row in packer.page(doc, no, text)]
+            rows = [row for doc, no, text, page in zip(*(batch.column(i).to_pylist() for i in range(4))) if packer.fresh(doc, page) for row in packer.page(doc, no, text)]
             if rows:
                 yield out(rows)
         if rows := list(packer.close()):
             yield out(rows)
 
     order = ["doc_id", "page_no"] + (["page_id"] if "page_id" in pages.columns else [])
-    ordered = pages.where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions(*order).select("doc_id", F.col("page_no").cast("int"), "text")
+    page = F.col("page_id").cast("string") if "page_id" in pages.columns else F.lit(None).cast("string")
+    ordered = pages.where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions(*order).select("doc_id", F.col("page_no").cast("int"), "text", page.alias("page"))
     return ordered.mapInArrow(run, CHUNK_SCHEMA)
 
 

@@ -12,9 +12,17 @@ from folium.rules import procurement_ru as R
 MAX_LINE, WINDOW, MIN_PAGES, SHARE = 90, 2, 4, 0.6
 
 
+def _once(pages: DataFrame, *small: Column) -> DataFrame:
+    """doc_id and the small columns of each page; copies of a page are merged here, so that no text moves for it."""
+    keys = [c for c in ("doc_id", "page_id") if c in pages.columns]
+    out = pages.select(*keys, *small)
+    return out.distinct() if "page_id" in keys else out
+
+
 def page_stats(pages: DataFrame, *, min_chars: int = 80) -> DataFrame:
-    """doc_id, pages, chars, pages_with_text, likely_scanned."""
-    n = F.length(F.coalesce("text", F.lit("")))
+    """doc_id, pages, chars, pages_with_text, likely_scanned. Of pages delivered twice, told by page_id, one counts."""
+    pages = _once(pages, F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    n = F.col("n")
     return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.count_if(n >= min_chars).alias("pages_with_text"), (F.count_if(n >= min_chars) == 0).alias("likely_scanned"))
 
 
@@ -33,7 +41,7 @@ def noise_masks(pages: DataFrame, *, compat: bool = False) -> DataFrame:
     edge = F.array_distinct(F.concat(F.slice(lines, F.lit(1), F.lit(WINDOW)), F.slice(lines, F.greatest(F.size(lines) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))))
     masks = F.transform(F.filter(edge, lambda x: F.length(x) <= MAX_LINE), T.mask_numbers)
     # one pass: pages are counted as a mask of their own, so that the count needs no second exchange
-    counted = pages.select("doc_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), masks)).alias("mask")).groupBy("doc_id", "mask").agg(F.count("*").alias("hits"))
+    counted = _once(pages, masks.alias("masks")).select("doc_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), "masks")).alias("mask")).groupBy("doc_id", "mask").agg(F.count("*").alias("hits"))
     total = counted.where("mask IS NULL").select("doc_id", F.col("hits").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     return counted.where("mask IS NOT NULL").join(total, "doc_id").where(F.col("hits") >= F.greatest(F.lit(MIN_PAGES), F.floor(F.col("pages") * SHARE))).select("doc_id", "mask", "hits")
 
@@ -69,9 +77,9 @@ def reflow(c: Column) -> Column:
 
 
 def marked_text(pages: DataFrame) -> DataFrame:
-    """doc_id, text: non-empty pages in order, each under its marker."""
+    """doc_id, text: non-empty pages in order, each under its marker; pages delivered twice, told by page_id, once."""
     block = F.struct("page_no", "page_id", F.concat(F.format_string("[[стр. %d]]\n", "page_no"), F.col("text")).alias("t")) if "page_id" in pages.columns else F.struct("page_no", F.concat(F.format_string("[[стр. %d]]\n", "page_no"), F.col("text")).alias("t"))
     some = pages.where(T.strip(F.coalesce("text", F.lit(""))) != "")
     # small tables need all cores for what follows, so the partitions are not merged afterwards
     some = some.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["t"]), "\n\n").alias("text"))
+    return some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(block) if "page_id" in pages.columns else F.collect_list(block)), lambda x: x["t"]), "\n\n").alias("text"))

@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
@@ -69,15 +70,28 @@ def _chat(model: str, limit: int, temperature: float) -> Callable[[str, str], di
     return lambda system, user: {"model": model, "temperature": temperature, "max_tokens": limit, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
 
 
-def registry(kind: str, *, url: str = "", key: str | None = None, model: str = "", limit: int = 4000, temperature: float = 0.0) -> Callable[[], Provider]:
-    """Maker of a provider for a kind (chat, messages or local); made anew on each executor. A missing key is an error here."""
+def registry(kind: str, *, url: str = "", key: str | None = None, model: str = "", limit: int = 4000, temperature: float = 0.0, prefill: bool = False, headers: dict[str, str] | None = None) -> Callable[[], Provider]:
+    """Maker of a provider for a kind (chat, messages or local); made anew on each executor. A missing key is an error here.
+
+    prefill opens the answer of a messages model with a brace, for older models that would begin with a preface; newer
+    ones take neither that nor a temperature. headers are sent besides the key, such as the version a service asks for.
+    """
     if kind in ("chat", "messages") and not key:
         raise ValueError(f"provider {kind} needs a key")
     if kind == "chat":
-        return lambda: HttpJson(f"{url}/chat/completions", {"Authorization": f"Bearer {key}"}, _chat(model, limit, temperature), lambda a: (a["choices"][0]["message"]["content"], (a.get("usage") or {}).get("prompt_tokens"), (a.get("usage") or {}).get("completion_tokens")))
+        return lambda: HttpJson(f"{url}/chat/completions", {"Authorization": f"Bearer {key}", **(headers or {})}, _chat(model, limit, temperature), lambda a: (a["choices"][0]["message"]["content"], (a.get("usage") or {}).get("prompt_tokens"), (a.get("usage") or {}).get("completion_tokens")))
     if kind == "messages":
-        build = lambda system, user: {"model": model, "max_tokens": limit, "system": system, "messages": [{"role": "user", "content": user}]}
-        return lambda: HttpJson(f"{url}/messages", {"x-api-key": str(key)}, build, lambda a: ("".join(b.get("text", "") for b in a["content"] if b.get("type") == "text"), (a.get("usage") or {}).get("input_tokens"), (a.get("usage") or {}).get("output_tokens")))
+
+        def build(system: str, user: str) -> dict:
+            messages = [{"role": "user", "content": user}, *[{"role": "assistant", "content": "{"}] * prefill]
+            return {"model": model, "max_tokens": limit, "system": system, "messages": messages} | ({"temperature": temperature} if prefill else {})
+
+        def read(a: dict) -> tuple:
+            text = "".join(b.get("text", "") for b in a["content"] if b.get("type") == "text")
+            text = "{" + text if prefill and not text.lstrip().startswith("{") else text
+            return text, (a.get("usage") or {}).get("input_tokens"), (a.get("usage") or {}).get("output_tokens")
+
+        return lambda: HttpJson(f"{url}/messages", {"x-api-key": str(key), **(headers or {})}, build, read)
     if kind == "local":
         build = lambda system, user: {"model": model, "stream": False, "format": "json", "options": {"temperature": temperature, "num_ctx": 8192}, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
         return lambda: HttpJson(f"{url}/api/chat", {}, build, lambda a: (a["message"]["content"], a.get("prompt_eval_count"), a.get("eval_count")))
@@ -95,35 +109,38 @@ def prompted(chunks: DataFrame, *, template: str = "Часть {n} из {total}
     return chunks.join(total, "doc_id").withColumn("prompt", out).drop("_total")
 
 
-def called(chunks: DataFrame, make: Callable[[], Provider], *, system: str = "", retries: int = 2, concurrency: int = CONCURRENCY, wait: Callable[[int], float] = lambda n: min(15.0, 2.0**n)) -> DataFrame:
+def called(chunks: DataFrame, make: Callable[[], Provider], *, system: str = "", retries: int = 2, concurrency: int = CONCURRENCY, tasks: int = 1, wait: Callable[[int], float] = lambda n: min(15.0, 2.0**n)) -> DataFrame:
     """doc_id, chunk_idx, reply, failure, attempts, prompt_tokens, completion_tokens.
 
-    A failed call becomes a row with its failure and stops no other. Only failures marked retryable are tried again, by
-    this loop: the engine's own retries of a task would repeat calls that were paid for, so write the result before
-    using it twice.
+    Calls run in `tasks` tasks, `concurrency` at a time in each, so that at most tasks * concurrency are under way in the
+    whole cluster. A failed call becomes a row with its failure and stops no other. Only failures marked retryable are
+    tried again, by this loop: the engine's own retries of a task would repeat calls that were paid for, so write the
+    result before using it twice.
     """
     ensure_shipped(chunks.sparkSession)
     kind = "doc_id string, chunk_idx int, reply string, failure string, attempts int, prompt_tokens int, completion_tokens int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
-        for b in batches:
-            rows = []
-            for doc, idx, prompt in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for attempt in range(1, retries + 2):
-                    try:
-                        reply, a, c = provider.complete(system, prompt)
-                        rows.append((doc, idx, reply, None, attempt, a, c))
-                    except ProviderError as e:
-                        if e.retryable and attempt <= retries:
-                            time.sleep(max(0.0, wait(attempt)))
-                            continue
-                        rows.append((doc, idx, None, str(e), attempt, None, None))
-                    break
-            c = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()])], names=[x.split()[0] for x in kind.split(", ")])
-
-    asked = prompted(chunks).select(F.col("doc_id").cast("string"), F.col("chunk_idx").cast("int"), "prompt").repartition(concurrency)
+
+        def one(doc: str, idx: int, prompt: str) -> tuple:
+            for attempt in range(1, retries + 2):
+                try:
+                    reply, a, c = provider.complete(system, prompt)
+                    return doc, idx, reply, None, attempt, a, c
+                except ProviderError as e:
+                    if not e.retryable or attempt > retries:
+                        return doc, idx, None, str(e), attempt, None, None
+                    time.sleep(max(0.0, wait(attempt)))
+            raise AssertionError("unreachable")
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                c = list(zip(*pool.map(one, *(b.column(i).to_pylist() for i in range(3)))))
+                if c:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()])], names=[x.split()[0] for x in kind.split(", ")])
+
+    asked = prompted(chunks).select(F.col("doc_id").cast("string"), F.col("chunk_idx").cast("int"), "prompt").repartition(tasks)
     return asked.mapInArrow(run, kind)
 
 

@@ -33,12 +33,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, each once however often it was delivered."""
-    return read(spark, sf_dir, "pages").select("page_id", "doc_id", "page_no", "text").distinct()
+    """Pages as they were delivered, some of them twice: copies are merged on what is made of them, so that texts stay
+    where they are."""
+    return read(spark, sf_dir, "pages").select("page_id", "doc_id", "page_no", "text")
 
 
 def _requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "requirements").select("req_id", "doc_id", "category", "text", "mandatory", "source_pages").distinct()
+    """The same for requirements."""
+    return read(spark, sf_dir, "requirements").select("req_id", "doc_id", "category", "text", "mandatory", "source_pages")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,7 @@ def pdf_text(spark, sf_dir):
 
 @query
 def line_mask_counts(spark, sf_dir):
-    lines = tokens.lines(_pages(spark, sf_dir), "page_id").where(F.col("text") != "")
+    lines = tokens.lines(_pages(spark, sf_dir), "page_id").where(F.col("text") != "").select("page_id", "line_no", "text").distinct()
     return lines.groupBy(T.mask_numbers(F.col("text")).alias("mask")).agg(F.count("*").alias("hits")).where("hits > 1")
 
 
@@ -173,7 +175,7 @@ _sql["header_footer_lines"] = f"WITH {_NOISE} SELECT doc_id, mask, hits FROM noi
 
 @query
 def normalize_pages(spark, sf_dir):
-    return pages.normalized(_pages(spark, sf_dir)).select("page_id", "text")
+    return pages.normalized(_pages(spark, sf_dir)).select("page_id", "text").distinct()
 
 
 _sql["normalize_pages"] = rf"""
@@ -191,7 +193,7 @@ SELECT p.page_id, {_strip("regexp_replace(coalesce(t, ''), '\\n{3,}', chr(10) ||
 
 @query
 def reflow_islands(spark, sf_dir):
-    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", pages.reflow(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", pages.reflow(F.col("text")).alias("text")).distinct()
 
 
 _sql["reflow_islands"] = rf"""
@@ -205,7 +207,7 @@ SELECT p.page_id, coalesce(string_agg(sep || x, '' ORDER BY i), '') AS text FROM
 
 @query
 def squeeze_text(spark, sf_dir):
-    return _requirements(spark, sf_dir).where("text IS NOT NULL").select("req_id", T.squeeze(T.strip_markers(F.col("text"))).alias("text"))
+    return _requirements(spark, sf_dir).where("text IS NOT NULL").select("req_id", T.squeeze(T.strip_markers(F.col("text"))).alias("text")).distinct()
 
 
 _sql["squeeze_text"] = f"SELECT DISTINCT req_id, {_squeeze('text')} AS text FROM requirements WHERE text IS NOT NULL"
@@ -226,7 +228,7 @@ SELECT doc_id, md5(t) AS digest, length(t) AS chars FROM (SELECT doc_id, string_
 
 @query
 def sentence_split(spark, sf_dir):
-    return tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id").select("page_id", "sent_no", "text")
+    return tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id").select("page_id", "sent_no", "text").distinct()
 
 
 _SENTENCES = rf"""string_split(regexp_replace(regexp_replace(text, '([.;!?]){S}+([А-ЯA-Z0-9«(])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1))"""
@@ -236,7 +238,7 @@ SELECT page_id, unnest({_SENTENCES}) AS text, generate_subscripts({_SENTENCES},
 
 @query
 def line_offsets(spark, sf_dir):
-    return tokens.lines(_pages(spark, sf_dir), "page_id")
+    return tokens.lines(_pages(spark, sf_dir), "page_id").distinct()
 
 
 _sql["line_offsets"] = f"""
@@ -247,7 +249,7 @@ FROM l QUALIFY NOT (i = n AND raw = '')"""
 
 @query
 def table_rows(spark, sf_dir):
-    return tokens.table_rows(_pages(spark, sf_dir), "page_id").select("page_id", "line_no", F.size("cells").alias("n_cells"), F.array_join("cells", "¦").alias("cells"))
+    return tokens.table_rows(_pages(spark, sf_dir), "page_id").select("page_id", "line_no", F.size("cells").alias("n_cells"), F.array_join("cells", "¦").alias("cells")).distinct()
 
 
 _sql["table_rows"] = f"""
@@ -257,7 +259,7 @@ SELECT page_id, line_no, len(string_split(raw, '|')) AS n_cells, array_to_string
 
 @query
 def first_keyword_sentence(spark, sf_dir):
-    return tokens.first_sentence_with(_pages(spark, sf_dir), "page_id", ["срок"])
+    return tokens.first_sentence_with(_pages(spark, sf_dir), "page_id", ["срок"]).distinct()
 
 
 _sql["first_keyword_sentence"] = f"""
@@ -286,10 +288,9 @@ SELECT x.chunk_id, k.page_no, count(*) AS lines FROM (SELECT * FROM o WHERE NOT
 
 @query
 def hard_cut_blocks(spark, sf_dir):
-    """Texts without paragraphs cut every 1,000 characters."""
-    d = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
-    n = F.ceil(F.length("t") / 1000).cast("int")
-    return d.where(F.length("t") > 1000).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("t", k * 1000 + 1, F.lit(1000)))).alias("block_no", "b")).select("doc_id", "block_no", F.length("b").alias("chars"), F.md5(F.col("b").cast("binary")).alias("digest"))
+    """Texts without paragraphs cut every 1,000 characters by the page splitter."""
+    d = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text")).where(F.length("text") > 1000)
+    return chunks.block_rows(d, "doc_id", limit=1000).select("doc_id", "block_no", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 _sql["hard_cut_blocks"] = r"""
@@ -305,7 +306,7 @@ def chunk_pack(spark, sf_dir):
 
 @query
 def overlap_tail(spark, sf_dir):
-    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", T.overlap_tail(F.col("text"), F.lit(200)).alias("tail"))
+    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", T.overlap_tail(F.col("text"), F.lit(200)).alias("tail")).distinct()
 
 
 _sql["overlap_tail"] = f"""
@@ -316,7 +317,7 @@ SELECT page_id, CASE WHEN length(text) <= 200 THEN '' ELSE {_strip('''CASE WHEN
 
 @query
 def relevance_score(spark, sf_dir):
-    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", F.round(T.relevance(F.col("text")), 2).alias("score"))
+    return _pages(spark, sf_dir).where("text IS NOT NULL").select("page_id", F.round(T.relevance(F.col("text")), 2).alias("score")).distinct()
 
 
 _RUB = r"(\p{Nd}{1,3}([ \x{a0}]\p{Nd}{3})+([.,]\p{Nd}{1,2})?|\p{Nd}+([.,]\p{Nd}{1,2})?)" + S + r"*(\([^)]{0,300}\)" + S + r"*)?(тыс\.?|млн\.?|миллион[\pL\pN_]*|тысяч[\pL\pN_]*)?" + S + r"*(руб(\.|лей|ля|ль)?|₽|RUB)"
@@ -365,6 +366,49 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN (CAST(round(o_totalprice *
   CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN false END AS vat, 1 AS found FROM orders"""
 
 
+@query
+def money_multiplier(spark, sf_dir):
+    """Amounts in roubles, thousands, millions and with a numeral of words, read as numbers."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 900 + 1).alias("n"), (F.col("o_custkey") % 4).alias("k"))
+    text = F.concat(F.lit("Итого "), F.col("n"), F.when(F.col("k") == 0, " руб.").when(F.col("k") == 1, " тыс. руб.").when(F.col("k") == 2, " млн рублей").otherwise(",5 миллиона рублей"))
+    return o.select("o_orderkey", F.round(T.first_money(text)["amount"]).cast("bigint").alias("amount"))
+
+
+_sql["money_multiplier"] = """
+SELECT o_orderkey, CAST(CASE o_custkey % 4 WHEN 0 THEN n WHEN 1 THEN n * 1000 WHEN 2 THEN n * 1000000 ELSE n * 1000000 + 500000 END AS BIGINT) AS amount
+FROM (SELECT o_orderkey, o_custkey, o_orderkey % 900 + 1 AS n FROM orders)"""
+
+
+@query
+def vat_flag(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("k"), F.col("o_custkey").alias("n"))
+    notes = F.when(F.col("k") == 0, ", включая НДС 20 %").when(F.col("k") == 1, " с учётом НДС").when(F.col("k") == 2, " без учета НДС").when(F.col("k") == 3, ", НДС не облагается").otherwise(", кроме налога")
+    return o.select("o_orderkey", T.first_money(F.concat(F.lit("Цена "), F.col("n"), F.lit(" руб."), notes))["includes_vat"].alias("vat"))
+
+
+_sql["vat_flag"] = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false END AS vat FROM orders"
+
+
+@query
+def textual_date_roundtrip(spark, sf_dir):
+    months = F.array(*[F.lit(x) for x in R.MONTHS])
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    text = F.concat(F.lit("Срок: не позднее "), F.dayofmonth("d"), F.lit(" "), F.element_at(months, F.month("d")), F.lit(" "), F.year("d"), F.lit(" г. включительно"))
+    return o.select("o_orderkey", T.text_date(text).alias("day"))
+
+
+_sql["textual_date_roundtrip"] = f"""
+SELECT o_orderkey, day(o_orderdate) || ' ' || list_extract([{', '.join(repr(m) for m in R.MONTHS)}], CAST(month(o_orderdate) AS INT)) || ' ' || year(o_orderdate) || ' г.' AS day FROM orders"""
+
+
+@query
+def clause_start(spark, sf_dir):
+    return _requirements(spark, sf_dir).where("text IS NOT NULL").select("req_id", T.clause_start(F.col("text")).alias("clause")).distinct()
+
+
+_sql["clause_start"] = r"""SELECT DISTINCT req_id, regexp_matches(text, '^["''(]*[\p{Nd}\p{Lu}]') AS clause FROM requirements WHERE text IS NOT NULL"""
+
+
 @query
 def date_roundtrip(spark, sf_dir):
     months = F.array(*[F.lit(x) for x in R.MONTHS])
@@ -390,7 +434,7 @@ _sql["duration_roundtrip"] = "SELECT l_orderkey, l_linenumber, CAST(l_quantity A
 
 @query
 def formula_percent(spark, sf_dir):
-    return tokens.lines(_pages(spark, sf_dir), "page_id").select("page_id", "line_no", T.formula(F.col("text")).alias("formula")).where("formula IS NOT NULL")
+    return tokens.lines(_pages(spark, sf_dir), "page_id").select("page_id", "line_no", T.formula(F.col("text")).alias("formula")).where("formula IS NOT NULL").distinct()
 
 
 _sql["formula_percent"] = rf"""
@@ -412,7 +456,7 @@ _sql["long_number_token"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THE
 @query
 def category_case(spark, sf_dir):
     r = _requirements(spark, sf_dir).where("text IS NOT NULL")
-    return r.select("req_id", T.category(F.col("text")).alias("by_text"), T.known_category(F.col("category")).alias("stated"), T.mandatory(F.col("text")).alias("mandatory"))
+    return r.select("req_id", T.category(F.col("text")).alias("by_text"), T.known_category(F.col("category")).alias("stated"), T.mandatory(F.col("text")).alias("mandatory")).distinct()
 
 
 def _stem(words: list[str]) -> str:
@@ -428,7 +472,7 @@ _sql["category_case"] = (
 @query
 def sanction_case(spark, sf_dir):
     s = tokens.sentences(_pages(spark, sf_dir).where("text IS NOT NULL"), "page_id")
-    return s.select("page_id", "sent_no", T.sanction(F.col("text")).alias("sanction"), T.clause_start(F.col("text")).alias("clause")).where(F.col("sanction") != R.SANCTION_DEFAULT)
+    return s.select("page_id", "sent_no", T.sanction(F.col("text")).alias("sanction"), T.clause_start(F.col("text")).alias("clause")).where(F.col("sanction") != R.SANCTION_DEFAULT).distinct()
 
 
 _sql["sanction_case"] = (
@@ -473,12 +517,43 @@ _sql["party_name"] = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '«' ||
 
 @query
 def nearest_money_forward(spark, sf_dir):
-    return facts.nearest_money(_pages(spark, sf_dir), ["начальная цена", "штраф за"], key="page_id").select("page_id", F.round("amount", 2).alias("amount"), "distance")
+    return facts.nearest_money(_pages(spark, sf_dir), ["начальная цена", "штраф за"], key="page_id").select("page_id", F.round("amount", 2).alias("amount"), "distance").distinct()
+
+
+def _places(pattern: str, text: str, found: str) -> str:
+    """SQL list of the 0-based places of the matches `found` (a list column) of a pattern in a text."""
+    gaps = f"string_split_regex({text}, '{pattern}')"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: CAST(list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[1:i-1], lambda x: length(x))), 0) AS BIGINT))"
+
+
+def _occurrences(words: list[str]) -> str:
+    """SQL: page_id, ord, pos of each word in the lower-cased text."""
+    one = lambda i, w: f"SELECT page_id, {i} AS ord, unnest(list_transform(range(1, len(s)), lambda i: CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * {len(w)} AS BIGINT))) AS pos FROM (SELECT page_id, string_split(lower(text), '{w}') AS s FROM p)"
+    return " UNION ALL ".join(one(i, w) for i, w in enumerate(words))
+
+
+_NUMBER = rf"regexp_extract(raw, '(?i){_RUB}', 1)"
+_sql["nearest_money_forward"] = rf"""
+WITH p AS (SELECT page_id, text FROM ({PAGES}) WHERE text IS NOT NULL), o AS ({_occurrences(["начальная цена", "штраф за"])}),
+f AS (SELECT page_id, text, regexp_extract_all(text, '(?i){_RUB}') AS found FROM p), m AS (SELECT page_id, unnest(found) AS raw, unnest({_places('(?i)' + _RUB, 'text', 'found')}) AS mpos FROM f WHERE len(found) > 0),
+v AS (SELECT page_id, mpos, TRY_CAST(replace(regexp_replace({_NUMBER}, '[ \x{{a0}}]', '', 'g'), ',', '.') AS DOUBLE) * CASE WHEN regexp_matches(lower(regexp_extract(raw, '(?i){_RUB}', 6)), '^(млн|миллион)') THEN 1e6 WHEN lower(regexp_extract(raw, '(?i){_RUB}', 6)) LIKE 'тыс%' THEN 1e3 ELSE 1 END AS amount FROM m)
+SELECT page_id, round(arg_min(struct_pack(a := amount), struct_pack(d := mpos - pos, ord := ord, pos := pos, mpos := mpos)).a, 2) AS amount, CAST(min(mpos - pos) AS INT) AS distance
+FROM o JOIN v USING (page_id) WHERE mpos >= pos AND mpos <= pos + 400 GROUP BY page_id"""
 
 
 @query
 def phrase_near(spark, sf_dir):
-    return facts.phrase_near(_pages(spark, sf_dir), ["осуществляется до", "утверждена"], key="page_id")
+    return facts.phrase_near(_pages(spark, sf_dir), ["осуществляется до", "утверждена"], key="page_id").distinct()
+
+
+_W = r"[\pL\pN\pM_]"
+_sql["phrase_near"] = rf"""
+WITH p AS (SELECT page_id, text FROM ({PAGES}) WHERE text IS NOT NULL), o AS ({_occurrences(["осуществляется до", "утверждена"])}),
+w AS (SELECT page_id, ord, pos, substring(text, pos + 1, 300) AS w FROM o JOIN p USING (page_id)),
+v AS (SELECT page_id, ord, pos, coalesce(nullif(regexp_extract(w, '(?:^|[^\pL\pN\pM_])(\p{{Nd}}{{2}}\.\p{{Nd}}{{2}}\.\p{{Nd}}{{4}})(?:[^\pL\pN\pM_]|$)', 1), ''),
+  nullif(regexp_extract(w, '(?i)«?\p{{Nd}}{{1,2}}»?{S}+({'|'.join(R.MONTHS)}){S}+\p{{Nd}}{{4}}{S}*(г\.?|года)?'), ''),
+  nullif({_squeeze(r"regexp_replace(string_split_regex(w, '[.;\n]')[1], '\[\[стр\.' || '" + S + r"*\p{Nd}+\]\]', ' ', 'g')")}, '')) AS value FROM w)
+SELECT page_id, arg_min(value, struct_pack(ord := ord, pos := pos)) AS value FROM v WHERE value IS NOT NULL GROUP BY page_id"""
 
 
 @query
@@ -601,6 +676,38 @@ def json_fields(spark, sf_dir):
     return jsonrepair.fields(jsonrepair.repair(calls, "call_id")).drop("json")
 
 
+@query
+def json_fields_roundtrip(spark, sf_dir):
+    """Fields of objects rendered from orders, amounts in four notations."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), (F.col("o_custkey") % 4).alias("k"))
+    plain = (F.col("cents") / 100).cast("decimal(18,2)").cast("string")
+    grouped = F.format_number((F.col("cents") / 100).cast("decimal(18,2)"), 2)
+    amount = F.when(F.col("k") == 0, plain).when(F.col("k") == 1, F.concat(F.lit('"'), F.translate(grouped, ",.", " ,"), F.lit('"'))).when(F.col("k") == 2, F.concat(F.lit('"'), F.translate(grouped, ",.", ".,"), F.lit('"'))).otherwise(F.concat(F.lit('"'), grouped, F.lit('"')))
+    text = F.concat(F.lit('{"subject": " Заказ '), F.col("o_orderkey"), F.lit(' ", "contract_price": {"amount": '), amount, F.lit('}, "requirements": [{"text": "a"}, {"text": "b"}], "confidence": "0.5"}'))
+    done = jsonrepair.fields(jsonrepair.repair(o.select("o_orderkey", text.alias("text")), "o_orderkey"))
+    return done.select("o_orderkey", "subject", F.round(F.col("price") * 100).cast("bigint").alias("cents"), "n_requirements", "n_penalties", "confidence")
+
+
+_sql["json_fields_roundtrip"] = "SELECT o_orderkey, 'Заказ ' || o_orderkey AS subject, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, 2 AS n_requirements, 0 AS n_penalties, 0.5::DOUBLE AS confidence FROM orders"
+
+_FAULTS = [
+    ('{"requirements": [{"text": "a"}], "confidence": 1}', None), ("no object at all", "no object"), ('{"requirements": null}', "requirements is null"), ('{"penalties": {"violation": "a"}}', "penalties is no list"),
+    ('{"deadlines": null}', "deadlines is null"), ('{"requirements": [{"text": "a"}, {"category": "other"}]}', "requirements without text"), ('{"penalties": [{"violation": "a"}]}', "penalties without sanction"), ('{"confidence": 1.5}', "confidence out of range"),
+]
+
+
+@query
+def json_validate_roundtrip(spark, sf_dir):
+    """Objects that break one rule of the schema each, or none."""
+    e = read(spark, sf_dir, "events").select("event_id")
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in _FAULTS]), (F.col("event_id") % len(_FAULTS) + 1).cast("int"))
+    return jsonrepair.validated(jsonrepair.repair(e.select("event_id", text.alias("text")), "event_id")).select("event_id", "fault", "valid")
+
+
+_sql["json_validate_roundtrip"] = f"""
+SELECT event_id, f AS fault, f IS NULL AS valid FROM (SELECT event_id, list_extract([{', '.join('NULL' if f is None else repr(f) for _, f in _FAULTS)}], CAST(event_id % {len(_FAULTS)} + 1 AS INT)) AS f FROM events)"""
+
+
 # merge
 
 
@@ -637,11 +744,77 @@ f AS (SELECT doc_id, k, min(chunk_id) AS chunk_id FROM k WHERE k <> '' GROUP BY
 SELECT doc_id, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) <= 15"""
 
 
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the lines of orders, each once: lists made of them have at most seven items."""
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+
+
+def _partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each line of an order, as replies for the chunks of a document would give them."""
+    n = F.col("l_linenumber")
+    none = F.lit(None)
+    text = lambda x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    need = lambda category, t, page: F.struct(F.lit(category).alias("category"), t.alias("text"), F.lit(True).alias("mandatory"), F.array(page.cast("int")).alias("source_pages"))
+    money = F.struct((n * 100.0).alias("amount"), F.when(n % 3 == 0, text([n, " руб."])).alias("raw"))
+    nothing = F.struct(none.cast("double").alias("amount"), none.cast("string").alias("raw"))
+    penalty = F.struct(
+        F.lit("Просрочка исполнения обязательств по заказу").alias("violation"), F.lit("Штраф").alias("sanction"), F.when(n % 2 == 0, text(["0,", n, " %"])).alias("formula"),
+        F.when(n % 2 == 1, n * 10.0).alias("amount"), F.array(n.cast("int")).alias("source_pages"),
+    )
+    return _order_lines(spark, sf_dir).select(
+        "l_orderkey", F.col("l_linenumber").cast("int").alias("chunk_idx"), F.when(n % 2 == 1, "  ").otherwise(text([" Предмет ", n])).alias("subject"), *[none.cast("string").alias(c) for c in ("customer", "procurement_number", "end", "duration")],
+        F.when(n >= 3, text(["0", n, ".01.2026"])).otherwise("").alias("start"), money.alias("contract_price"), *[nothing.alias(c) for c in ("contract_security", "application_security")],
+        F.array(F.lit("Срок поставки"), text(["Срок поставки, этап ", n])).alias("mentions"),
+        F.array(F.struct(text(["Этап ", n]).alias("name"), text([n, " января"]).alias("deadline")), F.struct(text(["ЭТАП  ", n, "!"]).alias("name"), none.cast("string").alias("deadline"))).alias("stages"),
+        F.array(need("documents", text(["Участник представляет выписку из реестра по заказу ", F.col("l_orderkey")]), n), need("other", text(["Участник обязан подтвердить опыт по позиции № ", n, " данного заказа"]), n + 10)).alias("requirements"),
+        F.array(penalty).alias("penalties"), F.array(F.lit("Проверьте сроки"), F.lit("проверьте сроки!")).alias("warnings"),
+    )
+
+
+_LINES = "SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS ns FROM lineitem GROUP BY l_orderkey"
+
+
+@query
+def merge_driver(spark, sf_dir):
+    """Partial records of orders merged: texts, amounts, requirements with the union of their pages, limits."""
+    m = merging.merged_records(_partials(spark, sf_dir), key="l_orderkey")
+    shared = F.get(F.filter("requirements", lambda r: r["category"] == "documents"), F.lit(0))["source_pages"]
+    return m.select("l_orderkey", "partials", "subject", F.col("contract_price").cast("bigint").alias("price"), F.size("requirements").alias("n_requirements"), F.array_join(F.transform(shared, lambda p: p.cast("string")), ",").alias("pages"), F.size("warnings").alias("n_warnings"))
+
+
+_sql["merge_driver"] = f"""
+SELECT l_orderkey, len(ns) AS partials, 'Предмет ' || list_min(list_filter(ns, lambda n: n % 2 = 0)) AS subject, CAST(coalesce(list_min(list_filter(ns, lambda n: n % 3 = 0)), ns[1]) * 100 AS BIGINT) AS price,
+  CAST(len(ns) + 1 AS INT) AS n_requirements, array_to_string(ns, ',') AS pages, CASE WHEN len(ns) = 1 THEN 2 ELSE 1 END AS n_warnings FROM ({_LINES})"""
+
+
+@query
+def merge_penalties(spark, sf_dir):
+    """One penalty named by all partial records of an order, some with its formula, some with its amount."""
+    p = merging.merged_records(_partials(spark, sf_dir), key="l_orderkey").select("l_orderkey", F.explode("penalties").alias("p"))
+    return p.select("l_orderkey", "p.formula", F.col("p.amount").cast("bigint").alias("amount"), F.array_join(F.transform("p.source_pages", lambda x: x.cast("string")), ",").alias("pages"))
+
+
+_sql["merge_penalties"] = f"""
+SELECT l_orderkey, '0,' || list_min(list_filter(ns, lambda n: n % 2 = 0)) || ' %' AS formula, CAST(list_min(list_filter(ns, lambda n: n % 2 = 1)) * 10 AS BIGINT) AS amount, array_to_string(ns, ',') AS pages FROM ({_LINES})"""
+
+
+@query
+def merge_deadlines(spark, sf_dir):
+    """Start, mentions and stages of partial records: the first of each wording, whatever its marks and case."""
+    m = merging.merged_records(_partials(spark, sf_dir), key="l_orderkey")
+    return m.select("l_orderkey", "start", F.size("mentions").alias("n_mentions"), F.array_join(F.transform("stages", lambda x: x["name"]), ";").alias("stages"))
+
+
+_sql["merge_deadlines"] = f"""
+SELECT l_orderkey, '0' || list_min(list_filter(ns, lambda n: n >= 3)) || '.01.2026' AS start, CAST(len(ns) + 1 AS INT) AS n_mentions,
+  CASE WHEN len(ns) = 1 THEN 'Этап ' || ns[1] || ';ЭТАП  ' || ns[1] || '!' ELSE array_to_string(list_transform(ns, lambda n: 'Этап ' || n), ';') END AS stages FROM ({_LINES})"""
+
+
 @query
 def fuzzy_dedupe(spark, sf_dir):
     """Requirement lists merged per document and category: a list is a document's own, so its size is bounded by it."""
     r = _requirements(spark, sf_dir).where(F.length("text") > 0)
-    lists = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("req_id", "text", "source_pages"))).alias("x"))
+    lists = r.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("req_id", "text", "source_pages"))).alias("x"))
     items = F.transform("x", lambda i: F.struct(i["text"].alias("text"), i["source_pages"].alias("pages")))
     kept = merging.capped(merging.fuzzy_distinct(items), merging.MAX_REQUIREMENTS)
     return lists.select("doc_id", F.size("x").alias("given"), F.size(kept).alias("kept"))
@@ -702,36 +875,73 @@ SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) -
 
 @query
 def refine_requirements(spark, sf_dir):
-    r = _requirements(spark, sf_dir).where(F.length("text") > 0)
-    g = reconcile.requirement_group(T.known_category(F.col("category")), F.col("text"))
-    return r.select("req_id", g.alias("grp"))
+    """Lists of orders, three items for each of their lines, in the order of groups and with the limits."""
+    n = F.col("l_linenumber")
+    category = F.when(n == 1, "license").when(n.isin(2, 3), "documents").when(n == 7, "staff").otherwise("other")
+    stem = F.when(n == 1, "Лицензия").when(n == 2, "Выписка из реестра").when(n == 3, "Форма заявки").when(n == 7, "Инженер").otherwise("Вывоз мусора")
+    item = lambda r: F.struct(category.alias("category"), F.concat(stem, F.lit(" "), n, F.lit(f"/{r}")).alias("text"))
+    li = _order_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(item(1), item(2), item(3)).alias("x")))), lambda y: y["x"])).alias("x"))
+    return li.select("l_orderkey", F.posexplode(F.transform(reconcile.refined_requirements(F.col("x")), lambda y: y["text"])).alias("place", "text"))
+
 
+_sql["refine_requirements"] = f"""
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, r FROM lineitem, (VALUES (1), (2), (3)) v(r)),
+g AS (SELECT *, CASE WHEN n IN (1, 7) THEN 0 WHEN n = 2 THEN 1 WHEN n = 3 THEN 2 ELSE 3 END AS g, CASE n WHEN 1 THEN 'Лицензия' WHEN 2 THEN 'Выписка из реестра' WHEN 3 THEN 'Форма заявки' WHEN 7 THEN 'Инженер' ELSE 'Вывоз мусора' END || ' ' || n || '/' || r AS text FROM l),
+k AS (SELECT * FROM g QUALIFY g < 3 OR row_number() OVER (PARTITION BY l_orderkey, g ORDER BY n, r) <= {merging.MAX_OPERATIONAL})
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY g, n, r) - 1 AS INT) AS place, text FROM k QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY g, n, r) <= {merging.MAX_REQUIREMENTS}"""
 
-_sql["refine_requirements"] = (
-    "SELECT DISTINCT req_id, CASE WHEN c IN ('license', 'qualification', 'experience', 'financial', 'staff') THEN 0 WHEN c = 'documents' AND ("
-    + " OR ".join(f"contains(t, '{w}')" for w in reconcile.DOCUMENT_MARKERS) + ") THEN 1 WHEN " + " OR ".join(f"contains(t, '{w}')" for w in reconcile.OPERATIONAL)
-    + " THEN 3 ELSE 2 END AS grp FROM (SELECT req_id, lower(trim(category)) AS c, lower(text) AS t FROM requirements WHERE length(text) > 0)"
-)
+
+@query
+def caps_slice(spark, sf_dir):
+    lists = _order_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("x"))
+    return lists.select("l_orderkey", F.explode(merging.capped(F.col("x"), 3)).alias("kept"))
+
+
+_sql["caps_slice"] = "SELECT l_orderkey, l_linenumber AS kept FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 3"
 
 
 @query
 def refine_penalties(spark, sf_dir):
     rows = tokens.table_rows(_pages(spark, sf_dir), "page_id").where((F.size("cells") >= 3) & ~T.table_header(F.col("cells")))
     c = lambda i: F.get("cells", F.lit(i))
-    return rows.select("page_id", "line_no", reconcile.monetary(c(0), c(1), T.formula(c(2)), T.first_money(c(2))["amount"]).alias("monetary"))
+    return rows.select("page_id", "line_no", reconcile.monetary(c(0), c(1), T.formula(c(2)), T.first_money(c(2))["amount"]).alias("monetary")).distinct()
+
+
+def _java(pattern: str) -> str:
+    """A pattern of the rule pack as DuckDB reads it."""
+    return "(?i)" + pattern.replace(r"\s", S).replace(r"\w", r"[\pL\pN\pM_]").replace(r"\d", r"\p{Nd}")
+
+
+_sql["refine_penalties"] = rf"""
+WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM ({PAGES}) WHERE text IS NOT NULL),
+c AS (SELECT page_id, line_no, list_transform(string_split({_strip('raw')}, '|'), lambda x: {_strip('x')}) AS c FROM l WHERE contains(raw, '|')),
+t AS (SELECT page_id, line_no, lower(c[1]) AS v, lower(c[2]) AS s, c[3] AS a, lower(array_to_string(c, ' ')) AS whole FROM c WHERE len(c) >= 3)
+SELECT page_id, line_no, NOT (regexp_matches(v, '{_java(reconcile.CUSTOMER_SIDE)}') OR regexp_matches(v, '{_java(reconcile.DISCLAIMER)}') OR regexp_matches(s, '{_java(reconcile.NON_MONETARY)}'))
+  AND (regexp_matches(a, '(?i){_RUB}') OR regexp_matches(a, '\p{{Nd}}+{S}*/{S}*\p{{Nd}}+|\p{{Nd}}+([.,]\p{{Nd}}+)?{S}*%') OR regexp_matches(s, '{_java(reconcile.MONETARY)}')) AS monetary
+FROM t WHERE NOT (whole LIKE 'нарушение%' OR contains(whole, 'мера ответственности'))"""
 
 
 @query
 def confidence_score(spark, sf_dir):
-    d = pages.page_stats(_pages(spark, sf_dir))
-    sent = F.least(F.col("pages"), F.lit(20))
-    return d.select("doc_id", reconcile.confidence(F.col("chars") > 0, F.col("pages") % 2 == 0, F.col("pages_with_text") > 0, F.col("pages") % 3 == 0, F.array().cast("array<string>"), sent, F.col("pages")).alias("confidence"))
+    """Completeness from the facts the tables hold of a document: its price, penalties, requirements, chunks."""
+    m = read(spark, sf_dir, "money_facts").select("money_id", "doc_id", "field", "amount").distinct()
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    amounts = m.groupBy("doc_id").agg(some((F.col("field") == "contract_price") & F.col("amount").isNotNull()).alias("price"), some(F.col("field") == "penalty").alias("penalties"), some(F.col("amount").isNull()).alias("unread"))
+    needs = read(spark, sf_dir, "requirements").where(F.length("text") > 0).select("doc_id").distinct().withColumn("requirements", F.lit(True))
+    parts = read(spark, sf_dir, "chunks").select("doc_id", "chunk_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    d = parts.join(amounts, "doc_id", "left").join(needs, "doc_id", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    warnings = F.array_compact(F.array(F.when(~has("price"), F.lit(reconcile.PRICE_MISSING)), F.when(has("unread"), F.lit("Сумма не прочитана")), F.when(~has("requirements"), F.lit("Требований нет"))))
+    return d.select("doc_id", reconcile.confidence(has("price"), F.col("n") > 1, has("requirements"), has("penalties"), warnings, F.least(F.col("n"), F.lit(3)), F.col("n")).alias("confidence"))
 
 
 _sql["confidence_score"] = f"""
-WITH s AS (SELECT doc_id, count(*) AS n, sum(length(coalesce(text, ''))) AS c, count(*) FILTER (length(coalesce(text, '')) >= 80) AS w FROM ({PAGES}) GROUP BY doc_id)
-SELECT doc_id, round_even(least(1.0, (CASE WHEN c > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN n % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN w > 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0.2::DOUBLE ELSE 0 END)
-  * CASE WHEN n > 20 THEN 0.55::DOUBLE + 0.45::DOUBLE * 20 / n ELSE 1 END), 2) AS confidence FROM s"""
+WITH m AS (SELECT doc_id, coalesce(bool_or(field = 'contract_price' AND amount IS NOT NULL), false) AS price, coalesce(bool_or(field = 'penalty'), false) AS pen, coalesce(bool_or(amount IS NULL), false) AS unread FROM money_facts GROUP BY doc_id),
+r AS (SELECT DISTINCT doc_id, true AS req FROM requirements WHERE length(text) > 0), c AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM chunks WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT c.doc_id, n, coalesce(price, false) AS price, coalesce(pen, false) AS pen, coalesce(unread, false) AS unread, coalesce(req, false) AS req FROM c LEFT JOIN m USING (doc_id) LEFT JOIN r USING (doc_id)),
+w AS (SELECT *, CAST(NOT price AS INT) + CAST(unread AS INT) + CAST(NOT req AS INT) AS many, CASE WHEN NOT price AND ({' OR '.join(f"contains(lower('{reconcile.PRICE_MISSING}'), '{x}')" for x in reconcile.CRITICAL)}) THEN 1 ELSE 0 END AS hard FROM f)
+SELECT doc_id, round_even(greatest(0::DOUBLE, least(1::DOUBLE, (CASE WHEN price THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN n > 1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN req THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN pen THEN 0.2::DOUBLE ELSE 0 END)
+  * CASE WHEN n > 3 THEN 0.55::DOUBLE + 0.45::DOUBLE * 3 / n ELSE 1 END - least(0.2::DOUBLE, hard * 0.08::DOUBLE) - least(0.12::DOUBLE, greatest(many - 1, 0) * 0.02::DOUBLE))), 2) AS confidence FROM w"""
 
 
 @query
@@ -750,6 +960,43 @@ def summary_flat(spark, sf_dir):
     return summarize.flat(summarize.summarize(_pages(spark, sf_dir)))
 
 
+def _tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages for each customer, with a fact of each kind at a known value."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    cents = F.round(F.abs("c_acctbal") * 100).cast("bigint") + 100_000
+    grouped = lambda c: F.translate(F.format_number((c / 100).cast("decimal(18,2)"), 2), ",.", "\xa0,")
+    one = F.concat(F.lit("Предмет закупки: поставка изделий для "), F.col("c_name"), F.lit(" по лоту № "), key, F.lit(".\nЗаказчик: ГБУ «"), F.col("c_name"), F.lit("»\nНачальная (максимальная) цена контракта: "), grouped(cents), F.lit(" рублей, включая НДС 20 %.\nОбеспечение исполнения контракта: "), grouped(F.floor(cents / 10)), F.lit(" руб. Обеспечение заявки не требуется."))
+    two = F.concat(F.lit("Срок начала работ: с 01.02.2026 включительно.\nСрок окончания работ: до 30.11.2026.\nСрок выполнения работ составляет "), F.col("c_custkey") % 300 + 1, F.lit(" календарных дней.\nЭтап 1: подготовка до 01.03.2026;\nЭтап 2: поставка до 01.11.2026;\nТребования к участникам закупки\nУчастник обязан иметь опыт поставки изделий не менее 3 лет.\nОтветственность сторон\nЗа каждый день просрочки поставщика начисляется пеня 0,1 % от цены контракта.\n"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), one.alias("text")), F.struct(F.lit(2).alias("page_no"), two.alias("text")))).alias("p"))
+    return c.select("doc_id", "p.page_no", "p.text")
+
+
+@query
+def summary_rendered(spark, sf_dir):
+    """The whole pipeline over documents rendered from customers, whose facts are known."""
+    s = summarize.flat(summarize.summarize(_tenders(spark, sf_dir)))
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").alias(c)
+    return s.select("doc_id", "subject", "customer", "procurement_number", cents("contract_price"), cents("contract_security"), cents("application_security"), "start", "end", "duration", "n_stages", "n_requirements", "n_penalties", "n_warnings", "confidence")
+
+
+_TENDERS = "SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_custkey, c_name, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS lot, CAST(round(abs(c_acctbal) * 100) AS BIGINT) + 100000 AS cents FROM customer"
+_sql["summary_rendered"] = f"""
+SELECT doc_id, 'поставка изделий для ' || c_name || ' по лоту № ' || lot AS subject, '«' || c_name || '»' AS customer, lot AS procurement_number, cents AS contract_price, cents // 10 AS contract_security, CAST(NULL AS BIGINT) AS application_security,
+  '01.02.2026' AS start, '30.11.2026' AS "end", (c_custkey % 300 + 1) || ' календарных дней' AS duration, 2 AS n_stages, 1 AS n_requirements, 1 AS n_penalties, 0 AS n_warnings, 1.0::DOUBLE AS confidence FROM ({_TENDERS})"""
+
+
+@query
+def summary_json(spark, sf_dir):
+    """Records of the pipeline as JSON objects, nulls kept."""
+    s = summarize.summarize(_tenders(spark, sf_dir))
+    pages_of = lambda x: F.struct(x["category"].alias("category"), x["source_pages"].alias("source_pages"))
+    return report.as_json(s.select("doc_id", "customer", "application_security", "duration", F.transform("requirements", pages_of).alias("requirements"), "warnings"), "doc_id")
+
+
+_sql["summary_json"] = f"""
+SELECT doc_id, '{{"doc_id":"' || doc_id || '","customer":"«' || c_name || '»","application_security":null,"duration":"' || (c_custkey % 300 + 1) || ' календарных дней","requirements":[{{"category":"experience","source_pages":[2]}}],"warnings":[]}}' AS json FROM ({_TENDERS})"""
+
+
 def _summary(user: str, attempt: int) -> str:
     """A reply with what a few patterns find in the chunk; some fail, some break the schema, some are fenced."""
     if "%" in user and attempt == 1:

@@ -222,3 +222,44 @@ def test_admission_of_large_padded_and_unread_files(spark, tmp_path):
     assert name(ingest.admission(up, max_mb=1).collect()) == [("large.pdf", "file_too_large", 413), ("other.pdf", "unreadable_pdf", 422), ("padded.pdf", None, None)]
     none = spark.createDataFrame([], "doc_id string, page_no int, text string")
     assert ("padded.pdf", "unreadable_pdf", 422) in name(ingest.rejects(up, extracted=none, max_mb=1).collect())
+
+
+def test_messages_with_and_without_an_opened_answer(monkeypatch):
+    sent = []
+
+    class Answer:
+        def __init__(self, body):
+            self.body = body
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+        def read(self):
+            return self.body
+
+    def fake(request, timeout):
+        sent.append((request.full_url, dict(request.header_items()), json.loads(request.data)))
+        return Answer(json.dumps({"content": [{"type": "text", "text": '"a": 1}'}], "usage": {"input_tokens": 9, "output_tokens": 2}}).encode())
+
+    monkeypatch.setattr(provider.urllib.request, "urlopen", fake)
+    opened = provider.registry("messages", url="http://x/v1", key="k", model="m", prefill=True, headers={"x-version": "1"})()
+    assert opened.complete("s", "u") == ('{"a": 1}', 9, 2)
+    plain = provider.registry("messages", url="http://x/v1", key="k", model="m")()
+    assert plain.complete("s", "u")[0] == '"a": 1}'
+    assert sent[0][0] == "http://x/v1/messages" and sent[0][1]["X-version"] == "1"
+    assert sent[0][2]["messages"][-1] == {"role": "assistant", "content": "{"} and sent[0][2]["temperature"] == 0.0
+    assert sent[1][2]["messages"] == [{"role": "user", "content": "u"}] and "temperature" not in sent[1][2]
+
+
+def test_pages_delivered_twice_count_once(spark):
+    text = "Предмет закупки: поставка изделий.\n" + "Слово за словом. " * 20
+    rows = [("d", k, k + 1, text + str(k)) for k in range(6)]
+    df = spark.createDataFrame(rows + rows[2:5], "doc_id string, page_id bigint, page_no int, text string")
+    once = spark.createDataFrame(rows, df.schema)
+    from folium.operators import pages
+
+    for f in (pages.page_stats, pages.noise_masks, pages.marked_text, chunks.packed):
+        assert sorted(map(str, f(df).collect())) == sorted(map(str, f(once).collect())), f
