@@ -226,12 +226,11 @@ def party_name(c: Column) -> Column:
     t = strip_markers(c)
     quoted = F.regexp_substr(t, F.lit("«[^»]{5,220}»"))
     rows = F.transform(lines_of(t), lambda x: squeeze(F.rtrim(strip(x), F.lit(":"))))
-    fits = F.filter(rows, lambda x: (F.length(x) >= 5) & ~party_role(x) & ((F.length(x) >= 12) | contains_any(F.lower(x), ["фонд", "гбу", "му ", "ооо", "ао ", "пао", "учрежден"])))
+    fits = F.filter(rows, lambda x: (F.length(x) >= 5) & ~party_role(x) & ((F.length(x) >= 12) | contains_any(F.lower(x), R.PARTY_MARKERS)))
     return F.coalesce(squeeze(quoted), F.rtrim(F.get(fits, F.lit(0)), F.lit(".")))
 
 
-ABBREVIATED = ["г", "гг", "ул", "д", "стр", "обл", "руб", "коп", "тыс", "млн", "ст", "п", "пп", "ч", "им", "т"]
-STOP = "(?U)" + "".join(rf"(?<!\b{a})" for a in ABBREVIATED) + r"\.\s+(?=[А-ЯЁA-Z0-9«])|\n"
+STOP = "(?U)" + "".join(rf"(?<!\b{a})" for a in R.ABBREVIATED) + r"\.\s+(?=[А-ЯЁA-Z0-9«])|\n"
 
 
 def label_value(c: Column, labels: list[str]) -> Column:

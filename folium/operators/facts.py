@@ -64,12 +64,9 @@ def phrase_near(docs: DataFrame, words: list[str], *, key: str = "doc_id", text:
     return slim.select(key, phrase_after(F.col("_t"), F.col("_o"), skip=skip).alias("value")).where("value IS NOT NULL")
 
 
-TRANSFER = r"(?s)(\d{1,4})\s*(?:\([^)]{0,60}\)\s*)?(?:календарн\w*\s*)?(?:дн\w*)[^.;\n]{0,80}(?:передачи\s+объекта|капитальн\w+\s+ремонт)"
-
-
 def transfer_duration(text: Column) -> Column:
     """struct(duration, sentence): days up to the transfer of the object or a capital repair, which go before any other."""
-    p = unicode_ci(TRANSFER)
+    p = unicode_ci(R.TRANSFER)
     hit = F.when(F.lower(text).contains("передачи") | F.lower(text).contains("капитальн"), F.regexp_substr(text, F.lit(p)))
     return let(hit, lambda x: F.when(x.isNotNull(), F.struct(F.concat(F.regexp_extract(x, p, 1), F.lit(" календарных дней")).alias("duration"), x.alias("sentence"))))
 
@@ -93,13 +90,6 @@ def duration_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, found.alias("d")).where("d IS NOT NULL").select(key, "d.duration", "d.sentence")
 
 
-STAGES = [
-    r"((?:этап|период)\s*(?:№\s*)?\d+[^\n:.]{0,120})[:—-]\s*([^\n]{0,220})",
-    r"((?:перв\w*|втор\w*|трет\w*|\d+)\s+этап[^\n:]{0,160})[:—-]\s*([^\n]{0,220})",
-    r"(?m)(?:^|\n)\s*((?:проектирование|капитальн\w+\s+ремонт|выполнени\w+\s+работ)[^\n:]{0,80})[:—-]\s*([^\n]{0,220})",
-]
-
-
 def stages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, stage_no, name, deadline: named stages, the first of each name."""
     c = F.col(text)
@@ -109,41 +99,32 @@ def stages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
         both = F.arrays_zip(F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("n"), F.regexp_extract_all(c, F.lit(p), F.lit(2)).alias("b"))
         return F.transform(both, lambda x, i: F.struct((F.lit(k * 1_000_000) + i).alias("at"), T.squeeze(x["n"]).alias("name"), T.squeeze(x["b"]).alias("body")))
 
-    every = docs.select(key, F.explode(F.concat(*[one(k, p) for k, p in enumerate(STAGES)])).alias("s")).select(key, "s.*")
+    every = docs.select(key, F.explode(F.concat(*[one(k, p) for k, p in enumerate(R.STAGES)])).alias("s")).select(key, "s.*")
     every = every.where((F.col("name") != "") & ~F.col("name").rlike(unicode_ci(r"\bсрок\b")))
     every = every.withColumn("_k", F.left(F.regexp_replace(F.lower("name"), "[^a-zа-я0-9]+", ""), F.lit(80))).withColumn("deadline", F.coalesce(T.any_date(F.col("body")), T.squeeze(T.duration(F.col("body")))))
     first = every.groupBy(key, "_k").agg(F.min_by(F.struct("name", "deadline"), "at").alias("v"), F.min("at").alias("at"))
     return first.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("stage_no"), "v.name", "v.deadline")
 
 
-SECTION = r"требовани\w*\s+к\s+(?:участник\w*|исполнител\w*|подрядчик\w*|поставщик\w*|лиц\w*,?\s+осуществляющ\w*)"
-SECTION_END = r"(?m)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:ответственность\s+сторон|порядок\s+расчёт\w*|порядок\s+расчет\w*|порядок\s+оплаты|приёмка|приемка|техническое\s+задание|проект\s+контракта|штрафы|неустойки)"
-LIABILITY = r"(?m)^\s*(?:\d+(?:\.\d+)*\.?\s+)?ответственность\s+сторон"
-
-
 def requirement_scope(c: Column) -> Column:
     """struct(start, text): the part of a document that states requirements, and where it begins."""
-    start = F.regexp_instr(c, F.lit(unicode_ci(SECTION)))
-    head = F.length(F.regexp_substr(c, F.lit(unicode_ci(SECTION))))
+    start = F.regexp_instr(c, F.lit(unicode_ci(R.SECTION)))
+    head = F.length(F.regexp_substr(c, F.lit(unicode_ci(R.SECTION))))
     after = F.substring(c, start + head, F.length(c))
-    stop = F.regexp_instr(after, F.lit(unicode_ci(SECTION_END)))
+    stop = F.regexp_instr(after, F.lit(unicode_ci(R.SECTION_END)))
     end = F.least(start - 1 + 12_000, F.when(stop > 0, start + head + stop - 2).otherwise(F.length(c)), F.length(c))
-    liable = F.regexp_instr(c, F.lit(unicode_ci(LIABILITY)))
+    liable = F.regexp_instr(c, F.lit(unicode_ci(R.LIABILITY)))
     whole = F.when(liable > 0, F.left(c, liable - 1)).otherwise(F.left(c, F.lit(80_000)))
     return F.when(start > 0, F.struct((start - 1).alias("start"), F.substring(c, start, end - start + 1).alias("text"))).otherwise(F.struct(F.lit(0).alias("start"), whole.alias("text")))
 
 
-EXCLUDED = r"(?:^за\s+нарушен|(?:^|\s)пен[яи](?:\s|$)|штраф|неустойк|1\s*/\s*130|уплат\w+\s+заказчик|начисля\w+\s+пен)"
-RESCUED = ["сро", "лиценз", "гарант", "обеспечен", "квалификац", "опыт"]
-
-
 def requirements(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = 25) -> DataFrame:
     """key, req_no, category, text, mandatory, pos: requirement sentences of the scope, the first of each wording."""
     scoped = docs.select(key, requirement_scope(F.col(text)).alias("s")).select(key, F.col("s.start").alias("_at"), F.col("s.text").alias("text"))
     holds = lambda words: lambda s: T.contains_any(F.lower(s), words)
     every = tokens.sentences_with(scoped, key, "_at", keep=holds(R.REQUIREMENT_TRIGGERS)).withColumn("text", T.strip(T.strip_markers(F.col("text")))).withColumn("pos", F.col("pos") + F.col("_at")).drop("_at")
     low = F.lower("text")
-    kept = every.where(F.length("text").between(30, 600) & F.col("text").rlike(stems(R.REQUIREMENT_TRIGGERS)) & ~F.col("text").rlike(unicode_ci(EXCLUDED)) & (~F.col("text").rlike(stems(R.PENALTY_TRIGGERS)) | T.contains_any(low, RESCUED)))
+    kept = every.where(F.length("text").between(30, 600) & F.col("text").rlike(stems(R.REQUIREMENT_TRIGGERS)) & ~F.col("text").rlike(unicode_ci(R.EXCLUDED)) & (~F.col("text").rlike(stems(R.PENALTY_TRIGGERS)) | T.contains_any(low, R.RESCUED)))
     first = kept.groupBy(key, T.dedupe_key(F.col("text")).alias("_k")).agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
     w = Window.partitionBy(key).orderBy("pos")
     return first.withColumn("req_no", F.row_number().over(w)).where(F.col("req_no") <= limit).select(key, "req_no", T.category(F.col("text")).alias("category"), T.squeeze(F.col("text")).alias("text"), T.mandatory(F.col("text")).alias("mandatory"), "pos")
@@ -177,14 +158,10 @@ def subject(c: Column) -> Column:
     return F.when((F.length(value) >= 20) & ~T.party_role(value), value).otherwise(F.coalesce(F.nullif(listed, F.lit("")), value))
 
 
-ORGANISATION = r"(?s)(?:некоммерческ\w+\s+организац\w+|государственн\w+\s+учрежден\w+|федеральн\w+\s+(?:государственн\w+\s+)?учрежден\w+|муниципальн\w+\s+учрежден\w+)\s+«[^»]{10,220}»"
-AS_CUSTOMER = r"(?s)«([^»]{10,220})»[^»]{0,160}\(\s*далее\s*[–-]\s*заказчик"
-
-
 def customer(c: Column) -> Column:
     head = F.left(c, F.lit(25_000))
-    named = T.squeeze(F.regexp_substr(head, F.lit(unicode_ci(ORGANISATION))))
-    role = F.nullif(F.regexp_extract(head, unicode_ci(AS_CUSTOMER), 1), F.lit(""))
+    named = T.squeeze(F.regexp_substr(head, F.lit(unicode_ci(R.ORGANISATION))))
+    role = F.nullif(F.regexp_extract(head, unicode_ci(R.AS_CUSTOMER), 1), F.lit(""))
 
     def labelled(label: str) -> Column:
         p = unicode_ci(rf"\b{label}\s*[:—-]\s*")

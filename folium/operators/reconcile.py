@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import text as T
 from folium.functions.rx import unicode_ci
+from folium.rules import procurement_ru as R
 from folium.operators.merging import MAX_OPERATIONAL, MAX_REQUIREMENTS, distinct_by
 
 # Wording of warnings.
@@ -118,6 +119,7 @@ def confidence(price: Column, deadlines: Column, requirements: Column, penalties
 
 def coverage_warnings(partials: Column, selected: Column, total: Column) -> Column:
     """Warnings on chunks that failed or were not sent."""
-    one = F.when(partials < selected, F.concat(F.lit("Обработано "), partials, F.lit(" из "), selected))
-    two = F.when(selected < total, F.concat(F.lit("Отправлено "), selected, F.lit(" из "), total))
+    say = lambda text, *values: F.concat(*[x for part, v in zip(text.split("{}"), (*values, F.lit(""))) for x in (F.lit(part), v)])
+    one = F.when(partials < selected, say(R.SOME_FAILED, partials, selected))
+    two = F.when(selected < total, say(R.SOME_SENT, selected, total))
     return F.filter(F.array(one, two), lambda x: x.isNotNull())

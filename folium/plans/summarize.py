@@ -62,9 +62,9 @@ def finished(summary: DataFrame, warnings=None) -> DataFrame:
     s = s.withColumn("penalties", F.filter("penalties", lambda p: reconcile.monetary(p["violation"], p["sanction"], p["formula"], p["amount"])))
     found = F.array(
         F.when(F.col("contract_price").isNull(), F.lit(reconcile.PRICE_MISSING)),
-        F.when(~F.col("_dated"), F.lit("Сроки выполнения в документе не найдены - проверьте проект контракта или отдельное приложение с графиком работ")),
-        F.when(none("requirements"), F.lit("Требования к исполнителю в документе не найдены")),
-        F.when(none("penalties"), F.lit("Штрафы и пени в документе не найдены - раздел об ответственности может быть в отдельном файле проекта контракта")),
+        F.when(~F.col("_dated"), F.lit(R.DEADLINES_MISSING)),
+        F.when(none("requirements"), F.lit(R.REQUIREMENTS_MISSING)),
+        F.when(none("penalties"), F.lit(R.PENALTIES_MISSING)),
     )
     every = F.concat(warnings, found) if warnings is not None else found
     s = s.withColumn("warnings", F.array_distinct(F.filter(every, lambda w: w.isNotNull())))

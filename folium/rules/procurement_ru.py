@@ -79,3 +79,24 @@ BARE_NUMBER = r"^[-–—(\[]?\s*\d{1,4}\s*[-–—)\]]?$"
 SUBJECT_LABELS = ["предмет закупки", "предмет контракта", "предмет договора", "объект закупки", "наименование объекта закупки"]
 CUSTOMER_LABELS = ["заказчик", "государственный заказчик", "наименование заказчика"]
 LEGAL_FORMS = ["фонд", "гбу", "учрежден", "ооо", "ао", "пао"]
+
+TRANSFER = r"(?s)(\d{1,4})\s*(?:\([^)]{0,60}\)\s*)?(?:календарн\w*\s*)?(?:дн\w*)[^.;\n]{0,80}(?:передачи\s+объекта|капитальн\w+\s+ремонт)"
+STAGES = [
+    r"((?:этап|период)\s*(?:№\s*)?\d+[^\n:.]{0,120})[:—-]\s*([^\n]{0,220})",
+    r"((?:перв\w*|втор\w*|трет\w*|\d+)\s+этап[^\n:]{0,160})[:—-]\s*([^\n]{0,220})",
+    r"(?m)(?:^|\n)\s*((?:проектирование|капитальн\w+\s+ремонт|выполнени\w+\s+работ)[^\n:]{0,80})[:—-]\s*([^\n]{0,220})",
+]
+SECTION = r"требовани\w*\s+к\s+(?:участник\w*|исполнител\w*|подрядчик\w*|поставщик\w*|лиц\w*,?\s+осуществляющ\w*)"
+SECTION_END = r"(?m)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:ответственность\s+сторон|порядок\s+расчёт\w*|порядок\s+расчет\w*|порядок\s+оплаты|приёмка|приемка|техническое\s+задание|проект\s+контракта|штрафы|неустойки)"
+LIABILITY = r"(?m)^\s*(?:\d+(?:\.\d+)*\.?\s+)?ответственность\s+сторон"
+EXCLUDED = r"(?:^за\s+нарушен|(?:^|\s)пен[яи](?:\s|$)|штраф|неустойк|1\s*/\s*130|уплат\w+\s+заказчик|начисля\w+\s+пен)"
+RESCUED = ["сро", "лиценз", "гарант", "обеспечен", "квалификац", "опыт"]
+ORGANISATION = r"(?s)(?:некоммерческ\w+\s+организац\w+|государственн\w+\s+учрежден\w+|федеральн\w+\s+(?:государственн\w+\s+)?учрежден\w+|муниципальн\w+\s+учрежден\w+)\s+«[^»]{10,220}»"
+AS_CUSTOMER = r"(?s)«([^»]{10,220})»[^»]{0,160}\(\s*далее\s*[–-]\s*заказчик"
+ABBREVIATED = ["г", "гг", "ул", "д", "стр", "обл", "руб", "коп", "тыс", "млн", "ст", "п", "пп", "ч", "им", "т"]
+PARTY_MARKERS = ["фонд", "гбу", "му ", "ооо", "ао ", "пао", "учрежден"]
+DEADLINES_MISSING = "Сроки выполнения в документе не найдены - проверьте проект контракта или отдельное приложение с графиком работ"
+REQUIREMENTS_MISSING = "Требования к исполнителю в документе не найдены"
+PENALTIES_MISSING = "Штрафы и пени в документе не найдены - раздел об ответственности может быть в отдельном файле проекта контракта"
+SOME_FAILED = "Обработано {} из {} фрагментов документа: часть запросов к модели завершилась ошибкой, выжимка может быть неполной"
+SOME_SENT = "В модель отправлено {} из {} фрагментов (отобраны наиболее релевантные); увеличьте max_chunks для полного разбора"
