@@ -74,8 +74,25 @@ def finished(summary: DataFrame, warnings=None) -> DataFrame:
     return s.withColumn("confidence", reconcile.confidence(F.coalesce(F.col("contract_price") != 0, F.lit(False)), has_deadline, ~none("requirements"), ~none("penalties"), F.col("warnings"), sent, total))
 
 
-def summarize(page_rows: DataFrame, make: Callable[[], provider.Provider] | None = None, *, chunk_chars: int = 12_000, overlap_chars: int = 800, max_chunks: int = 20) -> DataFrame:
-    """One record per document. Without a provider the rules read whole documents; with one, its replies for the most
+def rule_replies(sent: DataFrame) -> DataFrame:
+    """The rules in a model's place: doc_id, chunk_idx, reply, failure with what they find in each chunk as an object of
+    the summary's schema."""
+    found = rule_summary(sent.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "chunk_idx")).alias("doc_id"), "text"))
+    kinds = dict(found.dtypes)
+    some = lambda c: F.coalesce(F.col(c), F.array().cast(kinds[c]))
+    money = lambda x: F.when(x.isNotNull(), F.struct(x.alias("amount"), F.lit(None).cast("string").alias("raw")))
+    penalty = lambda x: F.struct(*[x[c].alias(c) for c in ("violation", "sanction", "formula")], money(x["amount"]).alias("amount"), x["source_pages"].alias("source_pages"))
+    deadlines = F.struct("start", "end", "duration", F.col("mentions").alias("raw_mentions"), some("stages").alias("stages"))
+    body = F.struct(
+        "subject", "customer", "procurement_number", *[money(F.col(n)).alias(n) for n, _, _, _ in MONEY_FIELDS], deadlines.alias("deadlines"),
+        some("requirements").alias("requirements"), F.transform(some("penalties"), penalty).alias("penalties"), F.array().cast("array<string>").alias("warnings"),
+    )
+    key = F.from_json("doc_id", "doc_id string, chunk_idx int")
+    return found.select(key.alias("k"), F.to_json(body, {"ignoreNullFields": "false"}).alias("reply")).select("k.doc_id", "k.chunk_idx", "reply", F.lit(None).cast("string").alias("failure"))
+
+
+def summarize(page_rows: DataFrame, make: Callable[[], provider.Provider] | str | None = None, *, chunk_chars: int = 12_000, overlap_chars: int = 800, max_chunks: int = 20) -> DataFrame:
+    """One record per document. `make` makes a provider; "rules" puts the rules in its place. Without a provider the rules read whole documents; with one, its replies for the most
     relevant chunks are repaired and merged first, and the rules fill what it left out and check its amounts. A document
     none of whose calls gave a valid reply has a row with code and detail and no values."""
     clean = pages.normalized(page_rows)
@@ -86,7 +103,8 @@ def summarize(page_rows: DataFrame, make: Callable[[], provider.Provider] | None
     every = chunks.scored(chunks.packed(clean, chunk_chars=chunk_chars, overlap_chars=overlap_chars))
     sent = chunks.selected(every, max_chunks=max_chunks)
     # calls are paid for: their checked replies are written once to the shared folder
-    checked = cut_lineage(jsonrepair.validated(jsonrepair.repair(provider.called(sent, make), "doc_id", "chunk_idx", "failure", text="reply")))
+    replies = rule_replies(sent) if make == "rules" else provider.called(sent, make)
+    checked = cut_lineage(jsonrepair.validated(jsonrepair.repair(replies, "doc_id", "chunk_idx", "failure", text="reply")))
     invalid = F.concat(F.lit("the reply breaks the schema: "), F.col("fault"))
     outcome = checked.select("doc_id", "chunk_idx", F.when(F.col("valid"), F.col("json")).alias("reply"), F.when(~F.col("valid"), F.coalesce("failure", invalid)).alias("failure"))
     merged = merging.merged_records(jsonrepair.record(checked.where("valid").select("doc_id", "chunk_idx", "json")))

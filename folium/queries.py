@@ -985,6 +985,17 @@ SELECT doc_id, 'поставка изделий для ' || c_name || ' по л
   '01.02.2026' AS start, '30.11.2026' AS "end", (c_custkey % 300 + 1) || ' календарных дней' AS duration, 2 AS n_stages, 1 AS n_requirements, 1 AS n_penalties, 0 AS n_warnings, 1.0::DOUBLE AS confidence FROM ({_TENDERS})"""
 
 
+@query
+def summary_rules_provider(spark, sf_dir):
+    """The same documents by the way of chunks, replies, repair and merge, with the rules in a model's place."""
+    s = summarize.flat(summarize.summarize(_tenders(spark, sf_dir), "rules"))
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").alias(c)
+    return s.select("doc_id", "subject", "customer", "procurement_number", cents("contract_price"), cents("contract_security"), cents("application_security"), "start", "end", "duration", "n_stages", "n_requirements", "n_penalties", "n_warnings", "confidence", "code")
+
+
+_sql["summary_rules_provider"] = _sql["summary_rendered"].replace("1.0::DOUBLE AS confidence", "1.0::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS code")
+
+
 @query
 def summary_json(spark, sf_dir):
     """Records of the pipeline as JSON objects, nulls kept."""
