@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+# Percent and stage of the steps of a document, with a provider and with rules alone.
+MILESTONES = [(2, "extract"), (12, "extract"), (18, "chunk"), (20, "llm"), (85, "llm"), (88, "merge"), (92, "verify"), (97, "finish"), (100, "finish")]
+RULE_MILESTONES = [(2, "extract"), (12, "extract"), (18, "chunk"), (25, "llm"), (70, "llm"), (75, "verify"), (90, "finish"), (100, "finish")]
+
+
+def reached(at: Column, *, rules: bool = False) -> Column:
+    """array of struct(percent, stage): the milestones at or below a percentage, which is held within 0 and 100."""
+    every = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(s).alias("stage")) for p, s in (RULE_MILESTONES if rules else MILESTONES)])
+    return F.filter(every, lambda m: m["percent"] <= F.greatest(F.lit(0), F.least(F.lit(100), at)))
+
+
 def percent(done: Column, total: Column) -> Column:
     """20 to 85 in proportion to the chunks that are done."""
     return F.when(total > 0, F.lit(20) + F.floor(F.lit(65) * F.least(done, total) / total)).otherwise(20).cast("int")

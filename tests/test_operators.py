@@ -263,3 +263,16 @@ def test_pages_delivered_twice_count_once(spark):
 
     for f in (pages.page_stats, pages.noise_masks, pages.marked_text, chunks.packed):
         assert sorted(map(str, f(df).collect())) == sorted(map(str, f(once).collect())), f
+
+
+def test_milestones(spark):
+    df = spark.createDataFrame([(1, -5), (2, 19), (3, 90), (4, 140)], "k int, at int")
+    got = {r["k"]: [x["percent"] for x in r["m"]] for r in df.select("k", progress.reached(F.col("at")).alias("m")).collect()}
+    assert got == {1: [], 2: [2, 12, 18], 3: [2, 12, 18, 20, 85, 88], 4: [p for p, _ in progress.MILESTONES]}
+    assert [x["stage"] for x in df.where("k = 3").select(progress.reached(F.col("at"), rules=True).alias("m")).collect()[0]["m"]] == ["extract", "extract", "chunk", "llm", "llm", "verify", "finish"]
+
+
+def test_rules_in_a_model_s_place_keep_documents_apart(spark):
+    rows = [("a\"b", 1, "Предмет закупки: поставка изделий для школ.\nЦена контракта: 5 000 руб."), ("c", 1, "Предмет закупки: ремонт кровли детского сада."), ("d", 1, "")]
+    got = {r["doc_id"]: (r["subject"], r["contract_price"]) for r in summarize.summarize(spark.createDataFrame(rows, "doc_id string, page_no int, text string"), "rules").collect()}
+    assert got == {'a"b': ("поставка изделий для школ", 5000.0), "c": ("ремонт кровли детского сада", None)}
