@@ -1,17 +1,18 @@
 """Quantities recorded in different units: one value in roubles for each money record (problem 3).
 
-Everything is an expression on the JVM. A raw wording is brought to a skeleton (full-width forms, odd spaces, invisible
+All but the fit is an expression on the JVM. A raw wording is brought to a skeleton (full-width forms, odd spaces, invisible
 characters and look-alike letters undone), its number parsed in either notation or from numeral words, its scale and
 currency recognised; the unit of a bare number comes from the currency column, and where raw is NULL, amount counts in
 that unit. Where no unit is stated anywhere, a log-scale mixture decides: the distribution of log10 roubles of the
 records with known units, as a histogram per field, is offset by the known conversion factors; the factors' weights are
 fitted by EM over the histogram of the records without units, and each such record gets the factor of greatest
-posterior. `uncertain` flags posteriors below `confident`.
+posterior. `uncertain` flags posteriors below `confident`. A field is fitted by its own records alone, on the executors,
+so neither the number of fields nor what the others hold changes its results.
 
 Cases: a record without any number has rub NULL and unit_from 'none', as has a percentage; unknown units count as
-missing; ties between factors go to the smaller; repeated rows of a key count once (`dedupe`); the histograms have at
-most BINS + 1 bins per field, and if there are more than MAX_FIELDS fields, they share one histogram, so that it never
-loses a value; of several rates of a currency the greatest holds; a unit without a rate gives rub NULL and `uncertain`;
+missing; ties between factors go to the smaller, and in a field without any known rouble sum all factors tie, so its
+records are `uncertain`; repeated rows of a key count once (`dedupe`); the histograms have at most BINS + 1 bins per
+field, for any number of fields; of several rates of a currency the greatest holds; a unit without a rate gives rub NULL and `uncertain`;
 other columns are kept, but for those named like a result, which are replaced; an empty table gives no rows.
 """
 
@@ -19,12 +20,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.rx import let
-from folium.plans.ship import written
+from folium.plans.ship import ensure_shipped, written
 
 # Characters and what they look like, spaces, invisible characters.
 LATIN, CYRILLIC = "aceopxykmthαορё", "асеорхукмтнаоре"
@@ -53,7 +56,9 @@ NUMERALS = {
 
 #: Factors that a missing unit may stand for: kopecks, roubles, thousands, millions, milliards.
 FACTORS = (0.01, 1.0, 1e3, 1e6, 1e9)
-BIN, BINS, MAX_FIELDS = 0.1, 400, 64
+BIN, BINS = 0.1, 400
+#: Weights of the bins around a known value's own.
+SMOOTH = [math.exp(-((d / 5) ** 2)) for d in range(-10, 11)]
 MONEY = "decimal(38,6)"
 
 
@@ -166,11 +171,10 @@ def fit_factors(known: dict[int, int], missing: dict[int, int], *, rounds: int =
     if not missing:
         return {}
     total = sum(known.values())
-    width = 5
     density: dict[int, float] = {}
     for b, n in known.items():
-        for d in range(-2 * width, 2 * width + 1):
-            density[b + d] = density.get(b + d, 0.0) + n * math.exp(-((d / width) ** 2))
+        for at, x in enumerate(SMOOTH, b - len(SMOOTH) // 2):
+            density[at] = density.get(at, 0.0) + n * x
     shifts = [round(math.log10(f) / BIN) for f in FACTORS]
     like = {b: [(density.get(b + s, 0.0) / total if total else 0.0) + 1e-9 for s in shifts] for b in missing}
     weights = [1 / len(FACTORS)] * len(FACTORS)
@@ -178,9 +182,12 @@ def fit_factors(known: dict[int, int], missing: dict[int, int], *, rounds: int =
         got = [0.0] * len(FACTORS)
         for b, n in missing.items():
             joint = [w * x for w, x in zip(weights, like[b])]
-            for k, j in enumerate(joint):
-                got[k] += n * j / sum(joint)
-        weights = [(g + 0.5) / (sum(got) + 0.5 * len(FACTORS)) for g in got]
+            whole = sum(joint)
+            got = [g + n * j / whole for g, j in zip(got, joint)]
+        whole = sum(got) + 0.5 * len(FACTORS)
+        last, weights = weights, [(g + 0.5) / whole for g in got]
+        if weights == last:  # further rounds would repeat it
+            break
     out = {}
     for b in missing:
         joint = [w * x for w, x in zip(weights, like[b])]
@@ -201,35 +208,43 @@ def convert(money: DataFrame, rates: DataFrame, *, key: str = "money_id", amount
     per = rates.where("currency IS NOT NULL AND nominal <> 0 AND rub IS NOT NULL").groupBy(F.col("currency").alias("unit")).agg(F.max(F.col("rub") / F.col("nominal")).cast("decimal(18,8)").alias("_rate"))
     df = df.join(per, "unit", "left")
     rate = F.when(F.col("unit") == "RUB", F.lit("1").cast("decimal(18,8)")).when(F.col("unit") == "KOP", F.lit("0.01").cast("decimal(18,8)")).otherwise(F.col("_rate"))
-    fitted = _fitted(df, field)
-    if fitted is None:
-        df = df.withColumns({"posterior": F.lit(None).cast("double"), "_factor": F.lit(None).cast("decimal(18,8)")})
-    else:
-        few, table = fitted
-        here = F.col("_fit_bin").eqNullSafe(F.col("_bin")) & (F.col("unit_from") == "missing") & (F.col("_fit_field").eqNullSafe(F.col(field).cast("string")) if few else F.lit(True))
-        # a row per field and bin at most, so its size has a bound
-        df = df.join(F.broadcast(table), here, "left").drop("_fit_bin", "_fit_field")
+    # a row per field and bin without units; Spark broadcasts the table where its written size allows it
+    here = F.col("_fit_bin").eqNullSafe(F.col("_bin")) & (F.col("unit_from") == "missing") & F.col("_fit_field").eqNullSafe(F.col(field).cast("string"))
+    df = df.join(written(_fitted(df, field)), here, "left").drop("_fit_bin", "_fit_field")
     df = df.withColumn("posterior", F.when(F.col("unit_from") == "missing", F.col("posterior")).when(F.col("unit_from") != "none", F.lit(1.0)))
     df = df.withColumn("rub", (F.col("number") * F.col("scale").cast("decimal(14,0)")).cast("decimal(28,6)") * F.when(F.col("unit_from") == "missing", F.col("_factor")).otherwise(rate))
     unsure = (F.col("unit_from") != "none") & (F.col("rub").isNull() | (F.coalesce("posterior", F.lit(0.0)) < confident))
     return df.withColumn("uncertain", F.coalesce(unsure, F.lit(False))).select(*money.columns, "number", "scale", "unit", "unit_from", "posterior", "rub", "uncertain")
 
 
-def _fitted(df: DataFrame, field: str) -> tuple[bool, DataFrame] | None:
-    """(whether by field, table of the factor and its posterior for each field and bin) if units are missing anywhere."""
-    few = df.select(field).distinct().limit(MAX_FIELDS + 1).count() <= MAX_FIELDS
+def _fitted(df: DataFrame, field: str) -> DataFrame:
+    """The factor and its posterior for each field and bin of records without units; a field is fitted in one task."""
+    ensure_shipped(df.sparkSession)
     lost = F.col("unit_from") == "missing"
-    used = df.where(F.col("_bin").isNotNull() & (lost | (F.col("unit_from").isin("raw", "currency") & (F.col("unit") == "RUB"))))
-    # beyond MAX_FIELDS the fields are pooled, by the aggregation itself: nothing is left out
-    group = F.col(field).cast("string") if few else F.lit(None).cast("string")
-    hist: dict[str | None, tuple[dict, dict]] = {}
-    for r in used.groupBy(group.alias("f"), "_bin", lost.alias("lost")).count().collect():
-        hist.setdefault(r["f"], ({}, {}))[r["lost"]][r["_bin"]] = r["count"]
-    rows = [(f, b, str(factor), p) for f, (known, missing) in sorted(hist.items(), key=str) for b, (factor, p) in fit_factors(known, missing).items()]
-    if not rows:
-        return None
-    table = df.sparkSession.createDataFrame(rows, "_fit_field string, _fit_bin int, factor string, posterior double")
-    return few, table.select("_fit_field", "_fit_bin", F.col("factor").cast("decimal(18,8)").alias("_factor"), "posterior")
+    known = F.col("unit_from").isin("raw", "currency") & (F.col("unit") == "RUB")
+    bins = df.where(F.col("_bin").isNotNull() & (lost | known)).groupBy(F.col(field).cast("string").alias("f"), F.col("_bin").alias("b")).agg(F.count_if(known).alias("known"), F.count_if(lost).alias("lost"))
+    # BINS + 1 bins at most; in order, so that sums of the fit are the same each time
+    fields = bins.groupBy("f").agg(F.sum("lost").alias("n"), F.sort_array(F.collect_list(F.struct("b", "known", "lost"))).alias("bins")).where("n > 0").select("f", "bins")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            c = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string()), pa.array(c[3], pa.float64())], names=["_fit_field", "_fit_bin", "factor", "posterior"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for f, bins in zip(*batch.columns):
+                hist = bins.as_py()
+                fitted = fit_factors({x["b"]: x["known"] for x in hist if x["known"]}, {x["b"]: x["lost"] for x in hist if x["lost"]})
+                rows += [(f.as_py(), b, str(factor), p) for b, (factor, p) in fitted.items()]
+                if len(rows) >= 10_000:
+                    yield out(rows)
+                    rows = []
+        if rows:
+            yield out(rows)
+
+    table = fields.mapInArrow(run, "_fit_field string, _fit_bin int, factor string, posterior double")
+    return table.select("_fit_field", "_fit_bin", F.col("factor").cast("decimal(18,8)").alias("_factor"), "posterior")
 
 
 def wrong_amounts(converted: DataFrame, *, key: str = "money_id", amount: str = "amount") -> DataFrame:

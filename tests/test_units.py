@@ -71,6 +71,24 @@ def test_more_fields_than_histograms_lose_no_bin(spark, rates):
     assert len(out) == 1400 and all(r["rub"] is not None and r["posterior"] is not None for r in out)
 
 
+def test_a_field_is_fitted_alone_however_many_there_are(spark, rates):
+    """Another field, the 65th or any, and its records don't change what a field's own records say; a NULL field is one too."""
+    names = [None, *[f"f{k}" for k in range(63)]]
+    top = [10 ** (3 + 3 * (k % 2)) for k in range(64)]
+    known = [(1000 * k + i, f, None, "RUB", f"{top[k] + top[k] // 20 * i} руб.", "x") for k, f in enumerate(names) for i in range(10)]
+    lost = [(1000 * k + 500 + i, f, None, None, f"{1 + i / 10:.2f}", "x") for k, f in enumerate(names) for i in range(5)]
+    more = [(10**6, "f64", None, "RUB", "5 руб.", "x"), (10**6 + 1, "f65", None, None, "7", "x")]
+
+    def values(data):
+        done = units.convert(spark.createDataFrame(data, SCHEMA), rates).where("unit_from = 'missing' AND money_id < 1000000")
+        return {r["money_id"]: (r["rub"], r["posterior"], r["uncertain"]) for r in done.select("money_id", "rub", "posterior", "uncertain").collect()}
+
+    few = values(known + lost)
+    assert len(few) == 320 and all(top[k // 1000] <= rub < 2 * top[k // 1000] and not unsure for k, (rub, _, unsure) in few.items())
+    assert values(known + lost + more) == few
+    assert values([x for x in known + lost if x[0] < 2000]) == {k: v for k, v in few.items() if k < 2000}
+
+
 def test_units_without_or_with_several_rates(spark):
     rates = spark.createDataFrame([("USD", 1, 90.0), ("USD", 1, 91.0), ("USD", 1, 91.0)], "currency string, nominal int, rub double")
     data = [(1, "f", None, "RUB", "2 USD", "x"), (2, "f", None, "RUB", "2 EUR", "x"), (3, None, None, None, None, "x")]
